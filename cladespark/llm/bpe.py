@@ -16,18 +16,15 @@ from __future__ import annotations
 import bisect
 import codecs
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from cladespark.llm.common import table
+from cladespark.llm.common import table, with_made
 
 VOCAB = "byte_bpe_50k.json"
 #: Bytes that are fed at once; longer pieces are streamed.
@@ -42,16 +39,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
+def vocabulary(spec: dict) -> tuple[dict[int, bytes], dict[str, int]]:
+    """The bytes of each token, and the special tokens."""
+    letters = {c: b for b, c in enumerate(byte_letters())}
+    special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+    return {i: bytes(letters[c] for c in t) for t, i in spec["model"]["vocab"].items()} | {i: t.encode() for t, i in special.items()}, special
+
+
 class Merges:
     """The merge list: token ids, who merges with whom and when, and how far ahead a border can be undone."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
-        letters = {c: b for b, c in enumerate(byte_letters())}
-        raw = {t: bytes(letters[c] for c in t) for t in spec["model"]["vocab"]}
-        self.ids = {raw[t]: i for t, i in spec["model"]["vocab"].items()}
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes_of = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of, self.special = vocabulary(spec)
+        self.ids = {b: i for i, b in self.bytes_of.items() if i not in self.special.values()}
+        raw = {t: self.bytes_of[i] for t, i in spec["model"]["vocab"].items()}
         self.rank, self.made, self.parts = {}, {}, {}
         for r, pair in enumerate(spec["model"]["merges"]):
             a, b = (raw[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
@@ -89,7 +91,7 @@ class Merges:
         """Does merging the text of a and b give just these two?"""
         key = a << 32 | b
         if (known := self.fit.get(key)) is None:
-            if len(self.fit) > 400_000:
+            if len(self.fit) > 200_000:
                 self.fit.clear()
             known = self.fit[key] = self._fits(a, b)
         return known
@@ -176,7 +178,7 @@ class Encoder:
 class Pieces(dict):
     """piece of text -> its tokens, with a bounded memory: what was not asked for while most others came is forgotten."""
 
-    def __init__(self, merges: Merges, most: int = 150_000):
+    def __init__(self, merges: Merges, most: int = 100_000):
         super().__init__()
         self.merges, self.most, self.older = merges, most, {}
 
@@ -210,12 +212,13 @@ class Codec:
                     out += tokens
         return out
 
-    def decode(self, ids) -> str:
-        """Byte to text, a portion at a time; the state between portions is the unfinished character alone."""
-        state, out, of = codecs.getincrementaldecoder("utf-8")("replace"), [], self.merges.bytes_of
-        for k in range(0, len(ids), 4096):
-            out.append(state.decode(b"".join([of[i] for i in ids[k : k + 4096]])))
-        return "".join(out) + state.decode(b"", True)
+
+def decoded(ids: list[int], of: dict[int, bytes]) -> str:
+    """Byte to text, a portion at a time; the state between portions is the unfinished character alone."""
+    state, out = codecs.getincrementaldecoder("utf-8")("replace"), []
+    for k in range(0, len(ids), 4096):
+        out.append(state.decode(b"".join([of[i] for i in ids[k : k + 4096]])))
+    return "".join(out) + state.decode(b"", True)
 
 
 @lru_cache(4)
@@ -223,32 +226,38 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@lru_cache(4)
+def token_bytes(path: str) -> dict[int, bytes]:
+    return vocabulary(json.load(open(path, encoding="utf-8")))[0]
+
+
+def place(vocab: str) -> str:
+    """vocab: a file of public_tokenizers, or a path that each executor has."""
+    return vocab if "/" in vocab else public_tokenizers.path(vocab)
+
+
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", vocab: str = VOCAB) -> DataFrame:
-    """docs with the column out: the token ids of the whole text. vocab: a file of public_tokenizers, or a path."""
+    """docs with the column out: array<int>, the token ids of the whole text."""
 
-    @pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(vocab if "/" in vocab else public_tokenizers.path(vocab))
-        for batch in batches:
-            yield pd.Series([own.encode(t or "") for t in batch], dtype=object)
+    def maker():
+        own = codec(place(vocab))
+        return lambda texts: [[own.encode(t or "") for t in texts]]
 
-    return docs.withColumn(out, ids(F.col(text)))
+    return with_made(docs, text, f"{out} array<int>", maker)
 
 
 def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", vocab: str = VOCAB) -> DataFrame:
     """docs with the column out: the text of the token ids (null: empty); broken UTF-8 becomes U+FFFD."""
 
-    @pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(vocab if "/" in vocab else public_tokenizers.path(vocab))
-        for batch in batches:
-            yield pd.Series([own.decode(x.tolist() if x is not None else []) for x in batch], dtype=object)
+    def maker():
+        of = token_bytes(place(vocab))
+        return lambda rows: [[decoded(x or [], of) for x in rows]]
 
-    return docs.withColumn(out, text(F.col(ids)))
+    return with_made(docs, ids, f"{out} string", maker)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    both = decode(encode(docs.select("doc_id", "text"))).drop("text")
+    both = decode(encode(docs.select("doc_id", "text")).drop("text"))
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A word: what stands between space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,15 +51,47 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, with a bounded memory of past words."""
+class Remembered(dict):
+    """key -> made(key), with a bounded memory: what was not asked for while `most` others came is forgotten."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, made, most: int):
         super().__init__()
-        self.most = most
+        self.made, self.most, self.older = made, most, {}
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, key):
+        if (out := self.older.get(key)) is None:
+            out = self.made(key)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+        self[key] = out
+        return out
+
+
+def word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+#: Rows that Python works on at once: bounds the memory of what it makes of them.
+ROWS = 500
+
+
+def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """df with new columns (fields: a DDL list; equal names are replaced) that are made of the values of one column.
+
+    maker runs once in each task and gives a function: values (None where null) -> one list of results for each new column.
+    """
+    new = T._parse_datatype_string(fields)
+    kept = [f for f in df.schema.fields if f.name not in new.names]
+    kinds, names, of = [to_arrow_type(f.dataType) for f in new.fields], [f.name for f in kept], column
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = maker()
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                made = make(part.column(of).to_pylist())
+                arrays = [part.column(n) for n in names] + [pa.array(m, kind) for m, kind in zip(made, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, [*names, *new.names])
+
+    return df.mapInArrow(run, T.StructType([*kept, *new.fields]))

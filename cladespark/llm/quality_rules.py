@@ -16,18 +16,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from cladespark.llm.common import WORD, materialized, table
+from cladespark.llm.common import WORD, materialized, table, with_made
 
 MODEL = "piece_bpe_32k.model"
 #: A band reaches so many quartile distances from the middle, to either side.
@@ -98,18 +95,18 @@ def fertility(path: str) -> Fertility:
 
 
 def measured(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with the struct column __m: base counts and fertility of the whole text."""
+    """docs with the base counts and the fertility measures of the whole text."""
 
-    @pandas_udf(SCHEMA)
-    def measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def maker():
         own = fertility(model if "/" in model else public_tokenizers.path(model))
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for batch in batches:
-            texts = [t or "" for t in batch]
-            rows = [(*base_counts(t), script(t), *m) for t, m in zip(texts, own.measure(texts))]
-            yield pd.DataFrame(rows, columns=names) if rows else pd.DataFrame({n: [] for n in names})
 
-    return docs.withColumn("__m", measures(F.col(text)))
+        def measures(texts: list) -> list:
+            texts = [t or "" for t in texts]
+            return [*zip(*[(*base_counts(t), script(t), *m) for t, m in zip(texts, own.measure(texts))])]
+
+        return measures
+
+    return with_made(docs, text, SCHEMA, maker)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -146,19 +143,15 @@ def verdicts(rows: DataFrame, lang: str = "lang", width: float = WIDTH, least: i
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", model: str = MODEL) -> DataFrame:
-    """docs with the base counts, fertility measures, base_failed, outside and kept."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    docs = docs.drop(*[n for n in [*names, "base_failed", "outside", "kept"] if n in docs.columns])
-    rows = measured(docs, text, model)
-    rows = materialized(rows.select(*docs.columns, *[F.col("__m")[n].alias(n) for n in names]), "fertility")
-    return verdicts(rows, lang)
+    """docs with the base counts, fertility measures, base_failed, outside and kept; measured once, in the shared folder."""
+    return verdicts(materialized(measured(docs.drop("base_failed", "outside", "kept"), text, model), "fertility"), lang)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = measured(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    rows = materialized(docs.select("doc_id", "lang", *[F.col("__m")[n].alias(n) for n in names]), "fertility")
-    return verdicts(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "entropy", "outside")
+    rows = measured(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("text")
+    return verdicts(materialized(rows, "fertility")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "entropy", "outside"
+    )
 
 
 QUERIES = {"op6_quality_rules": op6_quality_rules}

@@ -1,7 +1,7 @@
 """All queries of the training-data operators, and their SQL."""
 
-from cladespark.llm import bpe, quality_rules, token_counts
+from cladespark.llm import bpe, chat, quality_classifier, quality_rules, secrets, token_counts, toxicity
 
-MODULES = (quality_rules, bpe, token_counts)
+MODULES = (toxicity, chat, secrets, quality_rules, bpe, quality_classifier, token_counts)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

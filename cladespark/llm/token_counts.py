@@ -14,42 +14,22 @@ text; repeated rows are each counted; other columns are kept, and one with an ou
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from cladespark.llm.common import table
+from cladespark.llm.common import Remembered, table, with_made
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
 
 
-class Remembered(dict):
-    """key -> made(key), with a bounded memory: what was not asked for while `most` others came is forgotten."""
-
-    def __init__(self, made, most: int):
-        super().__init__()
-        self.made, self.most, self.older = made, most, {}
-
-    def __missing__(self, key):
-        if (out := self.older.get(key)) is None:
-            out = self.made(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = out
-        return out
-
-
 class PrefixCounter:
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -149,33 +129,32 @@ def _own(model: str) -> PrefixCounter:
 def count_tokens(docs: DataFrame, text: str = "text", limit: int = LIMIT, model: str = MODEL) -> DataFrame:
     """docs with n_tokens (long), over_limit (boolean) and chars_in_limit (long: the longest prefix within the limit)."""
 
-    @pandas_udf("n_tokens long, chars_in_limit long")
-    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def maker():
         own = _own(model)
-        for batch in batches:
-            texts = [t or "" for t in batch]
+
+        def counts(texts: list) -> list:
+            texts = [t or "" for t in texts]
             n = [own.count(t) for t in texts]
-            yield pd.DataFrame({"n_tokens": n, "chars_in_limit": [len(t) if k <= limit else own.within(t, limit) for t, k in zip(texts, n)]}, dtype="int64")
+            return [n, [k > limit for k in n], [len(t) if k <= limit else own.within(t, limit) for t, k in zip(texts, n)]]
+
+        return counts
 
-    got = docs.withColumn("__counts", counts(F.col(text)))
-    return got.withColumns({"n_tokens": F.col("__counts.n_tokens"), "over_limit": F.col("__counts.n_tokens") > limit, "chars_in_limit": F.col("__counts.chars_in_limit")}).drop("__counts")
+    return with_made(docs, text, "n_tokens long, over_limit boolean, chars_in_limit long", maker)
 
 
 def prefix_counts(docs: DataFrame, text: str = "text", out: str = "prefix_tokens", model: str = MODEL) -> DataFrame:
     """docs with the column out: array<int>, at k the token count of the first k characters (k from 0)."""
 
-    @pandas_udf("array<int>")
-    def tables(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def maker():
         own = _own(model)
-        for batch in batches:
-            yield pd.Series([own.all_prefixes(t or "") for t in batch], dtype=object)
+        return lambda texts: [[own.all_prefixes(t or "") for t in texts]]
 
-    return docs.withColumn(out, tables(F.col(text)))
+    return with_made(docs, text, f"{out} array<int>", maker)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", "over_limit", "chars_in_limit")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    return count_tokens(docs).drop("text")
 
 
 QUERIES = {"op10_token_counts": op10_token_counts}
