@@ -91,7 +91,7 @@ class Merges:
         """Does merging the text of a and b give just these two?"""
         key = a << 32 | b
         if (known := self.fit.get(key)) is None:
-            if len(self.fit) > 200_000:
+            if len(self.fit) > 400_000:
                 self.fit.clear()
             known = self.fit[key] = self._fits(a, b)
         return known
@@ -178,7 +178,7 @@ class Encoder:
 class Pieces(dict):
     """piece of text -> its tokens, with a bounded memory: what was not asked for while most others came is forgotten."""
 
-    def __init__(self, merges: Merges, most: int = 100_000):
+    def __init__(self, merges: Merges, most: int = 250_000):
         super().__init__()
         self.merges, self.most, self.older = merges, most, {}
 

@@ -68,8 +68,8 @@ class Remembered(dict):
         return out
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+def word_hash_bytes(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
 
 
 #: Rows that Python works on at once: bounds the memory of what it makes of them.

@@ -146,8 +146,8 @@ def _oracle() -> str:
         value = f"regexp_extract_all(body, '{p}', {group})"
         parts.append(
             f"""SELECT doc_id, body, source, '{kind}' AS kind, {order} AS ord, g.pos AS pos, g.pos + length(g.whole) AS fin, g.val AS val
-            FROM (SELECT doc_id, body, source, unnest(list_transform(range(1, len(w) + 1), i -> {{'whole': w[i], 'val': v[i],
-                    'pos': CAST(list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(w[1:i-1], x -> length(x))), 0) AS BIGINT)}})) AS g
+            FROM (SELECT doc_id, body, source, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'whole': w[i], 'val': v[i],
+                    'pos': CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i-1], lambda x: length(x))), 0) AS BIGINT)}})) AS g
                   FROM (SELECT doc_id, body, source, string_split_regex(body, '{p}') AS gaps, regexp_extract_all(body, '{p}', 0) AS w, {value} AS v FROM d)
                   WHERE len(w) > 0) WHERE length(g.val) >= {least}"""
             + (f" AND regexp_matches(g.val, '[0-9]') AND regexp_matches(g.val, '[A-Za-z]') AND len(list_distinct(string_split(g.val, ''))) >= {LEAST_DISTINCT}" if kind == "owned" else "")
