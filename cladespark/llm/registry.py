@@ -1,7 +1,7 @@
 """All queries of the training-data operators, and their SQL."""
 
-from cladespark.llm import bpe, chat, near_dup, quality_classifier, quality_rules, secrets, token_counts, toxicity
+from cladespark.llm import bpe, chat, decontamination, near_dup, quality_classifier, quality_rules, secrets, token_counts, toxicity, warc
 
-MODULES = (toxicity, chat, secrets, quality_rules, bpe, near_dup, quality_classifier, token_counts)
+MODULES = (toxicity, decontamination, warc, chat, secrets, quality_rules, bpe, near_dup, quality_classifier, token_counts)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
