@@ -95,3 +95,32 @@ def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Calla
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *new.names])
 
     return df.mapInArrow(run, T.StructType([*kept, *new.fields]))
+
+
+#: Bits of the map that says which keys may be wanted: 8 MB at most, whatever the size of the corpus.
+MAP_BITS = 1 << 26
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows with the boolean __maybe: true where the key is in wanted (one column), and for few others. No shuffle of rows: a bit
+    map of bounded size is broadcast."""
+
+    def at(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
+
+    bits = wanted.select(at(F.col(wanted.columns[0])).alias("at")).select(F.floor(F.col("at") / 4096).alias("__row"), F.floor(F.col("at") / 64 % 64).alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
+    words = bits.groupBy("__row", "word").agg(F.bit_or("bit").alias("bits")).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__words"))
+    got = rows.withColumn("__at", at(F.col(key))).withColumn("__row", F.floor(F.col("__at") / 4096)).join(F.broadcast(words), "__row", "left")
+    word = F.coalesce(F.try_element_at("__words", F.floor(F.col("__at") / 64 % 64)), F.lit(0).cast("long"))
+    return got.withColumn("__maybe", F.getbit(word, (F.col("__at") % 64).cast("int")) == 1).drop("__at", "__row", "__words")
+
+
+def maybe_among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    return marked(rows, key, wanted).where("__maybe").drop("__maybe")
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """rows whose key is not in dropped (one column); only rows that may be dropped are shuffled. A null key is in nothing."""
+    both = marked(rows, key, dropped)
+    rest = both.where("__maybe").drop("__maybe")
+    return both.where(~F.col("__maybe")).drop("__maybe").unionByName(rest.join(dropped.toDF("__drop").distinct(), F.col(key) == F.col("__drop"), "left_anti"))

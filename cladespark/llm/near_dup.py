@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import materialized, table, with_made
+from cladespark.llm.common import materialized, maybe_among, table, with_made
 from cladespark.llm.components import components
 from cladespark.llm.sketch import Shingler, band_keys, sketch
 
@@ -35,8 +35,6 @@ from cladespark.llm.sketch import Shingler, band_keys, sketch
 PERCENT = 85
 #: Buckets of at most SMALL members are searched by a join; larger ones in blocks.
 SMALL, BLOCK = 8, 512
-#: Bits of the filter that says which documents may be candidates: 8 MB at most, whatever the size of the corpus.
-FILTER_BITS = 1 << 26
 KEYS = "n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -66,19 +64,6 @@ def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_made(docs, text, "shingles array<long>", maker)
 
 
-def maybe_among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """rows whose key is in wanted (one column), and few others, without a shuffle of rows: by a broadcast bit map of bounded size."""
-
-    def at(column: Column) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-
-    bits = wanted.select(at(F.col(wanted.columns[0])).alias("at")).select(F.floor(F.col("at") / 4096).alias("__row"), F.floor(F.col("at") / 64 % 64).alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
-    words = bits.groupBy("__row", "word").agg(F.bit_or("bit").alias("bits")).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__words"))
-    got = rows.withColumn("__at", at(F.col(key))).withColumn("__row", F.floor(F.col("__at") / 4096)).join(F.broadcast(words), "__row")
-    word = F.coalesce(F.try_element_at("__words", F.floor(F.col("__at") / 64 % 64)), F.lit(0).cast("long"))
-    return got.where(F.getbit(word, (F.col("__at") % 64).cast("int")) == 1).drop("__at", "__row", "__words")
-
-
 def similar_sizes(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 

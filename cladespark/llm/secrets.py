@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import materialized, table
+from cladespark.llm.common import marked, materialized, table
 
 #: A value held by more distinct owners than this is a copied example.
 MOST_OWNERS = 2
@@ -91,7 +91,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", repo: str = "doc_id", owne
     (array of at, end: what a caller may cut out: base spans and owned ones)."""
     body = F.coalesce(F.col(text), F.lit(""))
     name = F.coalesce(F.col(repo).cast("string"), F.lit(""))
-    outputs = {"n_assign", "n_access", "n_hex", "base_spans", "spans", "n_owned", "n_copied", "secrets"}
+    outputs = {"n_assign", "n_access", "n_hex", "base_spans", "spans", "n_owned", "n_copied", "secrets", "key1", "key2"}
     kept = [c for c in dict.fromkeys(keep) if c not in outputs]
     found = docs.select(
         F.struct(*kept).alias("__kept") if kept else F.struct(F.lit(0).alias("none")).alias("__kept"),
@@ -129,9 +129,38 @@ def scan_secrets(docs: DataFrame, text: str = "text", repo: str = "doc_id", owne
         F.coalesce("n_owned", F.lit(0)).cast("long").alias("n_owned"),
         F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
         F.array_sort(every).alias("secrets"),
+        F.col("__k1").alias("key1"),
+        F.col("__k2").alias("key2"),
     ).drop("__none")
 
 
+MASK = "[SECRET]"
+
+
+def redacted(text: Column, secrets: Column) -> Column:
+    """text with each of the spans (array of at, end; sorted) replaced by MASK; spans that overlap make one."""
+    done = F.aggregate(
+        secrets,
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda s, x: F.struct(
+            F.greatest(s["at"], x["end"]).alias("at"),
+            F.when((x["at"] >= s["at"]), F.concat(s["out"], F.substr(text, s["at"] + 1, x["at"] - s["at"]), F.lit(MASK))).otherwise(s["out"]).alias("out"),
+        ),
+    )
+    return F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))
+
+
+def redact(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
+    """docs with all spans of scan_secrets masked in the text; texts without any are not shuffled."""
+    found = scan_secrets(docs, text, repo, owner).where(F.size("secrets") > 0).select(F.col("key1").alias("__k1"), F.col("key2").alias("__k2"), F.col("secrets").alias("__secrets")).distinct()
+    body, name = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(repo).cast("string"), F.lit(""))
+    found = materialized(found, "secrets")
+    both = marked(docs.withColumns({"__k1": F.xxhash64(name, body), "__k2": F.xxhash64(body, name, F.lit(1))}), "__k1", found.select("__k1"))
+    rest = both.where("__maybe").join(found, ["__k1", "__k2"], "left")
+    rest = rest.withColumn(text, F.when(F.col("__secrets").isNotNull(), redacted(F.col(text), F.col("__secrets"))).otherwise(F.col(text)))
+    return both.where(~F.col("__maybe")).select(*docs.columns).union(rest.select(*docs.columns))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scan_secrets(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return got.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_owned", "n_copied")

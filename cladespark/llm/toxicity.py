@@ -31,8 +31,9 @@ from cladespark.llm.common import Remembered, held_out, materialized, table, wit
 
 MOST_LABELLED = 10_000
 MOST_TERMS = 2_000
-#: Toxic rows that a term needs, and its least smoothed log-odds.
-LEAST_ROWS, LEAST_ODDS = 3, 1.5
+#: Toxic rows that a term needs, its least smoothed log-odds, and the least product of the two: with less, some word of a
+#: vocabulary of a hundred thousand would stand out by chance.
+LEAST_ROWS, LEAST_ODDS, LEAST_EVIDENCE = 3, 3.0, 12.0
 WINDOW = 10
 #: A quoted or reported hit counts so much.
 QUOTED = 0.3
@@ -133,14 +134,16 @@ class Scorer:
         marks = [m.start() for m in _quote.finditer(low)]
         out, at = [], 0
         for k, w in enumerate(words):
-            at = low.index(w, at)
             if w in found:
-                middle = at + len(w) - len(w.lstrip(EDGES))
-                before = bisect.bisect_left(marks, middle)
-                inside = before % 2 == 1 and before < len(marks)
+                inside = False
+                if marks:
+                    middle = low.index(w, at) + len(w) - len(w.lstrip(EDGES))
+                    before = bisect.bisect_left(marks, middle)
+                    inside = before % 2 == 1 and before < len(marks)
                 reported = any(x.strip(EDGES) in REPORTING for x in words[max(0, k - 3) : k])
                 out.append((k, *found[w], inside or reported))
-            at += len(w)
+            if marks:
+                at = low.index(w, at) + len(w)
         return out
 
     def features(self, text: str) -> tuple[list[float], int]:
@@ -201,7 +204,7 @@ def learn_terms(rows: DataFrame, most: int = MOST_TERMS) -> tuple[tuple[str, flo
         return ()
     per = rows.select(F.explode(vocabulary("text")).alias("word"), "y").groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (ones + 1.0)) - F.log((F.col("q") + 0.5) / (zeros + 1.0))
-    best = per.where(F.col("p") >= LEAST_ROWS).withColumn("odds", F.round(odds, 6)).where(F.col("odds") >= LEAST_ODDS)
+    best = per.where(F.col("p") >= LEAST_ROWS).withColumn("odds", F.round(odds, 6)).where((F.col("odds") >= LEAST_ODDS) & (F.col("p") * F.col("odds") >= LEAST_EVIDENCE))
     # a term's evidence: how far its rows go beyond what the other label's rate predicts
     return tuple(sorted((r["word"], r["odds"]) for r in best.orderBy(F.desc(F.col("p") * F.col("odds")), "word").limit(most).select("word", "odds").collect()))
 
