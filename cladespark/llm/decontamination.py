@@ -23,12 +23,12 @@ either side gives an empty result; extra columns are not used.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from cladespark.llm.common import Remembered, materialized, table, with_made, word_hash_bytes
 from cladespark.llm.sketch import mixed
@@ -84,26 +84,22 @@ def walk_keys(h: np.ndarray, n: int) -> list[int]:
 
 def windows_maker(items: list[list[bytes]]):
     """text -> the windows of the text that line up with a run of some item: start, size, words with a margin, keys."""
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    by_length: dict[int, list[tuple[int, int, int]]] = {}
+    length = min(map(run_length, map(len, items)), default=1)  # a shorter run is kept wherever a longer one is
+    found = set()
     for item in items:
-        h, n = np.array([word_hash_bytes(w) for w in item], np.uint64), len(item)
-        by_length.setdefault(run_length(n), []).extend((int(r), j, n) for j, r in enumerate(runs(h, run_length(n))))
-    for length, found in by_length.items():
-        found = sorted(set(found))
-        tables[length] = tuple(np.array([f[k] for f in found], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
+        h = np.array([word_hash_bytes(w) for w in item], np.uint64)
+        found.update((int(r), j, len(item)) for j, r in enumerate(runs(h, length)))
+    run, offset, size = (np.array([f[k] for f in sorted(found)], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
     hashes = Remembered(word_hash_bytes, 150_000)
 
     def windows(text: str | None) -> list[dict]:
         words = words_of(text)
         h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        laid = set()
-        for length, (run, offset, size) in tables.items():
-            own = runs(h, length)
-            first = np.searchsorted(run, own)
-            for i in np.flatnonzero(run[np.minimum(first, len(run) - 1)] == own):
-                last = np.searchsorted(run, own[i], "right")
-                laid.update((max(0, int(i - offset[m])), int(size[m])) for m in range(first[i], last))
+        own, laid = runs(h, length), set()
+        first = np.searchsorted(run, own)
+        for i in np.flatnonzero(run[np.minimum(first, len(run) - 1)] == own) if len(run) else ():
+            last = np.searchsorted(run, own[i], "right")
+            laid.update((max(0, int(i - offset[m])), int(size[m])) for m in range(first[i], last))
         out = []
         for start, n in sorted(laid):
             margin = allowed(n)
@@ -171,14 +167,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = items.select("item_id", "words", F.col("n").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))
     by_key = windows.withColumn("key", F.explode(F.array_distinct("keys"))).drop("keys")
     candidates = by_key.join(wanted, ["size", "key"]).select("doc_id", "item_id", "start", "size", "passage", "words").distinct()
-
-    @pandas_udf("edits int, low int, high int")
-    def nearest(words: pd.Series, passage: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([passage_distance(w.split(" "), p.split(" ")) for w, p in zip(words, passage)], columns=["edits", "low", "high"], dtype="int32")
-
-    checked = candidates.withColumn("v", nearest("words", "passage")).where(F.col("v.edits") <= F.floor(F.lit(EDITS) * F.col("size")))
-    best = F.min(F.struct(F.col("v.edits").alias("edits"), (F.col("start") + F.col("v.low")).alias("start"), (F.col("start") + F.col("v.high")).alias("end"))).alias("b")
-    return checked.groupBy("doc_id", "item_id").agg(F.first("size").cast("long").alias("n_words"), best, F.count("*").alias("n_windows")).select(
+    candidates = materialized(candidates, "candidates")
+
+    def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near = [passage_distance(w.split(" "), p.split(" ")) for w, p in zip(batch["words"], batch["passage"])]
+            out = batch[["doc_id", "item_id", "start", "size"]].assign(edits=[x[0] for x in near], low=[x[1] for x in near], high=[x[2] for x in near])
+            yield out[out["edits"] <= out["size"].map(allowed)] if len(out) else out
+
+    id_, item = (df.schema[c].dataType.simpleString() for df, c in ((candidates, "doc_id"), (candidates, "item_id")))
+    near = candidates.mapInPandas(checked, f"doc_id {id_}, item_id {item}, start int, size int, edits int, low int, high int")
+    best = F.min(F.struct("edits", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))).alias("b")
+    return near.groupBy("doc_id", "item_id").agg(F.first("size").cast("long").alias("n_words"), best, F.count("*").alias("n_windows")).select(
         "doc_id", "item_id", "n_words", F.col("b.edits").cast("long").alias("edits"), F.col("b.start").cast("long").alias("start"), F.col("b.end").cast("long").alias("end"), "n_windows"
     )
 
