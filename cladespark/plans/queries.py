@@ -1,4 +1,386 @@
 """The registered queries and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cladespark.functions.murmur import decimal_hash, murmur_hash
+from cladespark.functions.nucleotides import canonical, kmers, nucleotides
+from cladespark.operators import distance as D
+from cladespark.operators import trees as T
+from cladespark.operators.placement import place_tips
+from cladespark.operators.sketch import mash_search, sketches
+
+K, SIZE, SITES = 15, 1000, 120
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- k-mers and sketches of the documents' nucleotide letters
+
+SEQ = "SELECT doc_id AS seq_id, translate(regexp_replace(upper(text), '[^ACGTU]', '', 'g'), 'U', 'T') AS seq FROM documents"
+KMERS = f"""seqs AS ({SEQ}),
+pieces AS (SELECT seq_id, substr(seq, CAST(i AS BIGINT), {K}) AS f FROM (SELECT seq_id, seq, unnest(generate_series(1, length(seq) - {K - 1})) AS i FROM seqs)),
+kmers AS (SELECT seq_id, least(f, translate(reverse(f), 'ACGT', 'TGCA')) AS kmer FROM pieces)"""
+
+
+def _hashed(source: str) -> str:
+    """CTEs from `source` (kmer) to `hashed` (kmer, h: unsigned), for strings of 9 to 15 ASCII bytes."""
+    m = "CAST(18446744073709551616 AS UHUGEINT)"
+    mul = lambda x, c: f"(CAST({x} AS UHUGEINT) * CAST({c} AS UHUGEINT)) % {m}"
+    rot = lambda x, r: f"(({x} * CAST({1 << r} AS UHUGEINT)) % {m} + {x} // CAST({1 << (64 - r)} AS UHUGEINT))"
+    word = lambda a, b: " + ".join(f"CAST(ascii(substr(kmer, {a + i}, 1)) AS UHUGEINT) * CAST({1 << (8 * i)} AS UHUGEINT)" for i in range(b))
+    fix = lambda x: f"xor({x}, {x} // CAST(8589934592 AS UHUGEINT))"
+    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+    steps = [
+        (f"{word(9, K - 8)} AS b", f"{word(1, 8)} AS a"),
+        (f"{mul('b', c2)} AS b", f"{mul('a', c1)} AS a"),
+        (f"{rot('b', 33)} AS b", f"{rot('a', 31)} AS a"),
+        (f"{mul('b', c1)} AS b", f"{mul('a', c2)} AS a"),
+        (f"xor(xor(b, CAST(42 AS UHUGEINT)), CAST({K} AS UHUGEINT)) AS b", f"xor(xor(a, CAST(42 AS UHUGEINT)), CAST({K} AS UHUGEINT)) AS a"),
+        ("b", f"(a + b) % {m} AS a"),
+        (f"(b + a) % {m} AS b", "a"),
+        (f"{fix('b')} AS b", f"{fix('a')} AS a"),
+        (f"{mul('b', 0xFF51AFD7ED558CCD)} AS b", f"{mul('a', 0xFF51AFD7ED558CCD)} AS a"),
+        (f"{fix('b')} AS b", f"{fix('a')} AS a"),
+        (f"{mul('b', 0xC4CEB9FE1A85EC53)} AS b", f"{mul('a', 0xC4CEB9FE1A85EC53)} AS a"),
+        (f"{fix('b')} AS b", f"{fix('a')} AS a"),
+    ]
+    out, last = [], source
+    for k, cols in enumerate(steps):
+        out.append(f"m{k} AS (SELECT kmer, {', '.join(cols)} FROM {last})")
+        last = f"m{k}"
+    return ",\n".join([*out, f"hashed AS (SELECT kmer, (a + b) % {m} AS h FROM {last})"])
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), nucleotides(F.col("text")).alias("seq"))
+
+
+def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sequences(spark, sf_dir).select(F.explode(kmers(F.col("seq"), K)).alias("f"))
+    return pieces.groupBy(canonical(F.col("f")).alias("kmer")).agg(F.count("*").alias("n"))
+
+
+def kmer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer_counts(spark, sf_dir).select("kmer", decimal_hash(murmur_hash("kmer")).alias("h"))
+
+
+def bottom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sketches(sequences(spark, sf_dir), K, SIZE).withColumn("n_kept", F.size("sketch").cast("long")).where("n_kept > 0")
+    return got.select("seq_id", "n_kmers", "n_kept", decimal_hash(F.get("sketch", F.lit(0))).alias("least"), decimal_hash(F.element_at("sketch", -1)).alias("most"))
+
+
+def mash_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every document whose id is divisible by 100, among all."""
+    sketched = sketches(sequences(spark, sf_dir), K, SIZE)
+    return mash_search(sketched.where("seq_id % 100 = 0").select("seq_id"), sketched, K, SIZE, 5)
+
+
+SKETCH = f"""{KMERS}, distinct_kmers AS (SELECT DISTINCT kmer FROM kmers), {_hashed('distinct_kmers')},
+ranked AS (SELECT seq_id, h, row_number() OVER (PARTITION BY seq_id ORDER BY h) AS r, count(*) OVER (PARTITION BY seq_id) AS n_kmers FROM kmers JOIN hashed USING (kmer)),
+sketch AS (SELECT * FROM ranked WHERE r <= {SIZE})"""
+
+MASH = f"""WITH {SKETCH},
+held AS (SELECT seq_id, h, count(*) AS c FROM sketch GROUP BY ALL),
+sizes AS (SELECT seq_id, sum(c) AS n FROM held GROUP BY seq_id),
+filled AS (SELECT seq_id, h, c FROM held UNION ALL SELECT seq_id, 18446744073709551615::UHUGEINT, {SIZE} - n FROM sizes WHERE n < {SIZE}),
+pairs AS (SELECT DISTINCT x.seq_id AS i, y.seq_id AS j FROM held x JOIN held y ON x.h = y.h AND x.seq_id <> y.seq_id WHERE x.seq_id % 100 = 0),
+sides AS (SELECT i, j, least(i, j) AS lo, greatest(i, j) AS hi FROM pairs),
+merged AS (SELECT i, j, h, sum(p) AS p, sum(q) AS q FROM (
+    SELECT i, j, h, c AS p, 0 AS q FROM sides JOIN filled ON seq_id = lo UNION ALL SELECT i, j, h, 0, c FROM sides JOIN filled ON seq_id = hi) GROUP BY i, j, h),
+walked AS (SELECT i, j, p, q, coalesce(sum(CASE WHEN p > 0 THEN p ELSE q END) OVER (PARTITION BY i, j ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM merged),
+shared AS (SELECT i, j, CAST(coalesce(sum(q) FILTER (p > 0 AND before < {SIZE}), 0) AS BIGINT) AS shared FROM walked GROUP BY i, j),
+scored AS (SELECT i, j, shared, round(least(1.0::DOUBLE, abs(ln(2 * (greatest(shared, 1) / {SIZE}.0::DOUBLE) / (1 + greatest(shared, 1) / {SIZE}.0::DOUBLE)) / {K})), 9) AS d FROM shared),
+best AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM scored)
+SELECT i, j, shared, d, rank FROM best WHERE rank <= 5"""
+
+
+# --- alignments: the lines of an order as a family of sequences that follow from their keys
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One aligned sequence per order line: a common ancestor with substitutions, and gaps, that follow from the part's key."""
+    t = F.col("l_partkey") % 97
+
+    def base(i):
+        r = (i * 7919 + t * 104729) % 97
+        own = ((i * 48271 + 11) % 101) % 4
+        at = F.when(r == 50, F.lit(4)).when(r < 8, (own + 1 + (i + t) % 3) % 4).otherwise(own)
+        return F.substr(F.lit("ACGT-"), (at + 1).cast("int"), F.lit(1))
+
+    sites = F.sequence(F.lit(0).cast("long"), F.lit(SITES - 1).cast("long"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("family"), F.col("l_linenumber").cast("long").alias("ord"), F.array_join(F.transform(sites, base), "").alias("aln"))
+
+
+def _distances(model: str, compat: bool = False):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pairs = D.pair_counts(alignments(spark, sf_dir), "family")
+        d = F.round(D.distance(F.col("counts"), model, compat), 6)
+        # undefined distances (identical sequences in the written form of two models) are left out
+        return pairs.select("family", "i", "j", d.alias("d")).where(~F.isnan("d") & (F.abs("d") < 1e9))
+
+    return query
+
+
+def _distance_sql(model: str, compat: bool = False) -> str:
+    head = f"""WITH tips AS (SELECT l_orderkey AS family, CAST(l_linenumber AS BIGINT) AS ord, l_partkey % 97 AS t FROM lineitem),
+kinds AS (SELECT DISTINCT a.t AS t1, b.t AS t2 FROM tips a JOIN tips b ON a.family = b.family AND a.ord < b.ord),
+codes AS (SELECT t, i, CASE WHEN (i * 7919 + t * 104729) % 97 = 50 THEN 4 WHEN (i * 7919 + t * 104729) % 97 < 8
+    THEN (((i * 48271 + 11) % 101) % 4 + 1 + (i + t) % 3) % 4 ELSE ((i * 48271 + 11) % 101) % 4 END AS c
+    FROM (SELECT unnest(range(0, 97)) AS t) CROSS JOIN (SELECT unnest(range(0, {SITES})) AS i)),
+sites AS (SELECT t1, t2, a.c AS x, b.c AS y FROM kinds JOIN codes a ON a.t = t1 JOIN codes b ON b.t = t2 AND b.i = a.i),
+n AS (SELECT t1, t2, count(*) FILTER (x < 4 OR y < 4)::DOUBLE AS useful, count(*) FILTER (x < 4 AND x = y)::DOUBLE AS same,
+  count(*) FILTER (x < 4 AND y < 4)::DOUBLE AS total,
+  count(*) FILTER (x < 4 AND y < 4 AND x <> y AND x % 2 = y % 2)::DOUBLE AS ts, count(*) FILTER (x < 4 AND y < 4 AND x % 2 <> y % 2)::DOUBLE AS tv,
+  {', '.join(f'(count(*) FILTER (x = {b} AND y < 4) + count(*) FILTER (y = {b} AND x < 4))::DOUBLE AS f{b}' for b in range(4))},
+  {', '.join(f'count(*) FILTER ((x = {a} AND y = {b}) OR (x = {b} AND y = {a}))::DOUBLE AS n{a}{b}' for a in range(4) for b in range(a + 1, 4))},
+  count(*) FILTER (x IN (1, 2) AND y < 4 AND x <> y)::DOUBLE AS g1d, count(*) FILTER (y IN (1, 2) AND x < 4 AND x <> y)::DOUBLE AS g2d,
+  count(*) FILTER (x IN (1, 2) AND y < 4)::DOUBLE AS g1a, count(*) FILTER (y IN (1, 2) AND x < 4)::DOUBLE AS g2a
+  FROM sites GROUP BY ALL),
+r AS (SELECT *, 1 - same / useful AS p, ts / total AS tp, tv / total AS tq, (total - same) / total AS dd,
+  f0 / (2 * total) AS q0, f1 / (2 * total) AS q1, f2 / (2 * total) AS q2, f3 / (2 * total) AS q3 FROM n)"""
+    g = "d" if compat else "a"
+    formula = {
+        "p": "p",
+        "jc": "-0.75 * ln(1 - p / 0.75)",
+        "k2p": "-0.5 * ln((1 - 2 * tp - tq) * sqrt(1 - 2 * tq))",
+        "jinnei": "0.5 * (1 / (1 - 2 * tp - tq) + 0.5 / (1 - 2 * tq) - 1.5)",
+        "tamura": f"-c * ln(1 - tp / c - tq) - 0.5 * (1 - c) * ln(1 - 2 * tq)",
+        "tn": "-b * ln(1 - dd / b)",
+    }[model]
+    zero = "CASE WHEN dd = 0 THEN 0.0::DOUBLE ELSE " if not compat and model in ("tn", "tamura") else "CASE WHEN dd = 0 THEN NULL ELSE " if model in ("tn", "tamura") else "CASE WHEN FALSE THEN NULL ELSE "
+    if model == "tamura":
+        c = f", (SELECT *, g1{g} / total AS g1, g2{g} / total AS g2 FROM r) AS z"
+        source = f"(SELECT *, g1 + g2 - 2 * g1 * g2 AS c FROM (SELECT *, g1{g} / total AS g1, g2{g} / total AS g2 FROM r))"
+    elif model == "tn":
+        if compat:
+            h = "0.5 * (n02 * q0 * q2 + n03 * q0 * q3 + n12 * q1 * q2 + n13 * q1 * q3)"
+            b = "0.5 * (1 - q0 * q0 - q2 * q2 + dd * dd / nullif(h, 0))"
+        else:
+            h = " + ".join(f"CASE WHEN n{x}{y} = 0 THEN 0 ELSE n{x}{y} * n{x}{y} / (total * total) / (2 * q{x} * q{y}) END" for x in range(4) for y in range(x + 1, 4))
+            b = "0.5 * (1 - q0 * q0 - q1 * q1 - q2 * q2 - q3 * q3 + dd * dd / nullif(h, 0))"
+        source = f"(SELECT *, {b} AS b FROM (SELECT *, {h} AS h FROM r))"
+    else:
+        source = "r"
+    return f"""{head}, v AS (SELECT t1, t2, round({zero}{formula} END, 6) AS d FROM {source})
+SELECT a.family, a.ord AS i, b.ord AS j, v.d FROM tips a JOIN tips b ON a.family = b.family AND a.ord < b.ord JOIN v ON v.t1 = a.t AND v.t2 = b.t
+WHERE v.d IS NOT NULL AND NOT isnan(v.d) AND abs(v.d) < 1e9"""
+
+
+# --- trees: the orders of a customer as the tips of a tree with known path lengths
+
+PRIORITY = "CAST(substr(o_orderpriority, 1, 1) AS BIGINT)"
+STATUS = "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END"
+TIPS = f"""tips AS (SELECT o_custkey AS grp, o_orderkey AS ord, 0.01 * (1 + o_orderkey % 7) AS p, 0.02 * (1 + {PRIORITY} % 5 + {STATUS}) AS e, 0.03 * {STATUS} AS r,
+  {STATUS} * 10 + {PRIORITY} AS inner_, {STATUS} AS outer_ FROM orders),
+d AS (SELECT a.grp, a.ord AS i, b.ord AS j, CASE WHEN a.ord = b.ord THEN 0 ELSE a.p + b.p + CASE WHEN a.inner_ <> b.inner_ THEN a.e + b.e ELSE 0 END + CASE WHEN a.outer_ <> b.outer_ THEN a.r + b.r ELSE 0 END END AS d
+  FROM tips a JOIN tips b ON a.grp = b.grp)"""
+
+
+def order_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tip per order, in a tree of status, priority and order within each customer."""
+    status = F.when(F.col("o_orderstatus") == "F", 1).when(F.col("o_orderstatus") == "O", 2).otherwise(3)
+    priority = F.substr("o_orderpriority", F.lit(1), F.lit(1)).cast("long")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("ord"), (0.01 * (1 + F.col("o_orderkey") % 7)).alias("p"),
+        (0.02 * (1 + priority % 5 + status)).alias("e"), (0.03 * status).alias("r"), (status * 10 + priority).alias("inner_"), status.cast("long").alias("outer_"),
+    )
+
+
+def nested_metric(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """Path lengths between leaves of a tree of three levels: own edge p, and e and r where the inner or outer node differs."""
+    x = {c: a[c].to_numpy()[:, None] for c in ("p", "e", "r", "inner_", "outer_", "ord")}
+    y = {c: b[c].to_numpy()[None, :] for c in ("p", "e", "r", "inner_", "outer_", "ord")}
+    d = x["p"] + y["p"] + (x["inner_"] != y["inner_"]) * (x["e"] + y["e"]) + (x["outer_"] != y["outer_"]) * (x["r"] + y["r"])
+    return np.where(x["ord"] == y["ord"], 0.0, d)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def nj_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(T.tip_paths(order_tips(spark, sf_dir), "grp", nested_metric, "nj").drop("depth"), "first", "total")
+
+
+def _placed(algorithm: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(T.tip_paths(order_tips(spark, sf_dir), "grp", nested_metric, algorithm), "first", "total", "depth")
+
+    return query
+
+
+PATHS = f"""WITH {TIPS}, f AS (SELECT grp, min(ord) AS a FROM tips GROUP BY grp), g AS (SELECT t.grp, min(t.ord) AS b FROM tips t JOIN f ON f.grp = t.grp AND t.ord > f.a GROUP BY t.grp),
+s AS (SELECT d.grp, i AS ord, round(max(d) FILTER (j = a), 6) AS first, round(sum(d), 6) AS total,
+  round(coalesce(greatest(max(d) FILTER (j = a), max(d) FILTER (j = b)) - max(ab) / 2, 0), 6) AS depth
+  FROM d JOIN f ON f.grp = d.grp LEFT JOIN g ON g.grp = d.grp LEFT JOIN (SELECT d.grp, d AS ab FROM d JOIN f ON f.grp = d.grp JOIN g ON g.grp = d.grp WHERE i = a AND j = b) k ON k.grp = d.grp GROUP BY d.grp, i)"""
+
+
+def order_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of orders of a customer, both ways, with a zero diagonal."""
+    t = order_tips(spark, sf_dir)
+    a = t.select("grp", *[F.col(c).alias(f"{c}1") for c in ("ord", "p", "e", "r", "inner_", "outer_")])
+    b = t.select("grp", *[F.col(c).alias(f"{c}2") for c in ("ord", "p", "e", "r", "inner_", "outer_")])
+    d = F.col("p1") + F.col("p2") + F.when(F.col("inner_1") != F.col("inner_2"), F.col("e1") + F.col("e2")).otherwise(0.0) + F.when(F.col("outer_1") != F.col("outer_2"), F.col("r1") + F.col("r2")).otherwise(0.0)
+    half = a.join(b, "grp").where("ord1 < ord2").select("grp", F.col("ord1").alias("i"), F.col("ord2").alias("j"), d.alias("d"))
+    return D.mirrored(half, ["grp"])
+
+
+def row_sums_u(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(D.row_sums(order_distances(spark, sf_dir), ["grp"]), "u")
+
+
+def nj_q_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(D.next_join(order_distances(spark, sf_dir), ["grp"]), "q", "blx", "bly")
+
+
+Q_SQL = f"""WITH {TIPS}, u AS (SELECT grp, i, sum(d) AS u, count(*) AS n FROM d GROUP BY grp, i HAVING count(*) > 2),
+q AS (SELECT d.grp, d.i, d.j, d.d, a.u AS ui, b.u AS uj, a.n, round(d.d - a.u / (a.n - 2) - b.u / (a.n - 2), 9) AS q FROM d JOIN u a ON a.grp = d.grp AND a.i = d.i JOIN u b ON b.grp = d.grp AND b.i = d.j WHERE d.i < d.j),
+w AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY q, i, j) AS k FROM q),
+x AS (SELECT *, (d + (ui - uj) / (n - 2)) / 2 AS bx FROM w WHERE k = 1),
+y AS (SELECT *, CASE WHEN bx < 0 THEN 0 ELSE bx END AS x0, CASE WHEN bx < 0 THEN d - bx + bx ELSE d - bx END AS y0 FROM x)
+SELECT grp, i, j, round(q, 6) AS q, round(CASE WHEN y0 < 0 THEN x0 + y0 ELSE x0 END, 6) AS blx, round(CASE WHEN y0 < 0 THEN 0 ELSE y0 END, 6) AS bly FROM y"""
+
+
+# --- one tree of all customers, by divide and conquer
+
+CUSTOMERS = """tips AS (SELECT (c_custkey * 7919 % 104729) * 1000000000 + c_custkey AS ord, 0.01 * (1 + c_custkey % 7) AS p, 0.02 * (1 + c_nationkey % 5) AS e, 0.03 * (1 + n_regionkey) AS r,
+  c_nationkey AS inner_, n_regionkey AS outer_ FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+def customer_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return c.select(
+        (F.col("c_custkey") * 7919 % 104729 * 1_000_000_000 + F.col("c_custkey")).alias("ord"), (0.01 * (1 + F.col("c_custkey") % 7)).alias("p"), (0.02 * (1 + F.col("c_nationkey") % 5)).alias("e"),
+        (0.03 * (1 + F.col("n_regionkey"))).alias("r"), F.col("c_nationkey").cast("long").alias("inner_"), F.col("n_regionkey").cast("long").alias("outer_"),
+    )
+
+
+def divide_and_conquer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = place_tips(customer_tips(spark, sf_dir), nested_metric)
+    return _rounded(got.select("ord", "depth"), "depth")
+
+
+DC_SQL = f"""WITH {CUSTOMERS}, k AS (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM tips),
+a AS (SELECT * FROM k WHERE n = 1), b AS (SELECT * FROM k WHERE n = 2),
+d AS (SELECT t.ord, CASE WHEN t.ord = a.ord THEN 0 ELSE t.p + a.p + CASE WHEN t.inner_ <> a.inner_ THEN t.e + a.e ELSE 0 END + CASE WHEN t.outer_ <> a.outer_ THEN t.r + a.r ELSE 0 END END AS da,
+  CASE WHEN t.ord = b.ord THEN 0 ELSE t.p + b.p + CASE WHEN t.inner_ <> b.inner_ THEN t.e + b.e ELSE 0 END + CASE WHEN t.outer_ <> b.outer_ THEN t.r + b.r ELSE 0 END END AS db,
+  a.p + b.p + CASE WHEN a.inner_ <> b.inner_ THEN a.e + b.e ELSE 0 END + CASE WHEN a.outer_ <> b.outer_ THEN a.r + b.r ELSE 0 END AS ab FROM tips t, a, b)
+SELECT ord, round(greatest(da, db) - ab / 2, 6) AS depth FROM d"""
+
+
+# --- tree tables: region, nation, customer and order as one tree
+
+NODES = """nodes AS (SELECT 'root' AS node, NULL AS parent, NULL::DOUBLE AS len
+  UNION ALL SELECT 'r' || r_regionkey, 'root', 0.5::DOUBLE FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.1::DOUBLE * n_nationkey FROM nation
+  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 0.01::DOUBLE * (c_custkey % 9) FROM customer
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 0.001::DOUBLE * (o_orderkey % 11) FROM orders)"""
+
+
+def tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+
+    def rows(name: str, letter: str, key: str, above: str, parent: str, length) -> DataFrame:
+        return t(name).select(F.concat(F.lit(letter), F.col(key)).alias("node"), F.concat(F.lit(above), F.col(parent)).alias("parent"), length.alias("len"))
+
+    root = t("region").limit(1).select(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("double").alias("len"))
+    regions = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit("root").alias("parent"), F.lit(0.5).alias("len"))
+    out = root.unionByName(regions).unionByName(rows("nation", "n", "n_nationkey", "r", "n_regionkey", 0.1 * F.col("n_nationkey")))
+    out = out.unionByName(rows("customer", "c", "c_custkey", "n", "c_nationkey", 0.01 * (F.col("c_custkey") % 9)))
+    return out.unionByName(rows("orders", "o", "o_orderkey", "c", "o_custkey", 0.001 * (F.col("o_orderkey") % 11)))
+
+
+def tree_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.depths(tree_table(spark, sf_dir)).select("node", F.col("depth").cast("long").alias("depth"), F.round("path", 6).alias("path"))
+
+
+def tree_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.leaf_counts(tree_table(spark, sf_dir), 5)
+
+
+def prune_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the orders of odd total price, and without customers, nations and regions that then have no order left."""
+    gone = table(spark, sf_dir, "orders").where("CAST(floor(o_totalprice) AS BIGINT) % 2 = 1").select(F.concat(F.lit("o"), "o_orderkey"))
+    return T.prune(tree_table(spark, sf_dir), gone, 4).select("node", F.coalesce("parent", F.lit("")).alias("parent"))
+
+
+def rescale_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per level of the tree: least, greatest and mean length after a division by 2, zeros and missing ones left out of the mean."""
+    t = T.rescaled(tree_table(spark, sf_dir), 2.0).where("len IS NOT NULL").groupBy(F.substr("node", F.lit(1), F.lit(1)).alias("level"))
+    return _rounded(t.agg(F.count("*").alias("n"), F.min("len").alias("least"), F.max("len").alias("most"), F.avg(F.when(F.col("len") > 1e-7, F.col("len"))).alias("mean")), "least", "most", "mean")
+
+
+def clade_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per customer: the tree of orders by status and priority against the one by priority and status."""
+    tips = order_tips(spark, sf_dir).select("grp", "ord", "outer_", (F.col("inner_") % 10).alias("prio"))
+
+    def clades(*levels: list[str]) -> DataFrame:
+        parts = [tips.groupBy("grp", *cols).agg(F.array_sort(F.collect_list("ord")).alias("clade")).select(F.col("grp").alias("tree"), "clade") for cols in levels]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.union(p)
+        return out
+
+    return T.clade_distance(clades([], ["outer_"], ["outer_", "prio"]), clades([], ["prio"], ["prio", "outer_"]))
+
+
+TREE_SQL = {
+    "tree_depths": f"""WITH RECURSIVE {NODES}, down AS (SELECT node, 0::BIGINT AS depth, 0::DOUBLE AS path FROM nodes WHERE parent IS NULL
+  UNION ALL SELECT n.node, d.depth + 1, d.path + n.len FROM nodes n JOIN down d ON n.parent = d.node) SELECT node, depth, round(path, 6) AS path FROM down""",
+    "tree_leaf_counts": f"""WITH RECURSIVE {NODES}, up AS (SELECT node, parent AS at, (node NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL))::BIGINT AS leaf FROM nodes WHERE parent IS NOT NULL
+  UNION ALL SELECT u.node, n.parent, u.leaf FROM up u JOIN nodes n ON n.node = u.at WHERE n.parent IS NOT NULL)
+SELECT at AS node, sum(leaf)::BIGINT AS n_leaves, count(*) AS n_nodes FROM up GROUP BY at""",
+    "prune_leaves": f"""WITH RECURSIVE {NODES}, kept(node) AS (SELECT n.node FROM nodes n WHERE n.node NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)
+    AND n.node NOT IN (SELECT 'o' || o_orderkey FROM orders WHERE floor(o_totalprice)::BIGINT % 2 = 1)
+  UNION SELECT n.parent FROM nodes n JOIN kept k ON k.node = n.node WHERE n.parent IS NOT NULL)
+SELECT node, coalesce(parent, '') AS parent FROM nodes WHERE node IN (SELECT node FROM kept)""",
+    "rescale_lengths": f"""WITH {NODES}, s AS (SELECT substr(node, 1, 1) AS level, greatest(len / 2, 1e-7::DOUBLE) AS len FROM nodes WHERE len IS NOT NULL)
+SELECT level, count(*) AS n, round(min(len), 6) AS least, round(max(len), 6) AS most, round(avg(len) FILTER (len > 1e-7), 6) AS mean FROM s GROUP BY level""",
+    "clade_rf": f"""WITH {TIPS}, t AS (SELECT grp, ord, outer_, inner_ % 10 AS prio FROM tips),
+x AS (SELECT grp, list(ord ORDER BY ord) AS c FROM t GROUP BY grp UNION SELECT grp, list(ord ORDER BY ord) FROM t GROUP BY grp, outer_ UNION SELECT grp, list(ord ORDER BY ord) FROM t GROUP BY grp, outer_, prio),
+y AS (SELECT grp, list(ord ORDER BY ord) AS c FROM t GROUP BY grp UNION SELECT grp, list(ord ORDER BY ord) FROM t GROUP BY grp, prio UNION SELECT grp, list(ord ORDER BY ord) FROM t GROUP BY grp, outer_, prio)
+SELECT grp AS tree, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (a AND b) AS shared, count(*) FILTER (a) + count(*) FILTER (b) - 2 * count(*) FILTER (a AND b) AS rf
+FROM (SELECT coalesce(x.grp, y.grp) AS grp, x.c IS NOT NULL AS a, y.c IS NOT NULL AS b FROM x FULL JOIN y ON x.grp = y.grp AND x.c = y.c) GROUP BY grp""",
+}
+
+QUERIES = {
+    "kmer_counts": kmer_counts,
+    "kmer_hash": kmer_hash,
+    "bottom_sketch": bottom_sketch,
+    "mash_neighbors": mash_neighbors,
+    **{f"dist_{m}": _distances(m) for m in D.MODELS},
+    **{f"dist_{m}_as_written": _distances(m, True) for m in ("tn", "tamura")},
+    "row_sums_u": row_sums_u,
+    "nj_q_argmin": nj_q_argmin,
+    "nj_paths": nj_paths,
+    "place_exact": _placed("exact"),
+    "place_k_closest": _placed("k_closest"),
+    "divide_and_conquer": divide_and_conquer,
+    "tree_depths": tree_depths,
+    "tree_leaf_counts": tree_leaf_counts,
+    "prune_leaves": prune_leaves,
+    "rescale_lengths": rescale_lengths,
+    "clade_rf": clade_rf,
+}
+ORACLES = {
+    "kmer_counts": f"WITH {KMERS} SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer",
+    "kmer_hash": f"WITH {KMERS}, distinct_kmers AS (SELECT DISTINCT kmer FROM kmers), {_hashed('distinct_kmers')} SELECT kmer, CAST(h AS VARCHAR) AS h FROM hashed",
+    "bottom_sketch": f"WITH {SKETCH} SELECT seq_id, max(n_kmers) AS n_kmers, count(*) AS n_kept, CAST(min(h) AS VARCHAR) AS least, CAST(max(h) AS VARCHAR) AS most FROM sketch GROUP BY seq_id",
+    "mash_neighbors": MASH,
+    **{f"dist_{m}": _distance_sql(m) for m in D.MODELS},
+    **{f"dist_{m}_as_written": _distance_sql(m, True) for m in ("tn", "tamura")},
+    "row_sums_u": f"WITH {TIPS} SELECT grp, i, round(sum(d), 6) AS u FROM d GROUP BY grp, i HAVING count(*) > 1",
+    "nj_q_argmin": Q_SQL,
+    "nj_paths": f"{PATHS} SELECT grp, ord, first, total FROM s",
+    "place_exact": f"{PATHS} SELECT grp, ord, first, total, depth FROM s",
+    "place_k_closest": f"{PATHS} SELECT grp, ord, first, total, depth FROM s",
+    "divide_and_conquer": DC_SQL,
+    **TREE_SQL,
+}
