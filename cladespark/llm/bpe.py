@@ -91,7 +91,7 @@ class Merges:
         """Does merging the text of a and b give just these two?"""
         key = a << 32 | b
         if (known := self.fit.get(key)) is None:
-            if len(self.fit) > 400_000:
+            if len(self.fit) > 300_000:
                 self.fit.clear()
             known = self.fit[key] = self._fits(a, b)
         return known
@@ -178,7 +178,7 @@ class Encoder:
 class Pieces(dict):
     """piece of text -> its tokens, with a bounded memory: what was not asked for while most others came is forgotten."""
 
-    def __init__(self, merges: Merges, most: int = 250_000):
+    def __init__(self, merges: Merges, most: int = 150_000):
         super().__init__()
         self.merges, self.most, self.older = merges, most, {}
 
@@ -256,8 +256,23 @@ def decode(docs: DataFrame, ids: str = "ids", out: str = "decoded", vocab: str =
     return with_made(docs, ids, f"{out} string", maker)
 
 
+def encode_and_decode(docs: DataFrame, text: str = "text", ids: str = "ids", out: str = "decoded", vocab: str = VOCAB) -> DataFrame:
+    """encode() and decode() in one pass, so that a task needs one Python process instead of two."""
+
+    def maker():
+        own = codec(place(vocab))
+
+        def both(texts: list) -> list:
+            encoded = [own.encode(t or "") for t in texts]
+            return [encoded, [decoded(x, own.merges.bytes_of) for x in encoded]]
+
+        return both
+
+    return with_made(docs, text, f"{ids} array<int>, {out} string", maker)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    both = decode(encode(docs.select("doc_id", "text")).drop("text"))
+    both = encode_and_decode(docs.select("doc_id", "text")).drop("text")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.bpe import decode, encode
+from cladespark.llm.bpe import encode_and_decode
 from cladespark.llm.common import materialized, table, without
 from cladespark.llm.decontamination import leaks
 from cladespark.llm.near_dup import near_duplicates
@@ -41,7 +41,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    both = decode(encode(docs.select("doc_id", "lang", "source", "n_chars", "text")))
+    both = encode_and_decode(docs.select("doc_id", "lang", "source", "n_chars", "text"))
     return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
