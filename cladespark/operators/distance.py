@@ -1,100 +1,80 @@
 """Distances of aligned sequences under six substitution models, and operations on distance matrices.
 
 All models follow from the joint counts of (base, base) over the sites of a pair, which an Arrow function takes from
-the two strings at once; the formulas are columns. Arguments of logarithms that are not positive give NaN (or infinity
-where the limit is), as in IEEE arithmetic, not NULL.
+the two strings at once, with the formulas on whole batches. Arguments of logarithms that are not positive give NaN or
+infinity, as in IEEE arithmetic, not NULL.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType
 
 MODELS = ("p", "jc", "tn", "k2p", "tamura", "jinnei")
 _codes = np.full(256, 4, np.uint8)
 _codes[[ord(c) for c in "ACGTU"]] = [0, 1, 2, 3, 3]
 
 
-@pandas_udf(ArrayType(LongType()))
-def joint_counts(a: pd.Series, b: pd.Series) -> pd.Series:
+def joint_counts(a: str, b: str) -> np.ndarray:
     """25 counts: at 5 x + y, how many sites have code x in the first and y in the second sequence (A0 C1 G2 T3, else 4)."""
-    out = []
-    for s, t in zip(a, b):
-        x, y = (_codes[np.frombuffer(v.encode("ascii", "replace"), np.uint8)] for v in (s, t))
-        n = min(len(x), len(y))
-        out.append(np.bincount(5 * x[:n] + y[:n], minlength=25))
-    return pd.Series(out, dtype=object)
-
-
-def _sum(counts: Column, cells) -> Column:
-    total = F.lit(0).cast("double")
-    for x, y in cells:
-        total = total + counts[5 * x + y]
-    return total
-
-
-def _ln(x: Column) -> Column:
-    return F.when(x > 0, F.log(x)).when(x == 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
-
-
-def _over(x: Column, y: Column) -> Column:
-    return F.when(y != 0, x / F.when(y != 0, y)).when(x > 0, F.lit(float("inf"))).when(x < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
-
-
-def distance(counts: Column, model: str, compat: bool = False) -> Column:
-    """counts: of joint_counts. compat changes tn and tamura only: True takes them as the matched engine writes them (other than
-    the textbooks do); False gives Tajima-Nei 1984 and Tamura 1992, with 0 for identical sequences."""
-    bases = range(4)
-    both = [(x, y) for x in bases for y in bases]
-    match = _sum(counts, [(x, x) for x in bases])
-    if model in ("p", "jc"):
-        # a base against a gap is a mismatch; a gap against a gap is no site
-        useful = _sum(counts, [(x, y) for x in range(5) for y in range(5) if x < 4 or y < 4])
-        p = 1 - _over(match, useful)
-        return p if model == "p" else -0.75 * _ln(1 - p / 0.75)
-    total = _sum(counts, both)
-    if model == "tn":
-        f = [(_sum(counts, [(b, y) for y in bases]) + _sum(counts, [(x, b) for x in bases])) / (2 * F.when(total > 0, total)) for b in bases]
-        d = _over(total - match, total)
-        if compat:
-            pairs = ((0, 2), (0, 3), (1, 2), (1, 3))
-            h = 0.5 * sum((_sum(counts, [(x, y), (y, x)]) * f[x] * f[y] for x, y in pairs), F.lit(0.0))
-            b = 0.5 * (1 - f[0] * f[0] - f[2] * f[2] + _over(d * d, h))
-        else:
-            pairs = [(x, y) for x in bases for y in bases if x < y]
-            c = sum((_over(_sum(counts, [(x, y), (y, x)]) * _sum(counts, [(x, y), (y, x)]) / (total * total), 2 * f[x] * f[y]) for x, y in pairs), F.lit(0.0))
-            b = 0.5 * (1 - sum((v * v for v in f), F.lit(0.0)) + _over(d * d, c))
-        out = -b * _ln(1 - _over(d, b))
-        return out if compat else F.when(d == 0, 0.0).otherwise(out)
-    swaps = [(0, 2), (2, 0), (1, 3), (3, 1)]
-    p = _over(_sum(counts, swaps), total)
-    q = _over(_sum(counts, [(x, y) for x, y in both if x != y and (x, y) not in swaps]), total)
-    if model == "k2p":
-        root = F.when(1 - 2 * q >= 0, F.sqrt(F.when(1 - 2 * q >= 0, 1 - 2 * q))).otherwise(F.lit(float("nan")))
-        return -0.5 * _ln((1 - 2 * p - q) * root)
-    if model == "jinnei":
-        return 0.5 * (_over(F.lit(1.0), 1 - 2 * p - q) + _over(F.lit(0.5), 1 - 2 * q) - 1.5)
-    if model == "tamura":
-        sites = [(x, y) for x, y in both if x != y or not compat]
-        g1 = _over(_sum(counts, [(x, y) for x, y in sites if x in (1, 2)]), total)
-        g2 = _over(_sum(counts, [(x, y) for x, y in sites if y in (1, 2)]), total)
-        c = g1 + g2 - 2 * g1 * g2
-        out = -c * _ln(1 - _over(p, c) - q) - 0.5 * (1 - c) * _ln(1 - 2 * q)
-        return out if compat else F.when((p == 0) & (q == 0), 0.0).otherwise(out)
+    x, y = (_codes[np.frombuffer(v.encode("ascii", "replace"), np.uint8)] for v in (a, b))
+    n = min(len(x), len(y))
+    return np.bincount(5 * x[:n] + y[:n], minlength=25)
+
+
+def distances(counts: np.ndarray, model: str, compat: bool = False) -> np.ndarray:
+    """counts: one row of joint counts per pair. compat changes tn and tamura only: True takes them as the matched engine writes
+    them (other than the textbooks do); False gives Tajima-Nei 1984 and Tamura 1992, with 0 for identical sequences."""
+    n = counts.reshape(-1, 5, 5).astype(float)
+    inner = n[:, :4, :4]
+    match, total = np.trace(inner, axis1=1, axis2=2), inner.sum(axis=(1, 2))
+    with np.errstate(all="ignore"):
+        if model in ("p", "jc"):
+            # a base against a gap is a mismatch; a gap against a gap is no site
+            p = 1 - match / (n.sum(axis=(1, 2)) - n[:, 4, 4])
+            return p if model == "p" else -0.75 * np.log(1 - p / 0.75)
+        if model == "tn":
+            f = (inner.sum(axis=2) + inner.sum(axis=1)) / (2 * total[:, None])
+            d = (total - match) / total
+            both = inner + inner.transpose(0, 2, 1)
+            if compat:
+                h = 0.5 * sum(both[:, x, y] * f[:, x] * f[:, y] for x, y in ((0, 2), (0, 3), (1, 2), (1, 3)))
+                b = 0.5 * (1 - f[:, 0] ** 2 - f[:, 2] ** 2 + d * d / h)
+                return -b * np.log(1 - d / b)
+            pairs = [(x, y) for x in range(4) for y in range(x + 1, 4)]
+            h = sum(np.where(both[:, x, y] > 0, (both[:, x, y] / total) ** 2 / (2 * f[:, x] * f[:, y]), 0.0) for x, y in pairs)
+            b = 0.5 * (1 - (f * f).sum(axis=1) + d * d / h)
+            return np.where(d == 0, 0.0, -b * np.log(1 - d / b))
+        p = (inner[:, 0, 2] + inner[:, 2, 0] + inner[:, 1, 3] + inner[:, 3, 1]) / total
+        q = 1 - match / total - p
+        if model == "k2p":
+            return -0.5 * np.log((1 - 2 * p - q) * np.sqrt(1 - 2 * q))
+        if model == "jinnei":
+            return 0.5 * (1 / (1 - 2 * p - q) + 0.5 / (1 - 2 * q) - 1.5)
+        if model == "tamura":
+            sites = inner * (1 - np.eye(4)) if compat else inner
+            g1, g2 = sites[:, 1:3, :].sum(axis=(1, 2)) / total, sites[:, :, 1:3].sum(axis=(1, 2)) / total
+            c = g1 + g2 - 2 * g1 * g2
+            out = -c * np.log(1 - p / c - q) - 0.5 * (1 - c) * np.log(1 - 2 * q)
+            return out if compat else np.where((p == 0) & (np.abs(q) < 1e-15), 0.0, out)
     raise ValueError(f"no such model: {model}")
 
 
-def pair_counts(alignments: DataFrame, group: str) -> DataFrame:
-    """alignments: a group column, ord, aln. All pairs i < j inside each group with their joint counts: group, i, j, counts.
+def pair_distances(alignments: DataFrame, group: str, model: str, compat: bool = False) -> DataFrame:
+    """alignments: a group column, ord, aln. All pairs i < j inside each group with their distance: group, i, j, d.
 
     Groups are the families that are compared within themselves; they have to be small, as the pairs of each are made."""
+
+    @pandas_udf("double")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(distances(np.array([joint_counts(x, y) for x, y in zip(a, b)]), model, compat) if len(a) else [], dtype=float)
+
     a = alignments.select(group, F.col("ord").alias("i"), F.col("aln").alias("x"))
     b = alignments.select(group, F.col("ord").alias("j"), F.col("aln").alias("y"))
-    return a.join(b, group).where("i < j").select(group, "i", "j", joint_counts("x", "y").alias("counts"))
+    return a.join(b, group).where("i < j").select(group, "i", "j", distance("x", "y").alias("d"))
 
 
 def mirrored(dist: DataFrame, keys: list[str] | None = None) -> DataFrame:

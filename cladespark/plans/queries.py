@@ -120,10 +120,9 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _distances(model: str, compat: bool = False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = D.pair_counts(alignments(spark, sf_dir), "family")
-        d = F.round(D.distance(F.col("counts"), model, compat), 6)
+        pairs = D.pair_distances(alignments(spark, sf_dir), "family", model, compat).withColumn("d", F.round("d", 6))
         # undefined distances (identical sequences in the written form of two models) are left out
-        return pairs.select("family", "i", "j", d.alias("d")).where(~F.isnan("d") & (F.abs("d") < 1e9))
+        return pairs.where(~F.isnan("d") & (F.abs("d") < 1e9))
 
     return query
 
