@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import table, with_made
+from cladespark.llm.common import Remembered, table, with_made
 
 VOCAB = "byte_bpe_50k.json"
 #: Bytes that are fed at once; longer pieces are streamed.
@@ -129,6 +129,27 @@ class Merges:
         return most + self.longest
 
 
+def extend(m: Merges, text: str, last: list[int], sizes: list[int], before: int, done: int) -> None:
+    """last and sizes: the last token of each prefix of text and its size, known up to `done`; they are carried on to the end.
+    text: bytes as Latin-1 letters; before: the token to the left of text, or -1."""
+    known, slow = m.fit.get, m.fits
+    for end, (token, size) in m.suffixes.iter(text, max(0, done - m.longest)):
+        if end < done:
+            continue  # this prefix has its last token
+        start = end + 1 - size
+        left = last[start] if start else before
+        if left < 0:
+            fit = m.whole(token)
+        elif (fit := known(left << 32 | token)) is None:
+            fit = slow(left, token)
+        if fit:
+            last.append(token)
+            sizes.append(size)
+            done = end + 1
+    if done < len(text):
+        raise ValueError("the vocabulary lacks a byte")
+
+
 class Encoder:
     """Reads the bytes of one piece in portions; feed() and finish() return the tokens that have become final."""
 
@@ -138,25 +159,9 @@ class Encoder:
 
     def feed(self, portion: str) -> list[int]:
         """portion: bytes as Latin-1 letters."""
-        m, text, last, sizes, before = self.m, self.text + portion, self.last, self.sizes, self.before
-        known, slow, done = m.fit.get, m.fits, len(self.text)
-        for end, (token, size) in m.suffixes.iter(text, max(0, done - m.longest)):
-            if end < done:
-                continue  # this prefix has its last token
-            start = end + 1 - size
-            left = last[start] if start else before
-            if left < 0:
-                fit = m.whole(token)
-            elif (fit := known(left << 32 | token)) is None:
-                fit = slow(left, token)
-            if fit:
-                last.append(token)
-                sizes.append(size)
-                done = end + 1
-        if done < len(text):
-            raise ValueError("the vocabulary lacks a byte")
-        self.text = text
-        return self._emit(len(text) - m.lookahead) if len(text) > 2 * m.lookahead else []
+        done, self.text = len(self.text), self.text + portion
+        extend(self.m, self.text, self.last, self.sizes, self.before, done)
+        return self._emit(len(self.text) - self.m.lookahead) if len(self.text) > 2 * self.m.lookahead else []
 
     def _emit(self, upto: int) -> list[int]:
         end, out = len(self.text), []
@@ -175,41 +180,40 @@ class Encoder:
         return self._emit(len(self.text))
 
 
-class Pieces(dict):
-    """piece of text -> its tokens, with a bounded memory: what was not asked for while most others came is forgotten."""
-
-    def __init__(self, merges: Merges, most: int = 150_000):
-        super().__init__()
-        self.merges, self.most, self.older = merges, most, {}
-
-    def __missing__(self, piece: str) -> list[int]:
-        if (out := self.older.get(piece)) is None:
-            data, encoder = piece.encode("utf-8").decode("latin-1"), Encoder(self.merges)
-            out = [t for k in range(0, len(data), CHUNK) for t in encoder.feed(data[k : k + CHUNK])] + encoder.finish()
-            if len(data) > 64:
-                return out
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[piece] = out
-        return out
-
-
 class Codec:
     def __init__(self, path: str):
         self.merges = Merges(path)
-        self.pieces = Pieces(self.merges)
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")") if self.merges.special else None
+        self.pieces = Remembered(self._piece, 250_000)
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        """A piece that fits one portion: nothing has to be emitted before its end."""
+        text, last, sizes, out = piece.encode("utf-8").decode("latin-1"), [-1], [0], []
+        extend(self.merges, text, last, sizes, -1, 0)
+        end = len(text)
+        while end:
+            out.append(last[end])
+            end -= sizes[end]
+        return tuple(reversed(out))
+
+    def _long(self, piece: str) -> list[int]:
+        data, encoder = piece.encode("utf-8").decode("latin-1"), Encoder(self.merges)
+        return [t for k in range(0, len(data), CHUNK) for t in encoder.feed(data[k : k + CHUNK])] + encoder.finish()
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.marks.split(text) if self.marks else [text]:
             if part in self.merges.special:
                 out.append(self.merges.special[part])
-            else:
-                for tokens in map(self.pieces.__getitem__, self.split.findall(part)):
+                continue
+            pieces = self.split.findall(part)
+            if max(map(len, pieces), default=0) <= 48:
+                for tokens in map(self.pieces.__getitem__, pieces):
                     out += tokens
+            else:
+                for piece in pieces:
+                    out += self.pieces[piece] if len(piece) <= 48 else self._long(piece)
         return out
 
 
