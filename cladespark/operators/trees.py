@@ -88,13 +88,14 @@ def clade_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def prune(tree: DataFrame, leaves: DataFrame, levels: int) -> DataFrame:
     """The tree without these leaves (one column) and without inner nodes that have no leaf left; for trees of `levels` levels."""
-    kept = tree.join(leaves.toDF("__leaf"), F.col("node") == F.col("__leaf"), "left_anti")
-    inner = tree.select(F.col("parent").alias("p")).where("p IS NOT NULL").distinct()
+    above = tree.select(F.col("parent").alias("__up")).where("__up IS NOT NULL").distinct()
+    alive = tree.join(above, F.col("node") == F.col("__up"), "left_anti").join(leaves.toDF("__leaf"), F.col("node") == F.col("__leaf"), "left_anti")
+    out = alive
     for _ in range(levels):
-        alive = kept.select(F.col("parent").alias("a")).where("a IS NOT NULL").distinct()
-        is_inner = kept.join(inner, F.col("node") == F.col("p"), "left_semi").join(alive, F.col("node") == F.col("a"), "left_semi")
-        kept = kept.join(inner, F.col("node") == F.col("p"), "left_anti").unionByName(is_inner)
-    return kept
+        next_ = alive.select(F.col("parent").alias("__next")).where("__next IS NOT NULL").distinct()
+        alive = tree.select(*[F.col(c).alias(c) for c in tree.columns]).join(next_, F.col("node") == F.col("__next"), "left_semi")
+        out = out.unionByName(alive)
+    return out.distinct()
 
 
 def rescaled(tree: DataFrame, by: float, least: float = 1e-7) -> DataFrame:

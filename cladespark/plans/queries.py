@@ -216,7 +216,7 @@ def _placed(algorithm: str):
 
 
 PATHS = f"""WITH {TIPS}, f AS (SELECT grp, min(ord) AS a FROM tips GROUP BY grp), g AS (SELECT t.grp, min(t.ord) AS b FROM tips t JOIN f ON f.grp = t.grp AND t.ord > f.a GROUP BY t.grp),
-s AS (SELECT d.grp, i AS ord, round(max(d) FILTER (j = a), 6) AS first, round(sum(d), 6) AS total,
+s AS (SELECT d.grp, i AS ord, round((max(d) FILTER (j = a))::DOUBLE, 6) AS first, round(sum(d)::DOUBLE, 6) AS total,
   round(coalesce(greatest(max(d) FILTER (j = a), max(d) FILTER (j = b)) - max(ab) / 2, 0), 6) AS depth
   FROM d JOIN f ON f.grp = d.grp LEFT JOIN g ON g.grp = d.grp LEFT JOIN (SELECT d.grp, d AS ab FROM d JOIN f ON f.grp = d.grp JOIN g ON g.grp = d.grp WHERE i = a AND j = b) k ON k.grp = d.grp GROUP BY d.grp, i)"""
 
@@ -333,9 +333,9 @@ def clade_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
 TREE_SQL = {
     "tree_depths": f"""WITH RECURSIVE {NODES}, down AS (SELECT node, 0::BIGINT AS depth, 0::DOUBLE AS path FROM nodes WHERE parent IS NULL
   UNION ALL SELECT n.node, d.depth + 1, d.path + n.len FROM nodes n JOIN down d ON n.parent = d.node) SELECT node, depth, round(path, 6) AS path FROM down""",
-    "tree_leaf_counts": f"""WITH RECURSIVE {NODES}, up AS (SELECT node, parent AS at, (node NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL))::BIGINT AS leaf FROM nodes WHERE parent IS NOT NULL
-  UNION ALL SELECT u.node, n.parent, u.leaf FROM up u JOIN nodes n ON n.node = u.at WHERE n.parent IS NOT NULL)
-SELECT at AS node, sum(leaf)::BIGINT AS n_leaves, count(*) AS n_nodes FROM up GROUP BY at""",
+    "tree_leaf_counts": f"""WITH RECURSIVE {NODES}, up AS (SELECT node, parent AS above, (node NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL))::BIGINT AS leaf FROM nodes WHERE parent IS NOT NULL
+  UNION ALL SELECT u.node, n.parent, u.leaf FROM up u JOIN nodes n ON n.node = u.above WHERE n.parent IS NOT NULL)
+SELECT above AS node, sum(leaf)::BIGINT AS n_leaves, count(*) AS n_nodes FROM up GROUP BY above""",
     "prune_leaves": f"""WITH RECURSIVE {NODES}, kept(node) AS (SELECT n.node FROM nodes n WHERE n.node NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)
     AND n.node NOT IN (SELECT 'o' || o_orderkey FROM orders WHERE floor(o_totalprice)::BIGINT % 2 = 1)
   UNION SELECT n.parent FROM nodes n JOIN kept k ON k.node = n.node WHERE n.parent IS NOT NULL)
@@ -375,7 +375,7 @@ ORACLES = {
     "mash_neighbors": MASH,
     **{f"dist_{m}": _distance_sql(m) for m in D.MODELS},
     **{f"dist_{m}_as_written": _distance_sql(m, True) for m in ("tn", "tamura")},
-    "row_sums_u": f"WITH {TIPS} SELECT grp, i, round(sum(d), 6) AS u FROM d GROUP BY grp, i HAVING count(*) > 1",
+    "row_sums_u": f"WITH {TIPS} SELECT grp, i, round(sum(d)::DOUBLE, 6) AS u FROM d GROUP BY grp, i HAVING count(*) > 1",
     "nj_q_argmin": Q_SQL,
     "nj_paths": f"{PATHS} SELECT grp, ord, first, total FROM s",
     "place_exact": f"{PATHS} SELECT grp, ord, first, total, depth FROM s",
