@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladespark.operators.kernels import NEAREST, neighbor_joining, path_lengths, place_all
+from cladespark.sources.shared import materialized
 
 #: (rows a, rows b) -> matrix of distances.
 Metric = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
@@ -53,14 +54,23 @@ def tip_paths(tips: DataFrame, group: str, metric: Metric, algorithm: str = "nj"
     return tips.groupBy(group).applyInPandas(paths, f"{group} {kind}, ord long, first double, total double, depth double")
 
 
-def depths(tree: DataFrame, most: int = 64) -> DataFrame:
-    """tree: node, parent (null at roots), len. Adds depth (edges from the root), path (length from the root) by a recursive query."""
-    tree.createOrReplaceTempView("__tree")
-    return tree.sparkSession.sql(f"""
-        WITH RECURSIVE down(node, depth, path) MAX RECURSION LEVEL {most} AS (
-            SELECT node, 0, CAST(0 AS DOUBLE) FROM __tree WHERE parent IS NULL
-            UNION ALL SELECT t.node, d.depth + 1, d.path + t.len FROM __tree t JOIN down d ON t.parent = d.node)
-        SELECT t.*, d.depth, d.path FROM __tree t JOIN down d ON t.node = d.node""")
+def depths(tree: DataFrame) -> DataFrame:
+    """tree: node, parent (null at roots), len. Adds depth (edges from the root) and path (length from the root), a level at a time:
+    one join for each level, and each level is written, so that plans stay short."""
+    level = tree.where("parent IS NULL").withColumns({"depth": F.lit(0).cast("long"), "path": F.lit(0.0)})
+    out = []
+    while True:
+        level = materialized(level, "level")
+        if not level.head(1):
+            break
+        out.append(level)
+        above = level.select(F.col("node").alias("__up"), F.col("depth").alias("__depth"), F.col("path").alias("__path"))
+        below = tree.join(above, F.col("parent") == F.col("__up"))
+        level = below.select(*tree.columns, (F.col("__depth") + 1).alias("depth"), (F.col("__path") + F.col("len")).alias("path"))
+    found = tree.withColumns({"depth": F.lit(0).cast("long"), "path": F.lit(0.0)}).where("false")
+    for part in out:
+        found = found.unionByName(part)
+    return found
 
 
 def leaf_counts(tree: DataFrame, levels: int) -> DataFrame:
@@ -90,10 +100,11 @@ def prune(tree: DataFrame, leaves: DataFrame, levels: int) -> DataFrame:
     """The tree without these leaves (one column) and without inner nodes that have no leaf left; for trees of `levels` levels."""
     above = tree.select(F.col("parent").alias("__up")).where("__up IS NOT NULL").distinct()
     alive = tree.join(above, F.col("node") == F.col("__up"), "left_anti").join(leaves.toDF("__leaf"), F.col("node") == F.col("__leaf"), "left_anti")
+    alive = materialized(alive, "alive")
     out = alive
     for _ in range(levels):
-        next_ = alive.select(F.col("parent").alias("__next")).where("__next IS NOT NULL").distinct()
-        alive = tree.select(*[F.col(c).alias(c) for c in tree.columns]).join(next_, F.col("node") == F.col("__next"), "left_semi")
+        wanted = alive.select(F.col("parent").alias("__next")).where("__next IS NOT NULL").distinct()
+        alive = materialized(tree.join(wanted, F.col("node") == F.col("__next"), "left_semi"), "alive")
         out = out.unionByName(alive)
     return out.distinct()
 

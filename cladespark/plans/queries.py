@@ -297,7 +297,7 @@ def tree_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.depths(tree_table(spark, sf_dir)).select("node", F.col("depth").cast("long").alias("depth"), F.round("path", 6).alias("path"))
+    return T.depths(tree_table(spark, sf_dir)).select("node", "depth", F.round("path", 6).alias("path"))
 
 
 def tree_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

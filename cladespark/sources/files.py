@@ -41,7 +41,7 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
                     out.append((path, len(out), name, seq))
                 yield pd.DataFrame(out, columns=["path", "ord", "name", "seq"])
 
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return whole.mapInPandas(records, "path string, ord long, name string, seq string")
 
 
