@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cladespark.sources.shared import materialized, shared_dir  # noqa: F401  for the operators
+
 #: A word: what stands between space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not found:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        found = context._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: lineage ends there, and lost executors lose none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str = "doc_id") -> Column:
     """The fold that no label may be learnt from. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
