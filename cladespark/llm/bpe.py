@@ -185,7 +185,7 @@ class Codec:
         self.merges = Merges(path)
         self.split = regex.compile(public_tokenizers.PATTERN)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")") if self.merges.special else None
-        self.pieces = Remembered(self._piece, 250_000)
+        self.pieces = Remembered(self._piece, 200_000)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         """A piece that fits one portion: nothing has to be emitted before its end."""

@@ -53,13 +53,17 @@ def word_hash_bytes(word: bytes) -> int:
 
 #: Rows that Python works on at once: bounds the memory of what it makes of them.
 ROWS = 500
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Callable[[list], list]]) -> DataFrame:
     """df with new columns (fields: a DDL list; equal names are replaced) that are made of the values of one column.
 
     maker runs once in each task and gives a function: values (None where null) -> one list of results for each new column.
+    Where the session leaves Spark's batch size as it is, it is set to ROWS: texts are long, and executors hold a batch twice.
     """
+    if df.sparkSession.conf.get(BATCH) == "10000":
+        df.sparkSession.conf.set(BATCH, ROWS)
     new = T._parse_datatype_string(fields)
     kept = [f for f in df.schema.fields if f.name not in new.names]
     kinds, names, of = [to_arrow_type(f.dataType) for f in new.fields], [f.name for f in kept], column

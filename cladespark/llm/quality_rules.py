@@ -31,6 +31,8 @@ MODEL = "piece_bpe_32k.model"
 WIDTH = 5.0
 #: Languages with fewer judged documents of a length than this use the band of their script.
 LEAST = 50
+#: Bands (of less than 200 bytes each) are broadcast up to this many.
+MOST_BANDS = 50_000
 #: No band is narrower than this on either side.
 FLOOR = {"chars_per_token": 0.1, "byte_share": 0.02, "entropy": 0.03}
 MEASURES = ("chars_per_token", "byte_share", "entropy")
@@ -118,16 +120,21 @@ def bands(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.struct(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in MEASURES]).alias("band"))
 
 
+def small(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has been counted to be small; documents are then judged without a shuffle."""
+    return F.broadcast(table) if table.count() <= MOST_BANDS else table
+
+
 def verdicts(rows: DataFrame, lang: str = "lang", width: float = WIDTH, least: int = LEAST) -> DataFrame:
     """rows: the columns of BASE, script, n_tokens and MEASURES. Adds base_failed, outside (measures out of their band) and kept."""
     rows = rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     rows = rows.withColumn("__size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)).cast("double"))).cast("int"))
     judged = rows.where(~F.col("base_failed"))
-    # one row for each language or script and length: their number does not grow with the corpus
+    # one row for each language or script and length
     by_lang = bands(judged.withColumnRenamed(lang, "__lang"), "__lang", "__size").where(F.col("n") >= least)
     by_script = bands(judged.withColumnRenamed("script", "__script"), "__script", "__size")
-    l = by_lang.select("__lang", F.col("__size").alias("__ls"), F.col("band").alias("__l"))
-    s = by_script.select("__script", F.col("__size").alias("__ss"), F.col("band").alias("__s"))
+    l = small(materialized(by_lang.select("__lang", F.col("__size").alias("__ls"), F.col("band").alias("__l")), "lang-bands"))
+    s = small(materialized(by_script.select("__script", F.col("__size").alias("__ss"), F.col("band").alias("__s")), "script-bands"))
     got = rows.join(l, F.col(lang).eqNullSafe(F.col("__lang")) & (F.col("__size") == F.col("__ls")), "left")
     got = got.join(s, (F.col("script") == F.col("__script")) & (F.col("__size") == F.col("__ss")), "left")
     outside = []
