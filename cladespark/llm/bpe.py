@@ -16,7 +16,6 @@ from __future__ import annotations
 import bisect
 import codecs
 import json
-from functools import lru_cache
 
 import ahocorasick
 import public_tokenizers
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import Remembered, table, with_made
+from cladespark.llm.common import Remembered, held, table, with_made
 
 VOCAB = "byte_bpe_50k.json"
 #: Bytes that are fed at once; longer pieces are streamed.
@@ -225,14 +224,12 @@ def decoded(ids: list[int], of: dict[int, bytes]) -> str:
     return "".join(out) + state.decode(b"", True)
 
 
-@lru_cache(4)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held(("codec", path), lambda: Codec(path))
 
 
-@lru_cache(4)
 def token_bytes(path: str) -> dict[int, bytes]:
-    return vocabulary(json.load(open(path, encoding="utf-8")))[0]
+    return held(("bytes", path), lambda: vocabulary(json.load(open(path, encoding="utf-8")))[0])
 
 
 def place(vocab: str) -> str:

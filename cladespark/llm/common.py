@@ -51,6 +51,23 @@ def word_hash_bytes(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """make(), kept by this Python process for later tasks of the same kind until it turns to another kind."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def release(kind: str) -> None:
+    """Forgets the kept model when the process turns to another kind of task."""
+    if _held.get("kind") != kind:
+        _held.clear()
+        _held["kind"] = kind
+
+
 #: Rows that Python works on at once: bounds the memory of what it makes of them.
 ROWS = 500
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -69,6 +86,7 @@ def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Calla
     kinds, names, of = [to_arrow_type(f.dataType) for f in new.fields], [f.name for f in kept], column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(f"{maker.__module__}.{maker.__qualname__}")
         make = maker()
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):

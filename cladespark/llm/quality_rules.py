@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import WORD, materialized, table, with_made
+from cladespark.llm.common import WORD, held, materialized, table, with_made
 
 MODEL = "piece_bpe_32k.model"
 #: A band reaches so many quartile distances from the middle, to either side.
@@ -91,9 +91,8 @@ class Fertility:
         return out
 
 
-@lru_cache(2)
 def fertility(path: str) -> Fertility:
-    return Fertility(path)
+    return held(("fertility", path), lambda: Fertility(path))
 
 
 def measured(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:

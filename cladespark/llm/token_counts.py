@@ -14,7 +14,6 @@ text; repeated rows are each counted; other columns are kept, and one with an ou
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -23,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import Remembered, table, with_made
+from cladespark.llm.common import Remembered, held, table, with_made
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -117,9 +116,8 @@ class PrefixCounter:
         return len(text)
 
 
-@lru_cache(4)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return held(("counter", path), lambda: PrefixCounter(path))
 
 
 def _own(model: str) -> PrefixCounter:

@@ -19,7 +19,6 @@ from __future__ import annotations
 import bisect
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cladespark.llm.common import Remembered, held_out, materialized, table, with_made
+from cladespark.llm.common import Remembered, held, held_out, materialized, table, with_made
 
 MOST_LABELLED = 10_000
 MOST_TERMS = 2_000
@@ -176,9 +175,8 @@ class Model:
     weights: tuple[float, ...]  # of the features, and the constant
 
 
-@lru_cache(4)
 def scorer(terms: tuple[tuple[str, float], ...]) -> Scorer:
-    return Scorer(dict(terms))
+    return held(("scorer", terms), lambda: Scorer(dict(terms)))
 
 
 def with_features(rows: DataFrame, terms: tuple[tuple[str, float], ...], text: str = "text") -> DataFrame:
