@@ -2,9 +2,9 @@
 
 A public vocabulary with byte fallback measures each text: characters per token, share of byte-fallback tokens,
 and the entropy of its tokens relative to the most that so many tokens could have. Per language and power of two
-of the token count (script where a language has few such documents) the corpus gives the middle and the quartiles
-of each measure over all documents, and a document far outside the band of its own kind is rejected, as are those
-that the base rules reject.
+of the token count (script where a language has few such texts) the corpus gives the middle and the quartiles of
+each measure over all distinct texts, so that copies of one text do not narrow the band of others, and a document far
+outside the band of its own kind is rejected, as are those that the base rules reject.
 
 Cases: null or empty text has no words and fails the base rules; a null language is a group of its own script;
 repeated rows are each judged alike; an empty table gives an empty one; other columns are kept, and one with
@@ -29,13 +29,15 @@ from cladespark.llm.common import WORD, held, materialized, table, with_made
 MODEL = "piece_bpe_32k.model"
 #: A band reaches so many quartile distances from the middle, to either side.
 WIDTH = 5.0
-#: Languages with fewer judged documents of a length than this use the band of their script.
+#: Languages with fewer distinct judged texts of a length than this use the band of their script.
 LEAST = 50
 #: Bands (of less than 200 bytes each) are broadcast up to this many.
 MOST_BANDS = 50_000
 #: No band is narrower than this on either side.
 FLOOR = {"chars_per_token": 0.1, "byte_share": 0.02, "entropy": 0.03}
 MEASURES = ("chars_per_token", "byte_share", "entropy")
+#: Columns that name a text.
+TEXT = ("__text1", "__text2")
 _word = re.compile(WORD)
 _symbol = re.compile(r"[#*$%&|<>]")
 
@@ -96,7 +98,7 @@ def fertility(path: str) -> Fertility:
 
 
 def measured(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
-    """docs with the base counts and the fertility measures of the whole text."""
+    """docs with the base counts and the fertility measures of the whole text, and a 128-bit digest of it (TEXT)."""
 
     def maker():
         own = fertility(model if "/" in model else public_tokenizers.path(model))
@@ -107,7 +109,7 @@ def measured(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFra
 
         return measures
 
-    return with_made(docs, text, SCHEMA, maker)
+    return with_made(docs.withColumns({TEXT[0]: F.xxhash64(text), TEXT[1]: F.xxhash64(F.lit(1), text)}), text, SCHEMA, maker)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -115,7 +117,7 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def bands(rows: DataFrame, *keys: str) -> DataFrame:
-    """Per key: how many documents, and for each measure the lower quartile, middle and upper quartile over all of them."""
+    """Per key: how many rows, and for each measure the lower quartile, middle and upper quartile over all of them."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.struct(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in MEASURES]).alias("band"))
 
 
@@ -125,13 +127,16 @@ def small(table: DataFrame) -> DataFrame:
 
 
 def verdicts(rows: DataFrame, lang: str = "lang", width: float = WIDTH, least: int = LEAST) -> DataFrame:
-    """rows: the columns of BASE, script, n_tokens and MEASURES. Adds base_failed, outside (measures out of their band) and kept."""
+    """rows: the columns of BASE, script, n_tokens, MEASURES and TEXT (which go). Adds base_failed, outside (measures out of their band) and kept."""
     rows = rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     rows = rows.withColumn("__size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)).cast("double"))).cast("int"))
     judged = rows.where(~F.col("base_failed"))
+    # each text counts once in a band, however many rows hold it
+    texts = judged.groupBy(F.col(lang).alias("__lang"), F.col("script").alias("__script"), "__size", *TEXT).agg(*[F.first(m).alias(m) for m in MEASURES])
+    texts = materialized(texts, "texts")
     # one row for each language or script and length
-    by_lang = bands(judged.withColumnRenamed(lang, "__lang"), "__lang", "__size").where(F.col("n") >= least)
-    by_script = bands(judged.withColumnRenamed("script", "__script"), "__script", "__size")
+    by_lang = bands(texts, "__lang", "__size").where(F.col("n") >= least)
+    by_script = bands(texts.dropDuplicates(["__script", "__size", *TEXT]), "__script", "__size")
     l = small(materialized(by_lang.select("__lang", F.col("__size").alias("__ls"), F.col("band").alias("__l")), "lang-bands"))
     s = small(materialized(by_script.select("__script", F.col("__size").alias("__ss"), F.col("band").alias("__s")), "script-bands"))
     got = rows.join(l, F.col(lang).eqNullSafe(F.col("__lang")) & (F.col("__size") == F.col("__ls")), "left")
@@ -144,7 +149,7 @@ def verdicts(rows: DataFrame, lang: str = "lang", width: float = WIDTH, least: i
     return (
         got.withColumn("outside", F.array_compact(F.array(*outside)))
         .withColumn("kept", ~F.col("base_failed") & (F.size("outside") == 0))
-        .drop("__lang", "__ls", "__l", "__script", "__ss", "__s", "__size")
+        .drop("__lang", "__ls", "__l", "__script", "__ss", "__s", "__size", *TEXT)
     )
 
 

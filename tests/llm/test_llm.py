@@ -257,6 +257,18 @@ def test_rules_query_against_brute_force(spark):
         assert r.chars_per_token == pytest.approx(len(d.text) / len(ids)) and r.byte_share == pytest.approx(sum(map(model.is_byte, ids)) / len(ids))
 
 
+def test_copies_do_not_narrow_bands(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    before = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    # the clean text of the longest bucket, so that its copies fill it, held by a third of all rows
+    copied = max((r for r in before.values() if r.kept and r.lang == "es"), key=lambda r: (r.n_tokens, r.doc_id))
+    copies = spark.range(len(before) // 2).select((F.col("id") + 1_000_000).alias("doc_id"), F.lit(copied.lang).alias("lang"), F.lit(copied.text).alias("text"))
+    after = {r.doc_id: r for r in quality_rules.judge(docs.union(copies)).collect()}
+    assert len(after) == len(before) + len(before) // 2 and all(r.kept for i, r in after.items() if i >= 1_000_000)
+    assert {i: (after[i].outside, after[i].kept) for i in before} == {i: (r.outside, r.kept) for i, r in before.items()}
+    assert "__text1" not in after[copied.doc_id]
+
+
 # --- 7: BPE
 
 
