@@ -2,8 +2,9 @@ r"""Secret scans with corpus-wide ownership frequency, in DataFrame functions on
 
 Three base kinds of spans (assign, access, hex) and one generic kind (long tokens that mix letters and digits) are
 found in each whole text. The values are hashed, and each hash is counted over the corpus by distinct owners and
-distinct repositories. A value that several owners hold is a copied example; one that keeps to few owners and
-looks live (long, of many different characters) is owner-specific, and its generic spans are added as kind `owned`.
+distinct repositories. A value that several owners or many repositories hold is a copied example; one that keeps to
+few of both and looks live (long, of many different characters) is owner-specific, and its generic spans are added as
+kind `owned`.
 Base spans always stay; n_owned and n_copied say how many distinct values of the row are of either sort.
 
 Positions come from the pieces between matches: a match starts after all earlier pieces and matches.
@@ -22,6 +23,8 @@ from cladespark.llm.common import marked, materialized, table
 
 #: A value held by more distinct owners than this is a copied example.
 MOST_OWNERS = 2
+#: So is one held by more distinct repositories than this, even of a single owner.
+MOST_REPOS = 10
 #: A live-looking generic token: least length and least number of different characters.
 LEAST_LENGTH, LEAST_DISTINCT = 20, 10
 KINDS = ("assign", "access", "hex", "owned")
@@ -87,11 +90,12 @@ def spans_of(kinds: tuple[str, ...]) -> Column:
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: the columns in keep, n_assign, n_access, n_hex, base_spans, spans, n_owned, n_copied, and `secrets`
-    (array of at, end: what a caller may cut out: base spans and owned ones)."""
+    """One row per document: the columns in keep, n_assign, n_access, n_hex, base_spans, spans, n_owned, n_copied, `secrets`
+    (array of at, end: what a caller may cut out: base spans and owned ones) and `held` (array of hash, owners, repos: how many
+    distinct ones hold each value of the row)."""
     body = F.coalesce(F.col(text), F.lit(""))
     name = F.coalesce(F.col(repo).cast("string"), F.lit(""))
-    outputs = {"n_assign", "n_access", "n_hex", "base_spans", "spans", "n_owned", "n_copied", "secrets", "key1", "key2"}
+    outputs = {"n_assign", "n_access", "n_hex", "base_spans", "spans", "n_owned", "n_copied", "secrets", "held", "key1", "key2"}
     kept = [c for c in dict.fromkeys(keep) if c not in outputs]
     found = docs.select(
         F.struct(*kept).alias("__kept") if kept else F.struct(F.lit(0).alias("none")).alias("__kept"),
@@ -109,13 +113,15 @@ def scan_secrets(docs: DataFrame, text: str = "text", repo: str = "doc_id", owne
     # each step has partial sums before its shuffle, so a hash that is everywhere is counted in many tasks
     by_owner = held.groupBy("hash", "__owner", "__repo").agg(F.lit(1).alias("one")).groupBy("hash", "__owner").agg(F.count("*").alias("repos"))
     frequency = by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    own = (F.col("owners") <= MOST_OWNERS) & (F.col("repos") <= MOST_REPOS)
     verdict = (
         held.select("__k1", "__k2", "hash").distinct().join(frequency, "hash")
         .groupBy("__k1", "__k2")
         .agg(
-            F.collect_set(F.when(F.col("owners") <= MOST_OWNERS, F.col("hash"))).alias("__own"),
-            F.count(F.when(F.col("owners") <= MOST_OWNERS, 1)).alias("n_owned"),
-            F.count(F.when(F.col("owners") > MOST_OWNERS, 1)).alias("n_copied"),
+            F.collect_set(F.when(own, F.col("hash"))).alias("__own"),
+            F.count(F.when(own, 1)).alias("n_owned"),
+            F.count(F.when(~own, 1)).alias("n_copied"),
+            F.collect_list(F.struct("hash", "owners", "repos")).alias("held"),
         )
     )
     got = found.join(verdict, ["__k1", "__k2"], "left")
@@ -129,6 +135,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", repo: str = "doc_id", owne
         F.coalesce("n_owned", F.lit(0)).cast("long").alias("n_owned"),
         F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
         F.array_sort(every).alias("secrets"),
+        F.array_sort(F.coalesce("held", F.array().cast(got.schema["held"].dataType))).alias("held"),
         F.col("__k1").alias("key1"),
         F.col("__k2").alias("key2"),
     ).drop("__none")

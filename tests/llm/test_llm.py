@@ -230,6 +230,20 @@ def test_owned_and_copied(spark):
     assert got[9].spans == "owned:3:23" and got[9].n_owned == 1 and got[9].n_copied == 1 and got[0].spans == ""
 
 
+def test_many_repositories_of_one_owner_hold_copies(spark):
+    key, shared, few = "Zx9Kq2Lw8Rt5Yp3Mn7Bv", "Aa1Bb2Cc3Dd4Ee5Ff6Gg", "Hh1Jj2Kk3Ll4Mm5Nn6Pp"
+    rows = [(i, f"see {shared} here", "hot") for i in range(2000)] + [(5000, f"my {key} and {shared}", "hot")]
+    rows += [(6000 + i, f"run {i} with {few}", "hot") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(df, keep=("doc_id",)).collect()}
+    assert all(got[i].spans == "" and (got[i].n_owned, got[i].n_copied) == (0, 1) for i in range(2000))
+    assert got[5000].spans == "owned:3:23" and (got[5000].n_owned, got[5000].n_copied) == (1, 1)
+    assert {h.hash: (h.owners, h.repos) for h in got[5000].held} == {hashlib.sha256(v.encode()).hexdigest(): n for v, n in ((key, (1, 1)), (shared, (1, 2001)))}
+    assert all(got[6000 + i].n_owned == 1 for i in range(10))
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[0] == f"see {shared} here" and clean[5000] == f"my {secrets.MASK} and {shared}"
+
+
 # --- 6: rules
 
 
