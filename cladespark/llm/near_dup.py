@@ -10,8 +10,8 @@
    blocks of at most about BLOCK by BLOCK members, from which only links come out.
 4. Links give components.
 
-With BANDS = 24 bands of ROWS = 6 coordinates, two texts of similarity 0.85 share no band with a probability of
-(1 - 0.85 ** 6) ** 24 = 1.2e-5.
+The bands follow the percentage from which texts are linked. With 24 bands of 6 coordinates, two texts of similarity 0.85
+share no band with a probability of (1 - 0.85 ** 6) ** 24 = 1.2e-5; for 0.8 there are 28 bands of 5, and it is 1.5e-5.
 
 Cases: null or empty text has no shingles and is linked with nothing; equal rows, also of one doc_id, are one class;
 rows of one doc_id with different texts count as one document that has the links of all; a row without doc_id joins a
@@ -29,17 +29,18 @@ from pyspark.sql import functions as F
 
 from cladespark.llm.common import materialized, maybe_among, table, with_made
 from cladespark.llm.components import components
-from cladespark.llm.sketch import Shingler, band_keys, sketch
+from cladespark.llm.sketch import Shingler, band_keys, banding, sketch
 
-#: Percent of the union that two linked sets share at least.
+#: Percent of the union that two linked sets share at least, where a caller names no other.
 PERCENT = 85
 #: Buckets of at most SMALL members are searched by a join; larger ones in blocks.
 SMALL, BLOCK = 8, 512
 KEYS = "n_shingles long, h1 long, h2 long, bands array<long>"
 
 
-def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
+def sketched(docs: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs with n_shingles, a 128-bit digest of the shingle set (h1, h2) and its band keys (none for an empty set)."""
+    bands, rows = banding(percent)
 
     def maker():
         shingles = Shingler()
@@ -49,7 +50,7 @@ def sketched(docs: DataFrame, text: str = "text") -> DataFrame:
             if not len(own):
                 return 0, 0, 0, []
             h1, h2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-            return len(own), int(h1), int(h2), band_keys(sketch(own)).tolist()
+            return len(own), int(h1), int(h2), band_keys(sketch(own), bands, rows).tolist()
 
         return lambda texts: [*zip(*map(one, texts))]
 
@@ -64,20 +65,20 @@ def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
     return with_made(docs, text, "shingles array<long>", maker)
 
 
-def similar_sizes(a: Column, b: Column) -> Column:
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+def similar_sizes(a: Column, b: Column, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * shared >= PERCENT * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def block_links(group: pd.DataFrame) -> pd.DataFrame:
+def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between the members of one block that look for links (seeks) and its others, of another component."""
     group = group.reset_index(drop=True)
     sizes = group["shingles"].map(len).to_numpy()
@@ -93,12 +94,12 @@ def block_links(group: pd.DataFrame) -> pd.DataFrame:
         mine = np.zeros(len(start), bool)
         mine[run[owner == s]] = True
         shared = np.bincount(owner[mine[run]], minlength=len(group))[targets]
-        fits = (100 * shared >= PERCENT * (sizes[targets] + sizes[s] - shared)) & (comp[targets] != comp[s])
+        fits = (100 * shared >= percent * (sizes[targets] + sizes[s] - shared)) & (comp[targets] != comp[s])
         out += [(node[s], node[t]) for t in targets[fits]]
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def remaining_links(entries: DataFrame, first: DataFrame, tried: DataFrame, sets: DataFrame) -> DataFrame:
+def remaining_links(entries: DataFrame, first: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """entries: key, node, n; first: node, component so far; tried: pairs that were verified already."""
     now = entries.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = now.groupBy("key", "component").agg(F.count("*").alias("c"))
@@ -109,7 +110,7 @@ def remaining_links(entries: DataFrame, first: DataFrame, tried: DataFrame, sets
     few = open_.where(F.col("m") <= SMALL)
     a = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     b = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_sizes(F.col("na"), F.col("nb")))
+    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_sizes(F.col("na"), F.col("nb"), percent))
     pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
 
     many = open_.where(F.col("m") > SMALL)
@@ -120,14 +121,14 @@ def remaining_links(entries: DataFrame, first: DataFrame, tried: DataFrame, sets
     same = ["key", "node", "component"]
     seeking = many.where(F.col("component") != F.col("top")).select(*same, F.lit(True).alias("seeks"), of_seekers.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
     others = many.select(*same, F.lit(False).alias("seeks"), of_blocks.alias("j"), F.explode(F.sequence(F.lit(0), seekers - 1)).alias("i"))
-    placed = seeking.unionByName(others).join(sets, "node").groupBy("key", "i", "j").applyInPandas(block_links, "a long, b long")
-    return verified(pairs, sets).union(placed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    placed = seeking.unionByName(others).join(sets, "node").groupBy("key", "i", "j").applyInPandas(lambda group: block_links(group, percent), "a long, b long")
+    return verified(pairs, sets, percent).union(placed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Sets that share percent of their union or more are linked."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    keyed = materialized(sketched(docs).drop("text"), "sketches")
+    keyed = materialized(sketched(docs, percent=percent).drop("text"), "sketches")
     classes = keyed.where(F.col("n_shingles") > 0).groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialized(classes, "classes")
 
@@ -137,14 +138,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     degrees = entries.groupBy("node").agg(F.sum("m").alias("degree"))
     hubs = entries.join(degrees, "node").groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), F.col("n").alias("hub_n"))).alias("h"))
     hubs = hubs.select("key", (-F.col("h.minus")).alias("hub"), "h.hub_n")
-    pairs = entries.join(hubs, "key").where((F.col("node") != F.col("hub")) & similar_sizes(F.col("n"), F.col("hub_n")))
+    pairs = entries.join(hubs, "key").where((F.col("node") != F.col("hub")) & similar_sizes(F.col("n"), F.col("hub_n"), percent))
     pairs = materialized(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
 
     nodes = entries.select("node").distinct()
     sets = shingle_sets(maybe_among(docs.withColumnRenamed("doc_id", "node"), "node", nodes)).drop("text")
     sets = materialized(sets.join(nodes, "node", "left_semi"), "sets")
-    links = materialized(verified(pairs, sets), "links")
-    more = materialized(remaining_links(entries.select("key", "node", "n"), components(links), pairs, sets), "more-links")
+    links = materialized(verified(pairs, sets, percent), "links")
+    more = materialized(remaining_links(entries.select("key", "node", "n"), components(links), pairs, sets, percent), "more-links")
     whole = components(links.union(more))
 
     named = classes.select("h1", "h2", "node").join(whole, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))

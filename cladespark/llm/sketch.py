@@ -63,7 +63,13 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return bins
 
 
-def band_keys(bins: np.ndarray) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows for links from this similarity: the longest bands that miss a pair there with a probability of 2e-5 at most."""
+    fits = [(SIZE // r, r) for r in range(1, ROWS + 1) if (1 - (percent / 100) ** r) ** (SIZE // r) <= 2e-5]
+    return fits[-1] if fits else (SIZE, 1)
+
+
+def band_keys(bins: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """One 64-bit key for each band; equal keys: the sketches agree in all of the band's coordinates."""
-    keys = mixed((bins.reshape(BANDS, ROWS) * FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64))
-    return mixed(keys + SEEDS[:BANDS]).view(np.int64)
+    keys = mixed((bins[: bands * rows].reshape(bands, rows) * FACTORS[:rows]).sum(axis=1, dtype=np.uint64))
+    return mixed(keys + SEEDS[:bands]).view(np.int64)

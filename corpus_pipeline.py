@@ -19,9 +19,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judge(rows).where("kept").select("__doc.*")
 
 
+#: Percent of their shingles that two documents share at least to be near copies; op8 has its own.
+NEAR = 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group stays; of repeated rows one."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    """Of each group linked from NEAR percent up the document with the least doc_id stays; of repeated rows one."""
+    gone = near_duplicates(docs, percent=NEAR).where(~F.col("kept")).select("doc_id").distinct()
     kept = without(docs, "doc_id", materialized(gone, "gone"))
     again = materialized(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     once = kept.join(again.toDF("__again"), F.col("doc_id").eqNullSafe(F.col("__again")), "left_anti")

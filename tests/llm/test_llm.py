@@ -373,6 +373,20 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()} == brute_components(docs)
 
 
+def test_stage_links_from_80_percent(spark):
+    docs = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in range(104)]
+        # 90 shingles each; pairs 0 to 19 share 80 of 100, pairs 20 to 39 share 79 of 101
+        shift = 10 if i < 20 else 11
+        docs += [(2 * i, " ".join(words[:94])), (2 * i + 1, " ".join((words + ["end"])[shift : shift + 94]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, DATA).collect()}
+    assert left == {i for i, _ in docs} - {2 * i + 1 for i in range(20)}
+    assert all(r.kept for r in near_dup.near_duplicates(df).collect())
+    assert sketch.banding(85) == (sketch.BANDS, sketch.ROWS) and sketch.banding(80) == (28, 5)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(129, 200), (300, 301), (301, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
