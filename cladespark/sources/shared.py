@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: lineage ends there, and lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a materialized table that no DataFrame will be read from again."""
+    delete(df.sparkSession, df.written_to)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that were written meanwhile, but those whose paths are put into the list it gives."""
+    before, keep = set(_written), []
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _written if p not in before and p not in keep]:
+            delete(spark, path)
