@@ -3,12 +3,16 @@
 A sequence of tokens is what greedy merging makes of its text exactly if every two neighbours are (no merge
 that is due earlier than their own crosses the border). So the last token of each prefix follows from the last
 tokens of shorter prefixes, and a text can be read once from left to right. The merge list also gives a
-*sufficient lookahead*: a border can only be undone by a chain of overlapping merges, each due earlier than the
-one before, so the longest such chain bounds how far to the right the fate of a token is decided. Tokens that
-end that far behind the reading position are final and are emitted; only the rest is kept in memory.
-
-Cases: null text counts as empty and gives no tokens; repeated rows are each encoded; other columns are kept,
-and a column with the output's name is replaced.
+*sufficient lookahead* for the border after each token: only a merge can undo it that starts with a part at the
+token's right end, and whether that merge happens is decided by a chain of overlapping merges, each due earlier than
+the one before. The longest such chain is how many bytes after the border have to be seen. An encoder emits tokens
+as soon as the border after them has that many bytes behind it, and the rest when the piece ends; every token of
+every piece comes out of an encoder that way. What is kept is the undecided end of one piece.
+
+Cases: null text counts as empty and gives no tokens; texts of any length are read in portions of PORTION
+characters, so that working memory does not grow with them (only the row itself and its ids have to fit); repeated
+rows are each encoded, and nothing depends on their order; other columns are kept, and a column with an output's name
+is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 from cladespark.llm.common import Remembered, held, table, with_made
 
 VOCAB = "byte_bpe_50k.json"
-#: Bytes that are fed at once; longer pieces are streamed.
-CHUNK = 512
+#: Characters of a text that are read at once, and bytes of a piece that an encoder is given at once.
+PORTION, CHUNK = 16_384, 512
+#: Pieces of up to so many characters are remembered with what their encoder emitted.
+SHORT = 48
 INF = float("inf")
 
 
@@ -66,7 +72,9 @@ class Merges:
         self.longest = max(map(len, self.ids))
         self.edges: dict[tuple[int, int], list[tuple[int, float, float]]] = {}
         self.fit: dict[int, bool] = {}
-        self.lookahead = self._lookahead()
+        self.reach = self._reach()
+        #: Bytes after a border that decide its fate, whatever token stands before it.
+        self.lookahead = max(self.reach.values(), default=0)
         self.suffixes = ahocorasick.Automaton()  # all tokens that end at a position, longest first
         for b, i in self.ids.items():
             self.suffixes.add_word(b.decode("latin-1"), (i, len(b)))
@@ -110,22 +118,26 @@ class Merges:
             known = self.wholes[token] = token not in self.parts or not self.fits(*self.parts[token])
         return known
 
-    def _lookahead(self) -> int:
-        """Bytes: the longest chain of merges, each due earlier and each taking the right end that the one before would use."""
+    def _reach(self) -> dict[int, int]:
+        """For each token the bytes after it that decide whether the border behind it stays."""
         starts: dict[int, tuple[list[int], list[int]]] = {}  # left part -> ranks, and the longest reach up to each rank
         size = {i: len(b) for b, i in self.ids.items()}
-        most = 0
-        for (x, y), r in sorted(self.rank.items(), key=lambda m: m[1]):
-            reach = size[y]
-            for part, _, gone in self.edge(y, 1):
+
+        def furthest(token: int, before: float) -> int:
+            """The longest chain that merges of the token's right end start, each due before it is gone and before `before`."""
+            out = 0
+            for part, _, gone in self.edge(token, 1):
                 ranks, best = starts.get(part, ((), ()))
-                if k := bisect.bisect_left(ranks, min(gone, r)):
-                    reach = max(reach, size[y] + best[k - 1])
+                if k := bisect.bisect_left(ranks, min(gone, before)):
+                    out = max(out, best[k - 1])
+            return out
+
+        for (x, y), r in sorted(self.rank.items(), key=lambda m: m[1]):
             ranks, best = starts.setdefault(x, ([], []))
+            reach = size[y] + furthest(y, r)
             ranks.append(r)
             best.append(max(reach, best[-1] if best else 0))
-            most = max(most, reach)
-        return most + self.longest
+        return {token: furthest(token, INF) for token in size}
 
 
 def extend(m: Merges, text: str, last: list[int], sizes: list[int], before: int, done: int) -> None:
@@ -160,61 +172,108 @@ class Encoder:
         """portion: bytes as Latin-1 letters."""
         done, self.text = len(self.text), self.text + portion
         extend(self.m, self.text, self.last, self.sizes, self.before, done)
-        return self._emit(len(self.text) - self.m.lookahead) if len(self.text) > 2 * self.m.lookahead else []
+        return self._emit(False)
 
-    def _emit(self, upto: int) -> list[int]:
-        end, out = len(self.text), []
-        cut = 0
+    def _emit(self, ended: bool) -> list[int]:
+        """Walks back from the end to the last border that can no longer be undone, and takes what stands before it."""
+        size, reach, last, sizes = len(self.text), self.m.reach, self.last, self.sizes
+        end, cut, out = size, size if ended else 0, []
         while end > 0:
-            if end <= upto:
-                cut = cut or end
-                out.append(self.last[end])
-            end -= self.sizes[end]
+            token = last[end]
+            if not cut and end + reach[token] <= size:
+                cut = end
+            if cut:
+                out.append(token)
+            end -= sizes[end]
         if cut:
-            self.before = self.last[cut]
-            self.text, self.last, self.sizes = self.text[cut:], self.last[cut:], self.sizes[cut:]
+            self.before = last[cut]
+            self.text, self.last, self.sizes = self.text[cut:], last[cut:], sizes[cut:]
         return out[::-1]
 
     def finish(self) -> list[int]:
-        return self._emit(len(self.text))
+        return self._emit(True)
 
 
 class Codec:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.split = regex.compile(public_tokenizers.PATTERN)
-        self.marks = regex.compile("(" + "|".join(map(regex.escape, self.merges.special)) + ")") if self.merges.special else None
-        self.pieces = Remembered(self._piece, 200_000)
+        self.special = self.merges.special
+        self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        #: Characters at the end of what was read that later ones may still join to a mark or a contraction, and one before them.
+        self.margin = max([4, *(len(x) + 1 for x in self.special)])
+        self.pieces = Remembered(self._piece, 200_000, SHORT)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
-        """A piece that fits one portion: nothing has to be emitted before its end."""
-        text, last, sizes, out = piece.encode("utf-8").decode("latin-1"), [-1], [0], []
-        extend(self.merges, text, last, sizes, -1, 0)
-        end = len(text)
-        while end:
-            out.append(last[end])
-            end -= sizes[end]
-        return tuple(reversed(out))
-
-    def _long(self, piece: str) -> list[int]:
+        """What an encoder emits for a whole piece."""
         data, encoder = piece.encode("utf-8").decode("latin-1"), Encoder(self.merges)
-        return [t for k in range(0, len(data), CHUNK) for t in encoder.feed(data[k : k + CHUNK])] + encoder.finish()
+        return *(t for k in range(0, len(data), CHUNK) for t in encoder.feed(data[k : k + CHUNK])), *encoder.finish()
 
     def encode(self, text: str) -> list[int]:
+        """The token ids of a text, read in portions."""
+        stream = Stream(self)
+        if len(text) <= PORTION:
+            return stream.feed(text, True)
+        out = []
+        for k in range(0, len(text), PORTION):
+            out += stream.feed(text[k : k + PORTION], k + PORTION >= len(text))
+        return out
+
+
+class Stream:
+    """Reads one text in portions and gives its token ids as they become final. It keeps the undecided end of what it read."""
+
+    #: The classes that the splitting pattern takes runs of.
+    RUNS = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", r"\s*", r"[^\s\p{L}\p{N}]*")]
+
+    def __init__(self, codec: Codec):
+        self.codec, self.held = codec, ""
+        self.open: tuple[Encoder, regex.Pattern] | None = None  # a long piece that goes on, and with what
+
+    def feed(self, portion: str, last: bool = False) -> list[int]:
+        """last: the text ends with this portion."""
+        parts = self.codec.marks.split(self.held + portion) if self.codec.marks else [self.held + portion]
+        if len(parts) == 1:
+            return self._pieces(parts[0], last)
+        out = []
+        for part in parts[:-1]:
+            mark = self.codec.special.get(part)
+            out += self._pieces(part, True) if mark is None else [mark]
+        return out + self._pieces(parts[-1], last)
+
+    def _pieces(self, text: str, last: bool) -> list[int]:
         out: list[int] = []
-        for part in self.marks.split(text) if self.marks else [text]:
-            if part in self.merges.special:
-                out.append(self.merges.special[part])
-                continue
-            pieces = self.split.findall(part)
-            if max(map(len, pieces), default=0) <= 48:
-                for tokens in map(self.pieces.__getitem__, pieces):
-                    out += tokens
-            else:
-                for piece in pieces:
-                    out += self.pieces[piece] if len(piece) <= 48 else self._long(piece)
+        stop = len(text) if last else max(0, len(text) - self.codec.margin)
+        if self.open:
+            encoder, run = self.open
+            end = run.match(text).end()
+            if run is self.RUNS[2] and not (last and end == len(text)):
+                end = max(0, end - 1)  # the last of several blanks belongs to what follows them
+            out += self._fed(encoder, text[: min(end, stop)])
+            if end > stop:
+                self.held = text[stop:]
+                return out
+            out += encoder.finish()
+            self.open, text, stop = None, text[end:], stop - end
+        pieces, at = self.codec.split.findall(text), len(text)
+        if not last:
+            while pieces and at > stop:
+                at -= len(pieces.pop())
+        for tokens in map(self.codec.pieces.__getitem__, pieces):
+            out += tokens
+        if not last and stop - at > CHUNK:
+            # a piece of this length is a run of one class after its first character
+            encoder = Encoder(self.codec.merges)
+            self.open = encoder, next(run for run in self.RUNS if run.match(text, at + 1).end() > at + 1)
+            out += self._fed(encoder, text[at:stop])
+            at = stop
+        self.held = "" if last else text[at:]
         return out
 
+    def _fed(self, encoder: Encoder, text: str) -> list[int]:
+        data = text.encode("utf-8").decode("latin-1")
+        return [t for k in range(0, len(data), CHUNK) for t in encoder.feed(data[k : k + CHUNK])]
+
 
 def decoded(ids: list[int], of: dict[int, bytes]) -> str:
     """Byte to text, a portion at a time; the state between portions is the unfinished character alone."""

@@ -3,7 +3,7 @@ r"""Chat formatting with a grammar round trip.
 A conversation becomes one text of blocks `<|im_start|>role\ntext<|im_end|>\n`. The deterministic parser splits at
 the marks and takes one backslash out of each `<\...|`. Turns are first rendered as they are; each turn whose own
 block does not parse back to just that turn is rendered again with one backslash put into each `<...|`, and the
-parse of the whole text is compared with the source once more, so that what leaves here is known to be reversible.
+parse of the whole text is compared with the source once more: `reversible` says that it is the same.
 No escaped text holds `<|`, so no text can open or close a turn.
 
 Turns are rendered each for itself, in any number of tasks; blocks of a conversation are put together in groups
@@ -11,7 +11,8 @@ of GROUP turns, then the groups. Only the finished text of one conversation has
 
 Cases: null text or role counts as empty; a role's line breaks and backslashes are escaped as \n and \; turns are
 ordered by turn (null first), then role and text, so ties and repeated rows have one order; a null conv_id is a
-conversation of its own; extra columns are not used; an empty table gives an empty one.
+conversation of its own; texts of any length are kept whole; extra columns, whatever their names, are not used; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -71,8 +72,8 @@ def said(turns: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """rows: conv_id, turn, role, text. One row per conversation: conv_id, n_turns, formatted, and the loss mask as run
-    lengths, `mask`: array of (chars, learnt) that together cover the formatted text."""
+    """rows: conv_id, turn, role, text. One row per conversation: conv_id, n_turns, reversible (it reads back as it was), formatted,
+    and the loss mask as run lengths, `mask`: array of (chars, learnt) that together cover the formatted text."""
     turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     plain = block(F.col("role"), F.col("text"))
     own = F.array(F.struct("role", "text"))
@@ -80,11 +81,10 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     turns = turns.withColumn("part", F.floor(F.col("turn") / GROUP))
     parts = turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "block"))).alias("t"))
     parts = parts.select("conv_id", "part", F.size("t").cast("long").alias("n"), F.array_join(F.transform("t", lambda t: t["block"]), "").alias("body"), said(F.col("t")).alias("source"))
-    # what cannot be read back may not leave: it would be a fault in the escapes above
-    sound = F.coalesce(said(parsed(F.col("body"))) == F.col("source"), F.lit(False))
-    parts = parts.withColumn("body", F.when(sound, F.col("body")).otherwise(F.raise_error(F.lit("a formatted conversation does not read back")).cast("string"))).drop("source")
-    whole = parts.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("part", "body"))).alias("p"))
-    whole = whole.select("conv_id", "n_turns", F.array_join(F.transform("p", lambda p: p["body"]), "").alias("formatted"))
+    # what cannot be read back would be a fault in the escapes above: it leaves with a mark
+    parts = parts.withColumn("sound", F.coalesce(said(parsed(F.col("body"))) == F.col("source"), F.lit(False))).drop("source")
+    whole = parts.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.min("sound").alias("reversible"), F.array_sort(F.collect_list(F.struct("part", "body"))).alias("p"))
+    whole = whole.select("conv_id", "n_turns", "reversible", F.array_join(F.transform("p", lambda p: p["body"]), "").alias("formatted"))
     mask = F.flatten(
         F.transform(
             parsed(F.col("formatted")),
@@ -110,6 +110,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         F.length(learnt).cast("long").alias("loss_chars"),
         F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "reversible",
     )
 
 
@@ -130,7 +131,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+  CAST(sum(length('<|im_start|>') + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars, true AS reversible
 FROM c GROUP BY conv_id"""
 
 QUERIES = {"op4_chat": op4_chat}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cladespark.sources.shared import materialized, shared_dir  # noqa: F401  for the operators
+from cladespark.sources.shared import discard, materialized, shared_dir  # noqa: F401  for the operators
 
 #: A word: what stands between space and the five ASCII white-space controls.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,13 +31,16 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 class Remembered(dict):
-    """key -> made(key), with a bounded memory: what was not asked for while `most` others came is forgotten."""
+    """key -> made(key), with a bounded memory: what was not asked for while `most` others came is forgotten, and so are
+    at once keys longer than `longest`."""
 
-    def __init__(self, made, most: int):
+    def __init__(self, made, most: int, longest: int | None = None):
         super().__init__()
-        self.made, self.most, self.older = made, most, {}
+        self.made, self.most, self.longest, self.older = made, most, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.made(key)
         if (out := self.older.get(key)) is None:
             out = self.made(key)
         if len(self) >= self.most:
@@ -70,17 +73,14 @@ def release(kind: str) -> None:
 
 #: Rows that Python works on at once: bounds the memory of what it makes of them.
 ROWS = 500
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Callable[[list], list]]) -> DataFrame:
     """df with new columns (fields: a DDL list; equal names are replaced) that are made of the values of one column.
 
     maker runs once in each task and gives a function: values (None where null) -> one list of results for each new column.
-    Where the session leaves Spark's batch size as it is, it is set to ROWS: texts are long, and executors hold a batch twice.
+    It gets ROWS values at a time, however many rows Spark sends at once.
     """
-    if df.sparkSession.conf.get(BATCH) == "10000":
-        df.sparkSession.conf.set(BATCH, ROWS)
     new = T._parse_datatype_string(fields)
     kept = [f for f in df.schema.fields if f.name not in new.names]
     kinds, names, of = [to_arrow_type(f.dataType) for f in new.fields], [f.name for f in kept], column
@@ -102,26 +102,34 @@ def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Calla
 MAP_BITS = 1 << 26
 
 
-def marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """rows with the boolean __maybe: true where the key is in wanted (one column), and for few others. No shuffle of rows: a bit
-    map of bounded size is broadcast."""
+def whole(df: DataFrame, but: str | None = None) -> Column:
+    """All columns of df (but one) as a struct: a row packed so cannot clash with what an operator adds beside it."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns if c != but])
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame, flag: str) -> DataFrame:
+    """rows with the boolean column `flag`: true where the key is in wanted (one column), and for few others. Other columns stay
+    as they are, whatever their names. No shuffle of rows: a bit map of bounded size is broadcast."""
 
     def at(column: Column) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
 
-    bits = wanted.select(at(F.col(wanted.columns[0])).alias("at")).select(F.floor(F.col("at") / 4096).alias("__row"), F.floor(F.col("at") / 64 % 64).alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
-    words = bits.groupBy("__row", "word").agg(F.bit_or("bit").alias("bits")).groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("__words"))
-    got = rows.withColumn("__at", at(F.col(key))).withColumn("__row", F.floor(F.col("__at") / 4096)).join(F.broadcast(words), "__row", "left")
-    word = F.coalesce(F.try_element_at("__words", F.floor(F.col("__at") / 64 % 64)), F.lit(0).cast("long"))
-    return got.withColumn("__maybe", F.getbit(word, (F.col("__at") % 64).cast("int")) == 1).drop("__at", "__row", "__words")
+    bits = wanted.select(at(F.col(wanted.columns[0])).alias("at")).select(F.floor(F.col("at") / 4096).alias("line"), F.floor(F.col("at") / 64 % 64).alias("word"), F.expr("shiftleft(1L, int(at % 64))").alias("bit"))
+    words = bits.groupBy("line", "word").agg(F.bit_or("bit").alias("bits")).groupBy("line").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    packed = rows.select(whole(rows, flag).alias("doc"), at(F.col(key)).alias("at")).withColumn("line", F.floor(F.col("at") / 4096))
+    got = packed.join(F.broadcast(words), "line", "left")
+    word = F.coalesce(F.try_element_at("words", F.floor(F.col("at") / 64 % 64)), F.lit(0).cast("long"))
+    maybe = F.getbit(word, (F.col("at") % 64).cast("int")) == 1
+    return got.select("doc.*", maybe.alias(flag))
 
 
 def maybe_among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    return marked(rows, key, wanted).where("__maybe").drop("__maybe")
+    return marked(rows, key, wanted, "__maybe").where("__maybe").drop("__maybe")
 
 
 def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
-    """rows whose key is not in dropped (one column); only rows that may be dropped are shuffled. A null key is in nothing."""
-    both = marked(rows, key, dropped)
-    rest = both.where("__maybe").drop("__maybe")
-    return both.where(~F.col("__maybe")).drop("__maybe").unionByName(rest.join(dropped.toDF("__drop").distinct(), F.col(key) == F.col("__drop"), "left_anti"))
+    """rows whose key is not in dropped (one column); only rows that may be dropped are shuffled. A null key is in nothing.
+    All columns stay, whatever their names."""
+    both = marked(rows.select(whole(rows).alias("doc"), F.col(key).alias("key")), "key", dropped, "maybe")
+    rest = both.where("maybe").join(dropped.toDF("gone").distinct(), F.col("key") == F.col("gone"), "left_anti")
+    return both.where(~F.col("maybe")).select("doc.*").unionByName(rest.select("doc.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import materialized
+from cladespark.llm.common import discard, materialized
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         large = edges.select(F.col("v").alias("u"), F.col("u").alias("x")).join(least, "u").select(F.col("x").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(small, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = materialized(hung.where("u > v").distinct(), "edges")
+        older, edges = edges, materialized(hung.where("u > v").distinct(), "edges")
+        discard(older)
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state or not now[0]:
             break

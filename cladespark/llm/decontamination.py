@@ -5,19 +5,23 @@ found in a document where a passage is within `allowed(n)` word edits of it (abo
 
 1. A passage with at most k edits keeps a run of at least ceil((n - k) / (k + 1)) words of the item. Windows of n
    words are therefore laid only where such a run of an item occurs, at the place that lines the run up. That loses
-   nothing and leaves most documents without a window.
+   nothing and leaves most documents without a window. Items so short that no edit is allowed are their own run, and
+   the first place in a text is enough.
 2. Items and windows are embedded by REPEATS random walks each: step t writes the word at the pointer, and a random
    bit of (walk, t, word) moves the pointer on. Few edits leave most written words the same, so a key of SAMPLE
-   sampled places agrees often. Items and windows with an equal key of any walk are candidates: an equi-join.
+   sampled places agrees often. Items and windows with an equal key of any walk are candidates: an equi-join. Windows
+   of the same words are one content and are joined once, however many documents hold them; the candidates of a content
+   then go back to its windows by content and a salt of SALTS values, so that a passage in a third of all documents is
+   spread over many tasks.
 3. Candidates are verified by the edit distance of the item to the best passage in the window and `allowed(n)` words
    to either side.
 
-Benchmark words are sent to executors in blocks of at most BLOCK_WORDS words, one pass over the documents each, so
-what is sent is bounded however large the benchmark is.
+The runs of the items are sent to executors in blocks of at most BLOCK_WORDS words, as sorted arrays and one pass over
+the documents each, so what is sent is bounded however large the benchmark is.
 
-Cases: null or empty texts hold nothing; items of fewer than LEAST_WORDS words say too little and are not searched;
-repeated items and documents give one row for each pair of ids; a null id is an id of its own; an empty table on
-either side gives an empty result; extra columns are not used.
+Cases: null or empty texts hold nothing, and so do items without a word; texts of any length are read whole; repeated
+items and documents give one row for each pair of ids; a null id is an id of its own; of passages that are equally near
+the first counts; an empty table on either side gives an empty result; extra columns, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +39,10 @@ from cladespark.llm.common import Remembered, materialized, table, with_made, wo
 from cladespark.llm.sketch import mixed
 
 EDITS = 0.15
-LEAST_WORDS = 8
 LONGEST_RUN = 5
 REPEATS, SAMPLE = 40, 3
 BLOCK_WORDS = 2_000_000
+SALTS = 16
 SEED = np.uint64(0x2545F4914F6CDD1D)
 _letters = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
@@ -82,29 +87,51 @@ def walk_keys(h: np.ndarray, n: int) -> list[int]:
     return key.view(np.int64).tolist()
 
 
-def windows_maker(items: list[list[bytes]]):
-    """text -> the windows of the text that line up with a run of some item: start, size, words with a margin, keys."""
-    length = min(map(run_length, map(len, items)), default=1)  # a shorter run is kept wherever a longer one is
-    found = set()
-    for item in items:
-        h = np.array([word_hash_bytes(w) for w in item], np.uint64)
-        found.update((int(r), j, len(item)) for j, r in enumerate(runs(h, length)))
-    run, offset, size = (np.array([f[k] for f in sorted(found)], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64)))
+def runs_of(words: list[bytes]) -> np.ndarray:
+    """Hashes of the runs of an item, of which any passage within the allowed edits keeps one; just the first if none are allowed."""
+    own = runs(np.array([word_hash_bytes(w) for w in words], np.uint64), run_length(len(words)) if allowed(len(words)) else len(words))
+    return own if allowed(len(words)) else own[:1]
+
+
+class Runs:
+    """The runs of a block of items, sorted: for each length of run its hashes, where in an item it stands and how long the item is."""
+
+    def __init__(self, hashes: np.ndarray, lengths: np.ndarray, offsets: np.ndarray, sizes: np.ndarray):
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == length)
+            at = at[np.lexsort((offsets[at], sizes[at], hashes[at]))]
+            self.of[length] = hashes[at], offsets[at], sizes[at]
+
+    def places(self, h: np.ndarray) -> list[tuple[int, int]]:
+        """(start, size) of the windows over the words h that line up with a run of some item."""
+        laid, first = set(), {}
+        for length, (hashes, offsets, sizes) in self.of.items():
+            own = runs(h, length)
+            low = np.searchsorted(hashes, own)
+            for i in np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == own).tolist():
+                for m in range(int(low[i]), int(np.searchsorted(hashes, own[i], "right"))):
+                    n = int(sizes[m])
+                    if allowed(n):
+                        laid.add((max(0, i - int(offsets[m])), n))
+                    else:
+                        first.setdefault((int(hashes[m]), n), (i, n))
+        return sorted(laid | set(first.values()))
+
+
+def windows_maker(items: Runs):
+    """text -> its windows: start, size, words with a margin, keys, and a 128-bit digest of the window's own words."""
     hashes = Remembered(word_hash_bytes, 150_000)
 
     def windows(text: str | None) -> list[dict]:
         words = words_of(text)
         h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        own, laid = runs(h, length), set()
-        first = np.searchsorted(run, own)
-        for i in np.flatnonzero(run[np.minimum(first, len(run) - 1)] == own) if len(run) else ():
-            last = np.searchsorted(run, own[i], "right")
-            laid.update((max(0, int(i - offset[m])), int(size[m])) for m in range(first[i], last))
         out = []
-        for start, n in sorted(laid):
+        for start, n in items.places(h):
             margin = allowed(n)
             low, high = max(0, start - margin), min(len(words), start + n + margin)
-            out.append({"start": low, "size": n, "passage": b" ".join(words[low:high]).decode("utf-8", "replace"), "keys": walk_keys(h[start : start + n], n)})
+            content = xxhash.xxh3_128_intdigest(b" ".join(words[start : start + n])) & (1 << 126) - 1
+            out.append({"start": low, "size": n, "passage": b" ".join(words[low:high]).decode("utf-8", "replace"), "keys": walk_keys(h[start : start + n], n), "c1": content >> 63, "c2": content & (1 << 63) - 1})
         return out
 
     return windows
@@ -128,18 +155,28 @@ def passage_distance(item: list[str], passage: list[str]) -> tuple[int, int, int
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, n, keys of the items that are searched."""
+    """item_id, words, n, keys, and the hashes of their runs in order, of the items that have a word."""
 
     def maker():
         def one(text: str | None) -> tuple:
             words = words_of(text)
-            keys = walk_keys(np.array([word_hash_bytes(w) for w in words], np.uint64), len(words)) if len(words) >= LEAST_WORDS else []
-            return b" ".join(words).decode("utf-8", "replace"), len(words), keys
+            if not words:
+                return "", 0, [], []
+            keys = walk_keys(np.array([word_hash_bytes(w) for w in words], np.uint64), len(words))
+            return b" ".join(words).decode("utf-8", "replace"), len(words), keys, runs_of(words).view(np.int64).tolist()
 
         return lambda texts: [*zip(*map(one, texts))]
 
-    got = with_made(benchmark.select(F.col("item_id"), F.col("text")), "text", "words string, n int, keys array<long>", maker).drop("text")
-    return materialized(got.where(F.col("n") >= LEAST_WORDS), "items")
+    got = with_made(benchmark.select(F.col("item_id"), F.col("text")), "text", "words string, n int, keys array<long>, runs array<long>", maker).drop("text")
+    return materialized(got.where(F.col("n") > 0), "items")
+
+
+def _block(items: DataFrame) -> Runs:
+    """items: runs, n. Bounded by the words of a block: this is what goes to every executor."""
+    rows = items.select(F.posexplode("runs").alias("offset", "run"), "n").distinct().toPandas()
+    n = rows["n"].to_numpy(np.int64)
+    lengths = np.array([run_length(x) if allowed(x) else x for x in n.tolist()], np.int64)
+    return Runs(rows["run"].to_numpy(np.int64).view(np.uint64), lengths, rows["offset"].to_numpy(np.int64), n)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -151,23 +188,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = max(1, math.ceil(total / BLOCK_WORDS))
     windows = None
     for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block).select("words").distinct()
-        # bounded by the block: this is what goes to every executor
-        words = docs.sparkSession.sparkContext.broadcast([r["words"].encode().split() for r in own.toLocalIterator()])
+        own = docs.sparkSession.sparkContext.broadcast(_block(items.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)))
 
-        def maker(words=words):
-            one = windows_maker(words.value)
+        def maker(own=own):
+            one = windows_maker(own.value)
             return lambda texts: [[*map(one, texts)]]
 
-        laid = with_made(docs, "text", "windows array<struct<start:int,size:int,passage:string,keys:array<long>>>", maker)
+        laid = with_made(docs, "text", "windows array<struct<start:int,size:int,passage:string,keys:array<long>,c1:long,c2:long>>", maker)
         laid = laid.select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.*")
         windows = laid if windows is None else windows.union(laid)
     windows = materialized(windows, "windows")
 
     wanted = items.select("item_id", "words", F.col("n").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))
-    by_key = windows.withColumn("key", F.explode(F.array_distinct("keys"))).drop("keys")
-    candidates = by_key.join(wanted, ["size", "key"]).select("doc_id", "item_id", "start", "size", "passage", "words").distinct()
-    candidates = materialized(candidates, "candidates")
+    content = ["size", "c1", "c2"]
+    by_key = windows.select(*content, F.explode(F.array_distinct("keys")).alias("key")).distinct()
+    found = by_key.join(wanted, ["size", "key"]).select(*content, "item_id", "words").distinct()
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = windows.drop("keys").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    candidates = materialized(placed.join(salted, [*content, "salt"]).select("doc_id", "item_id", "start", "size", "passage", "words").distinct(), "candidates")
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -5,17 +5,21 @@
 2. Classes that share a band key are candidates. In each bucket the member with the most collisions over all bands is
    the hub; every member is compared with its hubs on the full sets. That links nearly all copies of a text to it
    with one pair a member, however large the bucket is.
-3. Buckets whose members are not yet of one component are searched for the rest: members outside the bucket's largest
-   component are compared on full sets with all of other components. Small buckets do so by a join, larger ones in
-   blocks of at most about BLOCK by BLOCK members, from which only links come out.
+3. Buckets whose members are not yet of one component are searched for the rest. Small buckets are searched by a join.
+   The members of larger ones meet again by their rarest shingles: two sets that share enough have one in common among
+   the first few of each in any common order (the prefix filter), so nothing is lost, and texts that only share what
+   very many have do not meet at all. The order is by how many of these sets hold a shingle, as a table of TABLE
+   counters tells. Groups by rare shingle that are still of several components are searched like buckets: by a join,
+   or in blocks of at most about BLOCK by BLOCK members, from which only links come out.
 4. Links give components.
 
 The bands follow the percentage from which texts are linked. With 24 bands of 6 coordinates, two texts of similarity 0.85
 share no band with a probability of (1 - 0.85 ** 6) ** 24 = 1.2e-5; for 0.8 there are 28 bands of 5, and it is 1.5e-5.
 
-Cases: null or empty text has no shingles and is linked with nothing; equal rows, also of one doc_id, are one class;
-rows of one doc_id with different texts count as one document that has the links of all; a row without doc_id joins a
-class but cannot name one; an empty table gives an empty one; extra columns are not used.
+Cases: null or empty text has no shingles and is linked with nothing; texts of any length are read whole; equal rows, also
+of one doc_id, are one class; rows of one doc_id with different texts count as one document that has the links of all; a
+row without doc_id joins a class but cannot name one; ties need no order, as all links count; an empty table gives an
+empty one; extra columns, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from cladespark.llm.sketch import Shingler, band_keys, banding, sketch
 PERCENT = 85
 #: Buckets of at most SMALL members are searched by a join; larger ones in blocks.
 SMALL, BLOCK = 8, 512
+#: Counters that tell rare shingles from common ones (4 MB, whatever the size of the corpus).
+TABLE = 1 << 20
 KEYS = "n_shingles long, h1 long, h2 long, bands array<long>"
 
 
@@ -99,21 +105,55 @@ def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def remaining_links(entries: DataFrame, first: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """entries: key, node, n; first: node, component so far; tried: pairs that were verified already."""
+def undecided(entries: DataFrame, first: DataFrame) -> DataFrame:
+    """The entries (key, node, n) of keys whose nodes are of several components, with the component, m (nodes of the key), top (its
+    largest component) and others (nodes outside of that)."""
     now = entries.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = now.groupBy("key", "component").agg(F.count("*").alias("c"))
-    buckets = counts.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", -F.col("component"))).alias("top"))
-    buckets = buckets.where(F.col("top.c") < F.col("m")).select("key", "m", (-F.col("top.col2")).alias("top"), (F.col("m") - F.col("top.c")).alias("others"))
-    open_ = materialized(now.join(buckets, "key"), "open-buckets")
+    keys = counts.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", -F.col("component"))).alias("top"))
+    keys = keys.where(F.col("top.c") < F.col("m")).select("key", "m", (-F.col("top.col2")).alias("top"), (F.col("m") - F.col("top.c")).alias("others"))
+    return now.join(keys, "key")
 
-    few = open_.where(F.col("m") <= SMALL)
+
+def joined(few: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a key; for keys of few nodes."""
     a = few.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     b = few.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_sizes(F.col("na"), F.col("nb"), percent))
-    pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    return pairs.select("a", "b").distinct()
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: node, shingles. For each node its rarest shingles, one of which any set that is similar enough shares: node, n, key."""
+    slots = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(TABLE)).cast("int").alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("c"))
+    got = slots.toPandas()  # TABLE rows at most
+    table = np.zeros(TABLE, np.int32)
+    table[got["slot"]] = got["c"]
+    counters = sets.sparkSession.sparkContext.broadcast(table)
+
+    def maker():
+        held = counters.value
+
+        def first(own: list) -> list:
+            h = np.array(own, np.int64)
+            return h[np.lexsort((h, held[h % TABLE]))][: len(h) - (percent * len(h) + 99) // 100 + 1].tolist()
+
+        return lambda rows: [[*map(first, rows)]]
+
+    return with_made(sets, "shingles", "rare array<long>", maker).select("node", F.size("shingles").alias("n"), F.explode("rare").alias("key"))
+
+
+def remaining_links(entries: DataFrame, first: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """entries: key, node, n; first: node, component so far; tried: pairs that were verified already."""
+    buckets = materialized(undecided(entries, first), "open-buckets")
+    pairs = joined(buckets.where(F.col("m") <= SMALL), percent)
+
+    crowd = buckets.where(F.col("m") > SMALL).select("node").distinct()
+    rare = materialized(rarest(materialized(sets.join(crowd, "node", "left_semi"), "crowd"), percent), "rare-shingles")
+    groups = materialized(undecided(rare, first), "open-groups")
+    pairs = pairs.union(joined(groups.where(F.col("m") <= SMALL), percent)).distinct().join(tried, ["a", "b"], "left_anti")
 
-    many = open_.where(F.col("m") > SMALL)
+    many = groups.where(F.col("m") > SMALL)
     seekers = F.ceil(F.col("others") / BLOCK).cast("int")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     turn = F.xxhash64("node")

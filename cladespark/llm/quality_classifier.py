@@ -4,9 +4,10 @@ Cosines of random projections approximate a Gaussian kernel over standardised st
 weights solve normal equations that each partition sums over its own labelled rows; only sums meet. A fold that
 the weights have not seen gives, in fixed bins, the label shares that pool-adjacent-violators makes monotone.
 
-Cases: null text counts as empty and is scored like any text; repeated rows, also of labels, each count; without
-labels every score is 0.5, with labels of one kind it is that label; null labels are left out; an empty table
-gives an empty one.
+Cases: null text counts as empty and is scored like any text; texts of any length are read whole; repeated rows, also of
+labels, each count; without labels every score is 0.5, with labels of one kind it is that label; null labels are left
+out; equal statistics have equal scores, in any order of rows; other columns of the rows stay, and one with an output's
+name is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ RIDGE = 1e-2
 SEED = 20240
 #: Bins of the raw score, from -0.5 to 1.5, in which calibration counts labels.
 BINS = 500
-#: Partial sums are added up in so many groups before the driver adds those.
-GROUPS = 32
+#: So many partial sums at most are added up in one task; the driver gets no more than so many.
+FAN_IN = 16
 STATS = 18
 
 
@@ -94,7 +95,7 @@ def fourier(stats: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarra
 
 
 def normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of z z' and z y over all rows (stats, y): one matrix from each partition, added up in GROUPS groups, then once more."""
+    """Sums of z z' and z y over all rows (stats, y): one matrix from each partition, added up FAN_IN at a time until so many are left."""
     size = FEATURES + 1
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,12 +103,17 @@ def normal_equations(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> tu
         for batch in batches:
             z = fourier(np.stack(batch["stats"].to_numpy()), mean, scale) if len(batch) else np.zeros((0, size))
             total += z.T @ np.hstack([z, batch["y"].to_numpy(float)[:, None]])
-        yield pd.DataFrame({"g": [TaskContext.get().partitionId() % GROUPS], "total": [total.tobytes()]})
+        yield pd.DataFrame({"g": [TaskContext.get().partitionId()], "total": [total.tobytes()]})
 
-    def added(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"total": [sum(np.frombuffer(x) for x in batch["total"]).tobytes()]})
+    def added(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [key[0]], "total": [sum(np.frombuffer(x) for x in batch["total"]).tobytes()]})
 
-    parts = rows.mapInPandas(sums, "g int, total binary").groupBy("g").applyInPandas(added, "total binary").collect()
+    parts = materialized(rows.mapInPandas(sums, "g int, total binary"), "sums")
+    left = (parts.agg(F.max("g")).first()[0] or 0) + 1
+    while left > FAN_IN:
+        parts = parts.groupBy(F.floor(F.col("g") / FAN_IN).cast("int").alias("g")).applyInPandas(added, "g int, total binary")
+        left = -(-left // FAN_IN)
+    parts = parts.collect()
     total = sum((np.frombuffer(p.total) for p in parts), np.zeros(size * (size + 1))).reshape(size, size + 1)
     return total[:, :size], total[:, size]
 

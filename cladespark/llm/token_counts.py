@@ -2,13 +2,16 @@
 
 The tokens of a text are what best-score-first merging makes of it exactly if every two neighbours are what it
 makes of their own joined text. So for each prefix just one last token is right, the one that fits the last
-token of the prefix before it, and the count of a prefix is one more than the count of that shorter prefix. The
-table answers how many tokens any prefix has, whether a text exceeds a limit, and where to cut it for a budget,
-all without encoding again. No piece spans a border between a letter and a following space mark, so the table
-is kept by such chunks, and known chunks are remembered (a bounded number).
+token of the prefix before it, and the count of a prefix is one more than the count of that shorter prefix.
+`prefix_counts` makes the table of all prefixes of each text; how many tokens a text or a prefix has, whether it exceeds a
+limit, and where to cut it for a budget are then column expressions over that table, without encoding again. No piece
+spans a border between a letter and a following space mark, so the table is made by such chunks, and the tables of
+known chunks are remembered (a bounded number).
 
 Cases: null or empty text has 0 tokens and every budget takes all of it; special strings inside texts are plain
-text; repeated rows are each counted; other columns are kept, and one with an output's name is replaced.
+text; texts of any length are counted whole (the table takes four bytes a character of the row); a longer prefix may
+have fewer tokens, and of all prefixes within a budget the longest is taken; repeated rows are each counted; other
+columns are kept, whatever their names, and one with an output's name is replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,10 +22,10 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.common import Remembered, held, table, with_made
+from cladespark.llm.common import Remembered, held, table, whole, with_made
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -48,7 +51,7 @@ class PrefixCounter:
         self.suffixes.make_automaton()
         self.fit = Remembered(lambda pair: self._fits(self.pieces[pair >> 32], self.pieces[pair & 0xFFFFFFFF]), 300_000)
         self.whole = Remembered(lambda piece: self.merged(self.pieces[piece]) == [self.pieces[piece]], 50_000)
-        self.totals = Remembered(lambda chunk: self.prefixes(chunk)[-1], 200_000)
+        self.tables = Remembered(lambda chunk: np.array(self.prefixes(chunk)[1:], np.int32), 100_000, 64)
 
     def merged(self, text: str) -> list[str]:
         """Best-score-first merging, leftmost first among equals; for the short texts of two tokens."""
@@ -90,30 +93,17 @@ class PrefixCounter:
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def count(self, text: str) -> int:
-        return sum(map(self.totals.__getitem__, self.chunks(text)))
-
     def all_prefixes(self, text: str) -> np.ndarray:
         """Counts of text[:0], text[:1], ... text."""
-        out, base = [np.zeros(1, np.int32)], 0
-        for k, chunk in enumerate(self.chunks(text)):
-            table = np.array(self.prefixes(chunk), np.int32)
-            out.append(base + table[1 + (k == 0) :])
-            base += int(table[-1])
-        return np.concatenate(out)
-
-    def within(self, text: str, budget: int) -> int:
-        """The length of the longest prefix with at most `budget` tokens."""
-        at = base = 0
-        for k, chunk in enumerate(self.chunks(text)):
-            total = self.totals[chunk]
-            if base + total > budget and base <= budget:
-                # nothing later can come back under the budget: each later chunk has a token at least
-                best = max(j for j, c in enumerate(self.prefixes(chunk)) if base + c <= budget)
-                return max(0, at + best - 1)
-            base += total
-            at += len(chunk)
-        return len(text)
+        chunks = [*map(self.tables.__getitem__, self.chunks(text))]
+        if not chunks:
+            return np.zeros(1, np.int32)
+        counts = np.concatenate(chunks)
+        ends = np.cumsum([*map(len, chunks)])
+        base = np.cumsum(counts[ends - 1], dtype=np.int32)
+        counts[ends[0] :] += np.repeat(base[:-1], np.diff(ends))
+        counts[0] = 0  # the mark before the first letter stands for no letter
+        return counts
 
 
 def counter(path: str) -> PrefixCounter:
@@ -124,35 +114,42 @@ def _own(model: str) -> PrefixCounter:
     return counter(model if "/" in model else public_tokenizers.path(model))
 
 
-def count_tokens(docs: DataFrame, text: str = "text", limit: int = LIMIT, model: str = MODEL) -> DataFrame:
-    """docs with n_tokens (long), over_limit (boolean) and chars_in_limit (long: the longest prefix within the limit)."""
+def prefix_counts(docs: DataFrame, text: str = "text", out: str = "prefix_tokens", model: str = MODEL) -> DataFrame:
+    """docs with the column out: array<int>, at k the token count of the first k characters (k from 0)."""
 
     def maker():
         own = _own(model)
+        return lambda texts: [[own.all_prefixes(t or "") for t in texts]]
 
-        def counts(texts: list) -> list:
-            texts = [t or "" for t in texts]
-            n = [own.count(t) for t in texts]
-            return [n, [k > limit for k in n], [len(t) if k <= limit else own.within(t, limit) for t, k in zip(texts, n)]]
+    return with_made(docs, text, f"{out} array<int>", maker)
 
-        return counts
 
-    return with_made(docs, text, "n_tokens long, over_limit boolean, chars_in_limit long", maker)
+def tokens_at(prefix: Column, chars: Column | int | None = None) -> Column:
+    """Tokens of the first `chars` characters (of the whole text without), from the table of its prefixes."""
+    return (F.element_at(prefix, -1) if chars is None else F.get(prefix, chars)).cast("long")
 
 
-def prefix_counts(docs: DataFrame, text: str = "text", out: str = "prefix_tokens", model: str = MODEL) -> DataFrame:
-    """docs with the column out: array<int>, at k the token count of the first k characters (k from 0)."""
+def chars_within(prefix: Column, budget: Column | int) -> Column:
+    """The length of the longest prefix with at most `budget` tokens, from the table; null if even the empty one has more."""
+    budget = budget if isinstance(budget, Column) else F.lit(budget)
+    cut = F.size(prefix) - F.nullif(F.array_position(F.reverse(F.transform(prefix, lambda n: n <= budget)), True), F.lit(0))
+    return F.when(F.element_at(prefix, -1) <= budget, F.size(prefix) - 1).otherwise(cut).cast("long")
 
-    def maker():
-        own = _own(model)
-        return lambda texts: [[own.all_prefixes(t or "") for t in texts]]
 
-    return with_made(docs, text, f"{out} array<int>", maker)
+def count_tokens(docs: DataFrame, text: str = "text", limit: int = LIMIT, model: str = MODEL) -> DataFrame:
+    """docs with n_tokens (long), over_limit (boolean) and chars_in_limit (long: the longest prefix within the limit)."""
+    packed = docs.select(whole(docs).alias("doc"), F.col(text).alias("text"))
+    got = prefix_counts(packed, "text", "prefix", model)
+    n, new = tokens_at(F.col("prefix")), ("n_tokens", "over_limit", "chars_in_limit")
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in new]
+    return got.select(*kept, n.alias("n_tokens"), (n > limit).alias("over_limit"), chars_within(F.col("prefix"), limit).alias("chars_in_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
-    return count_tokens(docs).drop("text")
+    counts = prefix_counts(docs).select("doc_id", "n_bytes", "prefix_tokens")
+    n = tokens_at(F.col("prefix_tokens"))
+    return counts.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > LIMIT).alias("over_limit"), chars_within(F.col("prefix_tokens"), LIMIT).alias("chars_in_limit"))
 
 
 QUERIES = {"op10_token_counts": op10_token_counts}

@@ -6,12 +6,17 @@ misspelled term is caught in one pass over its letters. Each hit is scored in it
 nearby strengthen it, quotation marks around it or a reporting verb before it weaken it. A logistic model of these
 scores, fitted on hits from lexicons learnt without the row at hand, gives the probability.
 
-Bounds: the lexicon and the model are fitted on at most about MOST_LABELLED rows of each label, chosen by a hash
-of doc_id; the lexicon has at most MOST_TERMS terms. Scoring reads every whole text.
-
-Cases: null text counts as empty; texts without hits share one low score; repeated rows are each scored; without
-labels of both kinds the lexicon is empty and every score is the share of label 1 (0 without labels); null labels
-are left out; an empty table gives an empty one.
+Bounds: the lexicon and the model are fitted on at most MOST_LABELLED documents of each label, those of the least hash
+of doc_id; so the lexicon is bounded too. It takes every word of theirs that passes one test: the word's share of
+label 1 is more than it would be if the word were LIFT times as frequent in label 1 as in label 0, at an error of ALPHA
+over all words of the sample together (Chernoff's bound of the binomial tail, Bonferroni's correction). Scoring reads
+every whole text.
+
+Cases: null text counts as empty; texts without hits share one low score; texts of any length are read whole; repeated
+rows are each scored, but a document counts once in the fit (of several texts of one doc_id the least), and once with
+each label it has; without labels of both kinds the lexicon is empty and every score is the share of label 1 (0 without
+labels); null labels are left out; of terms that fit a word equally well the heavier counts, then the first in order;
+all columns of the rows stay, and those named n_hits or like the output are replaced; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -26,13 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cladespark.llm.common import Remembered, held, held_out, materialized, table, with_made
+from cladespark.llm.common import Remembered, held, held_out, materialized, table, whole, with_made
 
 MOST_LABELLED = 10_000
-MOST_TERMS = 2_000
-#: Toxic rows that a term needs, its least smoothed log-odds, and the least product of the two: with less, some word of a
-#: vocabulary of a hundred thousand would stand out by chance.
-LEAST_ROWS, LEAST_ODDS, LEAST_EVIDENCE = 3, 3.0, 12.0
+#: The test of a term, as above.
+LIFT, ALPHA = 2.0, 0.05
 WINDOW = 10
 #: A quoted or reported hit counts so much.
 QUOTED = 0.3
@@ -179,17 +182,17 @@ def scorer(terms: tuple[tuple[str, float], ...]) -> Scorer:
     return held(("scorer", terms), lambda: Scorer(dict(terms)))
 
 
-def with_features(rows: DataFrame, terms: tuple[tuple[str, float], ...], text: str = "text") -> DataFrame:
-    """rows with features (array<double>) and n_hits."""
+def with_features(rows: DataFrame, terms: tuple[tuple[str, float], ...], text: str = "text", out: str = "features") -> DataFrame:
+    """rows with the column out (array<double>) and n_hits."""
 
     def maker():
         own = scorer(terms)
         return lambda texts: [*zip(*[own.features(t or "") for t in texts])]
 
-    return with_made(rows, text, "features array<double>, n_hits long", maker)
+    return with_made(rows, text, f"{out} array<double>, n_hits long", maker)
 
 
-def learn_terms(rows: DataFrame, most: int = MOST_TERMS) -> tuple[tuple[str, float], ...]:
+def learn_terms(rows: DataFrame, lift: float = LIFT, alpha: float = ALPHA) -> tuple[tuple[str, float], ...]:
     """The words (of rows: text, y) that stand out in label 1, with their smoothed log-odds."""
 
     @pandas_udf("array<string>")
@@ -200,11 +203,15 @@ def learn_terms(rows: DataFrame, most: int = MOST_TERMS) -> tuple[tuple[str, flo
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
     if not ones or not zeros:
         return ()
+    p, q = F.col("p"), F.col("q")
     per = rows.select(F.explode(vocabulary("text")).alias("word"), "y").groupBy("word").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    odds = F.log((F.col("p") + 0.5) / (ones + 1.0)) - F.log((F.col("q") + 0.5) / (zeros + 1.0))
-    best = per.where(F.col("p") >= LEAST_ROWS).withColumn("odds", F.round(odds, 6)).where((F.col("odds") >= LEAST_ODDS) & (F.col("p") * F.col("odds") >= LEAST_EVIDENCE))
-    # a term's evidence: how far its rows go beyond what the other label's rate predicts
-    return tuple(sorted((r["word"], r["odds"]) for r in best.orderBy(F.desc(F.col("p") * F.col("odds")), "word").limit(most).select("word", "odds").collect()))
+    per = materialized(per, "toxic-words")
+    null = lift * ones / (lift * ones + zeros)
+    log = lambda x: F.log(F.greatest(x, F.lit(1e-300)))  # noqa: E731  0 log 0 is 0
+    evidence = p * log(p / (p + q) / null) + q * log(q / (p + q) / (1 - null))
+    odds = F.log((p + 0.5) / (ones + 1.0)) - F.log((q + 0.5) / (zeros + 1.0))
+    best = per.where((p / (p + q) > null) & (evidence >= float(np.log(max(1, per.count()) / alpha))))
+    return tuple(sorted((r["word"], r["odds"]) for r in best.select("word", F.round(odds, 6).alias("odds")).collect()))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -228,12 +235,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     if not sizes.get(0) or not sizes.get(1):
         share = 1.0 if sizes.get(1) else 0.0
         return Model((), (0.0,) * FEATURES + (30.0 if share else -30.0,))
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    keep = F.when(F.col("y") == 1, turn < int(1e6 * min(1, most / sizes[1]))).otherwise(turn < int(1e6 * min(1, most / sizes[0])))
-    # at most about 2 * most small rows: safe to broadcast
-    chosen = labels.where(keep).select(F.col("doc_id").alias("__id"), "y")
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).alias("half"))
-    sample = materialized(sample.repartition(16), "toxic-sample")
+    once = labels.where(F.col("doc_id").isNotNull()).select("doc_id", "y").distinct().withColumn("turn", F.xxhash64("doc_id"))
+    # at most 2 * most small rows: safe to broadcast
+    chosen = [once.where(F.col("y") == y).orderBy("turn", "doc_id").limit(most) for y in (0, 1)]
+    chosen = materialized(chosen[0].union(chosen[1]), "toxic-labels").select(F.col("doc_id").alias("__id"), "y")
+    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = materialized(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))).repartition(16), "toxic-sample")
     parts = []
     for half in (0, 1):
         terms = learn_terms(sample.where(F.col("half") != half))
@@ -249,11 +256,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with n_hits and the column out, the probability of label 1."""
-    x = with_features(docs, model.terms, text)
+    x = with_features(docs.select(whole(docs).alias("doc"), F.col(text).alias("text")), model.terms)
     line = F.lit(model.weights[-1])
     for k, w in enumerate(model.weights[:-1]):
         line = line + F.col("features")[k] * F.lit(w)
-    return x.withColumn(out, 1 / (1 + F.exp(-line))).drop("features")
+    kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_hits", out)]
+    return x.select(*kept, "n_hits", (1 / (1 + F.exp(-line))).alias(out))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
