@@ -1,22 +1,34 @@
-"""From raw documents to training tokens: rules, near-duplicates, decontamination, secrets, encoding."""
+"""From raw documents to training tokens: rules, near-duplicates, decontamination, secrets, encoding.
+
+Cases, in every stage: null and empty texts, texts of any length, repeated rows, rows without doc_id and empty tables are
+allowed, and columns beside those of documents stay as they are, whatever their names. A row is known by its doc_id or,
+without one, by its text (`row_key`), so that verdicts on rows without doc_id take effect as well.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladespark.llm.bpe import encode_and_decode
-from cladespark.llm.common import materialized, table, without
+from cladespark.llm.common import materialized, table, whole, without
 from cladespark.llm.decontamination import leaks
 from cladespark.llm.near_dup import near_duplicates
 from cladespark.llm.quality_rules import judge
 from cladespark.llm.secrets import redact
+from cladespark.sources.shared import discard, temporary
+
+
+def row_key() -> Column:
+    """doc_id; without one a number from 2^62 on that follows from the text, so that it is the representative of no row with a doc_id."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go. The row is carried as one struct, so that its columns cannot clash with the measures."""
-    rows = docs.select(F.struct(*docs.columns).alias("__doc"), "text", "lang")
-    return judge(rows).where("kept").select("__doc.*")
+    """Rejected documents go: null and empty ones, those of the base rules, and those far outside the bands of their language.
+    A null language is one of its own; repeated rows have one verdict."""
+    rows = docs.select(whole(docs).alias("doc"), "text", "lang")
+    return judge(rows, columns=["doc"]).where("kept").select("doc.*")
 
 
 #: Percent of their shingles that two documents share at least to be near copies; op8 has its own.
@@ -24,27 +36,33 @@ NEAR = 80
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked from NEAR percent up the document with the least doc_id stays; of repeated rows one."""
-    gone = near_duplicates(docs, percent=NEAR).where(~F.col("kept")).select("doc_id").distinct()
-    kept = without(docs, "doc_id", materialized(gone, "gone"))
-    again = materialized(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    once = kept.join(again.toDF("__again"), F.col("doc_id").eqNullSafe(F.col("__again")), "left_anti")
-    return once.unionByName(kept.join(again.toDF("__again"), F.col("doc_id").eqNullSafe(F.col("__again")), "left_semi").dropDuplicates(["doc_id", "text"])) if again.head(1) else kept
+    """Of each group linked from NEAR percent up the document with the least doc_id stays, one without doc_id only where none of the
+    group has one; of repeated rows (doc_id and text) one. Documents without words are in no group."""
+    rows = docs.select(whole(docs).alias("doc"), row_key().alias("key"), "text")
+    gone = materialized(near_duplicates(rows, doc_id="key", percent=NEAR).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    kept = without(rows, "key", gone)
+    again = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("again"))
+    again = materialized(again, "again")
+    single = without(kept, "key", again)
+    repeated = kept.join(again, F.col("key") == F.col("again"), "left_semi").groupBy("key", "text").agg(F.first("doc").alias("doc"))
+    return single.select("doc.*").unionByName(repeated.select("doc.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return without(docs, "doc_id", materialized(found, "leaked"))
+    """Documents that hold a benchmark item go; null and empty ones hold none."""
+    rows = docs.select(whole(docs).alias("doc"), row_key().alias("key"), "text")
+    found = leaks(rows.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return without(rows, "key", materialized(found, "leaked")).select("doc.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; n_chars follows the text."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Secrets are masked; n_chars follows the text (null where it is null)."""
+    clean = redact(docs)
+    return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in clean.columns])
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
+    """Token ids of each document, and whether they decode to its text (a null one to nothing)."""
     both = encode_and_decode(docs.select("doc_id", "lang", "source", "n_chars", "text"))
     return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
@@ -55,7 +73,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Tables of a stage, and its input, are deleted when its output is written; the last output stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialized(stage(spark, docs, sf_dir), name)
+        with temporary(spark) as keep:
+            docs = materialized(stage(spark, docs, sf_dir), name)
+            keep.append(docs.written_to)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
