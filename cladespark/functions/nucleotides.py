@@ -33,3 +33,9 @@ def canonical(kmer: Column) -> Column:
 def kmers(seq: Column, k: int = 15) -> Column:
     """array<string> of all k-mers in order; empty where the sequence is shorter than k."""
     return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substr(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+
+def pieces(seq: Column, k: int = 15, size: int = 10_000) -> Column:
+    """array<string> of overlapping pieces with `size` k-mers each, so that each k-mer is in one piece: exploded before `kmers`, they keep
+    the k-mers of a long sequence out of one row."""
+    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(0), F.floor((F.length(seq) - k) / size).cast("int")), lambda p: F.substr(seq, p * size + 1, F.lit(size + k - 1)))).otherwise(F.array().cast("array<string>"))

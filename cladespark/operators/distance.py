@@ -1,28 +1,76 @@
 """Distances of aligned sequences under six substitution models, and operations on distance matrices.
 
-All models follow from the joint counts of (base, base) over the sites of a pair, which an Arrow function takes from
-the two strings at once, with the formulas on whole batches. Arguments of logarithms that are not positive give NaN or
+All models follow from the joint counts of (base, base) over the sites of a pair. Pairs of small families are made by a
+join, and their counts taken for whole Arrow batches at once; larger families are dealt to (block, block) tasks, where
+the counts of all pairs of two blocks are one matrix product. Arguments of logarithms that are not positive give NaN or
 infinity, as in IEEE arithmetic, not NULL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from cladespark.sources.shared import materialized
+
+#: (rows a, rows b) -> matrix of distances.
+Metric = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 MODELS = ("p", "jc", "tn", "k2p", "tamura", "jinnei")
 _codes = np.full(256, 4, np.uint8)
+_codes[0] = 5
 _codes[[ord(c) for c in "ACGTU"]] = [0, 1, 2, 3, 3]
 
 
+#: Sequences of a block, and members up to which a family is one join.
+BLOCK, FAMILY = 256, 64
+
+
+def coded(alignments: Iterable[str | None]) -> np.ndarray:
+    """One row of codes per sequence (A0 C1 G2 T3, else 4); 5 where a sequence is shorter than the longest."""
+    texts = [(t or "").encode("ascii", "replace") for t in alignments]
+    width = max(map(len, texts), default=0)
+    return _codes[np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)]
+
+
+def paired_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Codes of n pairs -> n rows of 25 counts: at 5 x + y, how many sites have code x in the first and y in the second sequence. Sites
+    beyond the end of either are no sites."""
+    n, width = len(a), min(a.shape[1], b.shape[1])
+    x, y = a[:, :width].astype(np.int64), b[:, :width]
+    cells = np.where((x < 5) & (y < 5), 5 * x + y, 25) + 26 * np.arange(n)[:, None]
+    return np.bincount(cells.ravel(), minlength=26 * n).reshape(n, 26)[:, :25]
+
+
 def joint_counts(a: str, b: str) -> np.ndarray:
-    """25 counts: at 5 x + y, how many sites have code x in the first and y in the second sequence (A0 C1 G2 T3, else 4)."""
-    x, y = (_codes[np.frombuffer(v.encode("ascii", "replace"), np.uint8)] for v in (a, b))
-    n = min(len(x), len(y))
-    return np.bincount(5 * x[:n] + y[:n], minlength=25)
+    return paired_counts(coded([a]), coded([b]))[0]
+
+
+def crossed_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Codes of n and m sequences -> the counts of all pairs, (n, m, 25), as products of their indicator matrices."""
+    width = min(a.shape[1], b.shape[1])
+    kind = np.float32 if width < 1 << 24 else np.float64
+    x, y = (np.stack([v[:, :width] == c for c in range(5)], 1).astype(kind).reshape(5 * len(v), width) for v in (a, b))
+    return (x @ y.T).reshape(len(a), 5, len(b), 5).transpose(0, 2, 1, 3).reshape(len(a), len(b), 25)
+
+
+def alignment_metric(model: str = "jc", compat: bool = False, aln: str = "seq") -> Metric:
+    """The distances of all sequences of one table to all of another, a bounded block of pairs at a time."""
+
+    def metric(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        x, y = coded(a[aln]), coded(b[aln])
+        out = np.zeros((len(x), len(y)))
+        for k in range(0, len(x), 64):
+            for j in range(0, len(y), 512):
+                counts = crossed_counts(x[k : k + 64], y[j : j + 512])
+                out[k : k + 64, j : j + 512] = distances(counts.reshape(-1, 25), model, compat).reshape(counts.shape[:2])
+        return out
+
+    return metric
 
 
 def distances(counts: np.ndarray, model: str, compat: bool = False) -> np.ndarray:
@@ -63,18 +111,51 @@ def distances(counts: np.ndarray, model: str, compat: bool = False) -> np.ndarra
     raise ValueError(f"no such model: {model}")
 
 
-def pair_distances(alignments: DataFrame, group: str, model: str, compat: bool = False) -> DataFrame:
-    """alignments: a group column, ord, aln. All pairs i < j inside each group with their distance: group, i, j, d.
-
-    Groups are the families that are compared within themselves; they have to be small, as the pairs of each are made."""
-
+def _distance(model: str, compat: bool):
     @pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(distances(np.array([joint_counts(x, y) for x, y in zip(a, b)]), model, compat) if len(a) else [], dtype=float)
+        return pd.Series(distances(paired_counts(coded(a), coded(b)), model, compat) if len(a) else [], dtype=float)
+
+    return distance
+
+
+def candidate_distances(pairs: DataFrame, alignments: DataFrame, model: str = "jc", compat: bool = False) -> DataFrame:
+    """pairs: i, j (ids); alignments: ord, aln. The given pairs only, with their distance: i, j, d."""
+    a = alignments.select(F.col("ord").alias("i"), F.col("aln").alias("x"))
+    b = alignments.select(F.col("ord").alias("j"), F.col("aln").alias("y"))
+    return pairs.select("i", "j").join(a, "i").join(b, "j").select("i", "j", _distance(model, compat)("x", "y").alias("d"))
+
+
+def pair_distances(alignments: DataFrame, group: str, model: str, compat: bool = False, family: int = FAMILY, block: int = BLOCK) -> DataFrame:
+    """alignments: a group column, ord, aln. All pairs i < j inside each group with their distance: group, i, j, d.
 
-    a = alignments.select(group, F.col("ord").alias("i"), F.col("aln").alias("x"))
-    b = alignments.select(group, F.col("ord").alias("j"), F.col("aln").alias("y"))
-    return a.join(b, group).where("i < j").select(group, "i", "j", distance("x", "y").alias("d"))
+    Groups of up to `family` members are joined with themselves; each larger one is cut into blocks of about `block` members by a
+    hash of ord, and each pair of blocks is a task of its own, so no task holds more than two blocks."""
+    kind = {c: alignments.schema[c].dataType.simpleString() for c in (group, "ord")}
+    large = materialized(alignments.groupBy(group).count().where(F.col("count") > family).select(F.col(group).alias("__g"), F.ceil(F.col("count") / block).cast("int").alias("__n")), "large-families")
+    few, many = alignments, None
+    if large.head(1):
+        few = alignments.join(large, F.col(group).eqNullSafe(F.col("__g")), "left_anti")
+        many = alignments.join(large, F.col(group).eqNullSafe(F.col("__g"))).withColumn("__own", F.pmod(F.xxhash64("ord"), F.col("__n")).cast("int"))
+    a = few.select(group, F.col("ord").alias("i"), F.col("aln").alias("x"))
+    b = few.select(F.col(group).alias("__h"), F.col("ord").alias("j"), F.col("aln").alias("y"))
+    out = a.join(b, F.col(group).eqNullSafe(F.col("__h")) & (F.col("i") < F.col("j"))).select(group, "i", "j", _distance(model, compat)("x", "y").alias("d"))
+    if many is None:
+        return out
+    metric = alignment_metric(model, compat, "aln")
+    # a member goes to the tasks of its block with every block: (least, greatest) of the two numbers
+    dealt = many.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    dealt = dealt.select(group, "ord", "aln", "__own", F.least("__own", "__other").alias("__a"), F.greatest("__own", "__other").alias("__b"))
+
+    def blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = (rows[rows["__own"] == k].reset_index(drop=True) for k in key[1:])
+        d = metric(x, y)
+        p, q = np.triu_indices(len(x), 1) if key[1] == key[2] else (v.ravel() for v in np.indices(d.shape))
+        i, j = x["ord"].to_numpy()[p], y["ord"].to_numpy()[q]
+        return pd.DataFrame({group: key[0], "i": np.minimum(i, j), "j": np.maximum(i, j), "d": d[p, q]})
+
+    made = dealt.groupBy(group, "__a", "__b").applyInPandas(blocks, f"{group} {kind[group]}, i {kind['ord']}, j {kind['ord']}, d double")
+    return out.unionByName(made)
 
 
 def mirrored(dist: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -11,23 +11,41 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from cladespark.functions.murmur import SEED, hash_strings
+from cladespark.functions.murmur import SEED, biased, murmur_low
+from cladespark.operators.distance import Metric
+from cladespark.sources.shared import materialized
 
 PAD = np.iinfo(np.int64).max
 _complement = str.maketrans("ACGT", "TGCA")
+_codes = np.zeros(256, np.uint64)
+_codes[[ord(c) for c in "ACGT"]] = range(4)
+#: Start positions whose k-mers are hashed at once.
+AT_ONCE = 1 << 18
 
 
 def sequence_hashes(seq: str, k: int, seed: int = SEED) -> np.ndarray:
-    """Biased hashes of the canonical k-mers of a sequence of A, C, G and T."""
-    if len(seq) < k:
-        return np.zeros(0, np.int64)
-    back = seq.translate(_complement)[::-1]
+    """Biased hashes of the canonical k-mers of a sequence of A, C, G and T (k up to 31), in order."""
     n = len(seq) - k + 1
-    return hash_strings([min(seq[i : i + k], back[n - 1 - i : n - 1 - i + k]) for i in range(n)], seed)
+    if n < 1:
+        return np.zeros(0, np.int64)
+    if k > 31:
+        raise ValueError("k-mers of up to 31 bases")
+    ahead = np.frombuffer(seq.encode("ascii"), np.uint8)
+    back = np.frombuffer(seq.translate(_complement)[::-1].encode("ascii"), np.uint8)
+    # two bits a base: codes are in the order of the letters, so the lesser number is the lesser string
+    number = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
+    for j in range(k):
+        for v, bases in zip(number, (ahead, back)):
+            v <<= np.uint64(2)
+            v |= _codes[bases[j : j + n]]
+    lesser = number[0] <= number[1][::-1]
+    windows, others = np.lib.stride_tricks.sliding_window_view(ahead, k), np.lib.stride_tricks.sliding_window_view(back, k)[::-1]
+    parts = [murmur_low(np.where(lesser[i : i + AT_ONCE, None], windows[i : i + AT_ONCE], others[i : i + AT_ONCE]), seed) for i in range(0, n, AT_ONCE)]
+    return biased(np.concatenate(parts))
 
 
 def sketches(sequences: DataFrame, k: int = 15, size: int = 1000, seed: int = SEED, dedup: bool = False) -> DataFrame:
@@ -45,31 +63,95 @@ def sketches(sequences: DataFrame, k: int = 15, size: int = 1000, seed: int = SE
     return sequences.select("seq_id", sketch("seq").alias("s")).select("seq_id", "s.*")
 
 
-def shared_hashes(a: np.ndarray, b: np.ndarray, size: int, filled: bool = True) -> int:
+def filled(sketch: np.ndarray, size: int) -> np.ndarray:
+    return np.append(sketch[:size], np.full(size - len(sketch[:size]), PAD))
+
+
+def shared_hashes(a: np.ndarray, b: np.ndarray, size: int, fill: bool = True) -> int:
     """How many of the first `size` merged hashes both sketches hold; a is the sketch with the smaller ordinal."""
-    if filled:
-        a, b = (np.append(x[:size], np.full(size - len(x[:size]), PAD)) for x in (a, b))
-    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    p = np.bincount(at[: len(a)], minlength=len(values))
-    q = np.bincount(at[len(a) :], minlength=len(values))
-    weight = np.where(p > 0, p, q)
-    before = np.cumsum(weight) - weight
-    return int(q[(p > 0) & (before < size)].sum())
+    if fill:
+        a, b = filled(a, size), filled(b, size)
+    values, first = np.unique(a, return_index=True)
+    low, high = np.searchsorted(b, values), np.searchsorted(b, values, "right")
+    both = high - low
+    # hashes before a value: those of a, and those of b that a does not have
+    before = first + low - (np.cumsum(both) - both)
+    return int(both[before < size].sum())
 
 
 def mash_distance(shared: int, size: int, k: int) -> float:
     """At least one shared hash is assumed, and the distance is at most 1."""
-    j = max(shared, 1) / size
+    j = max(shared, 1) / max(size, 1)
     return min(1.0, abs(math.log(2 * j / (1 + j)) / k))
 
 
-def mash_pairs(pairs: DataFrame, sketched: DataFrame, k: int = 15, size: int = 1000) -> DataFrame:
-    """pairs: i, j (seq ids, each pair once). Adds shared (long) and d (double): the sketch of the smaller id is compared with the other's."""
+def _entries(rows: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(row, hash, place of its first occurrence, occurrences) of each distinct hash of each sketch."""
+    parts = [np.unique(v, return_index=True, return_counts=True) for v in rows]
+    return np.repeat(np.arange(len(rows)), [len(p[0]) for p in parts]), *(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+
+
+def crossed_shared(x: list[np.ndarray], y: list[np.ndarray], first: np.ndarray, size: int) -> np.ndarray:
+    """shared_hashes of all pairs of two lists of sketches (without filling), filled; first: where that of x is the first of the pair.
+    Only hashes that both hold count, so the pairs of a hash are made by a join of the two lists and summed up by pair."""
+    i, hash_x, place_x, times_x = _entries(x)
+    j, hash_y, place_y, times_y = _entries(y)
+    order = np.argsort(hash_y, kind="stable")
+    j, hash_y, place_y, times_y = j[order], hash_y[order], place_y[order], times_y[order]
+    low = np.searchsorted(hash_y, hash_x)
+    n = np.searchsorted(hash_y, hash_x, "right") - low
+    left = np.repeat(np.arange(len(i)), n)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    pair = i[left] * len(y) + j[right]
+    order = np.argsort(pair, kind="stable")  # within a pair the hashes stay in order
+    pair, left, right = pair[order], left[order], right[order]
+    times = np.where(first.ravel()[pair], times_y[right], times_x[left])
+    sums = np.cumsum(times) - times
+    start = np.r_[True, pair[1:] != pair[:-1]] if len(pair) else np.zeros(0, bool)
+    earlier = sums - np.repeat(sums[start], np.diff(np.r_[np.flatnonzero(start), len(pair)])) if len(pair) else sums
+    before = place_x[left] + place_y[right] - earlier
+    cells = len(x) * len(y)
+    shared = np.bincount(pair, np.where(before < size, times, 0), cells).astype(np.int64).reshape(len(x), len(y))
+    both = np.bincount(pair, times, cells).astype(np.int64).reshape(len(x), len(y))
+    # the filling is one more hash that all shorter sketches share
+    nx, ny = np.array([len(v) for v in x])[:, None], np.array([len(v) for v in y])[None]
+    fill = np.where(first, size - ny, size - nx)
+    return shared + np.where((nx < size) & (ny < size) & (nx + ny - both < size), fill, 0)
+
+
+def sketch_metric(k: int = 15, size: int = 1000, column: str = "sketch") -> Metric:
+    """Mash distances of filled sketches; the row that comes first by turn (if there is one) and ord gives the first sketch of a pair."""
+
+    def metric(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        x, y = ([np.asarray(v, np.int64)[:size] for v in rows[column]] for rows in (a, b))
+        names = [c for c in ("turn", "ord") if c in a]
+        every = pd.MultiIndex.from_frame(pd.concat([a[names], b[names]], ignore_index=True))
+        rank = np.unique(every.to_numpy(), return_inverse=True)[1] if len(every) else np.zeros(0, int)
+        p, q = rank[: len(a)], rank[len(a) :]
+        out = np.zeros((len(x), len(y)))
+        for s in range(0, len(x), 32):
+            for t in range(0, len(y), 128):
+                shared = crossed_shared(x[s : s + 32], y[t : t + 128], p[s : s + 32, None] < q[None, t : t + 128], size)
+                j = np.maximum(shared, 1) / size
+                out[s : s + 32, t : t + 128] = np.minimum(1.0, np.abs(np.log(2 * j / (1 + j)) / k))
+        out[p[:, None] == q[None]] = 0.0
+        return out
+
+    return metric
+
+
+def mash_pairs(pairs: DataFrame, sketched: DataFrame, k: int = 15, size: int = 1000, dedup: bool = False) -> DataFrame:
+    """pairs: i, j (seq ids, each pair once). Adds shared (long) and d (double): the sketch of the smaller id is compared with the other's.
+    dedup: textbook sketches, compared on the `size` least hashes of their union or all of it."""
 
     @pandas_udf("shared long, d double")
     def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        shared = [shared_hashes(np.asarray(x), np.asarray(y), size) for x, y in zip(a, b)]
-        return pd.DataFrame({"shared": shared, "d": [mash_distance(s, size, k) for s in shared]})
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.asarray(x, np.int64), np.asarray(y, np.int64)
+            shared = shared_hashes(x, y, size, not dedup)
+            out.append((shared, mash_distance(shared, min(size, len(np.union1d(x, y))) if dedup else size, k)))
+        return pd.DataFrame(out, columns=["shared", "d"])
 
     left = sketched.select(F.col("seq_id").alias("i"), F.col("sketch").alias("a"))
     right = sketched.select(F.col("seq_id").alias("j"), F.col("sketch").alias("b"))
@@ -80,14 +162,27 @@ def mash_pairs(pairs: DataFrame, sketched: DataFrame, k: int = 15, size: int = 1
 
 
 def mash_search(queries: DataFrame, sketched: DataFrame, k: int = 15, size: int = 1000, most: int = 5) -> DataFrame:
-    """The `most` nearest sequences of each query (queries: seq_id) among all that share a hash with it: i, j, shared, d, rank.
-
-    An inverted index on hashes finds the partners, so sequences that share nothing, which all lie at the same largest
-    distance, are never paired; partners grow with what is shared, not with the number of sequences.
-    """
-    hashes = sketched.select("seq_id", F.explode(F.array_distinct("sketch")).alias("h"))
+    """The `most` nearest sequences of each query (queries: seq_id) among all others: i, j, shared, d, rank. Ties go to the smaller id.
+
+    sketched: textbook sketches (dedup). An inverted index on hashes gives every pair that shares one, with the number of hashes that
+    their sketches share. That number bounds the distance from both sides (it is the distance where the union is no
+    larger than a sketch), so only pairs that can be among the nearest are compared by their sketches. Pairs that share
+    nothing all have the same largest distance, so a query with too few partners is filled up from the smallest ids."""
+    sizes = sketched.select("seq_id", F.size("sketch").alias("n"))
+    hashes = sketched.select("seq_id", F.explode("sketch").alias("h"))
     asked = hashes.join(queries.select("seq_id"), "seq_id", "left_semi").withColumnRenamed("seq_id", "i")
-    pairs = asked.join(hashes.withColumnRenamed("seq_id", "j"), "h").where("i <> j").select("i", "j").distinct()
-    ranked = mash_pairs(pairs, sketched, k, size).withColumn("d", F.round("d", 9))
-    best = ranked.groupBy("i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j", "shared"))), 1, most).alias("near"))
-    return best.select("i", F.posexplode("near").alias("pos", "x")).select("i", "x.j", "x.shared", "x.d", (F.col("pos") + 1).cast("long").alias("rank"))
+    common = asked.join(hashes.withColumnRenamed("seq_id", "j"), "h").where("i <> j").groupBy("i", "j").agg(F.count("*").alias("c"))
+    common = common.join(sizes.toDF("i", "ni"), "i").join(sizes.toDF("j", "nj"), "j").withColumn("union", F.col("ni") + F.col("nj") - F.col("c"))
+    # the least `size` hashes of the union miss at most union - size of the shared ones
+    of = F.least("union", F.lit(size))
+    common = materialized(common.select("i", "j", "c", "union", (F.col("c") / of).alias("top"), (F.greatest(F.col("c") - (F.col("union") - of), F.lit(1)) / of).alias("low")), "common-hashes")
+    needed = common.select("i", "low", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("low"))).alias("r")).where(F.col("r") <= most).groupBy("i").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+    hopeful = common.join(needed, "i").where((F.col("n") < most) | (F.col("top") >= F.col("least") - 1e-12))
+    exact = mash_pairs(hopeful.select("i", "j"), sketched, k, size, True)
+    few = queries.select(F.col("seq_id").alias("i")).join(needed.where(F.col("n") == most), "i", "left_anti")
+    # among so many least ids are enough others that share nothing
+    least = F.broadcast(sketched.select(F.col("seq_id").alias("j")).orderBy("j").limit(2 * most))
+    farthest = F.lit(mash_distance(0, size, k))
+    filling = few.join(least, F.col("i") != F.col("j")).join(common.select("i", "j"), ["i", "j"], "left_anti").select("i", "j", F.lit(0).cast("long").alias("shared"), farthest.alias("d"))
+    found = exact.unionByName(filling).withColumn("d", F.round("d", 9))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")).cast("long")).where(F.col("rank") <= most)

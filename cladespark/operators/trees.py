@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladespark.operators.distance import Metric
 from cladespark.operators.kernels import NEAREST, neighbor_joining, path_lengths, place_all
 from cladespark.sources.shared import materialized
 
-#: (rows a, rows b) -> matrix of distances.
-Metric = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
 TREE = "node long, parent long, len double"
 
 
@@ -54,38 +51,89 @@ def tip_paths(tips: DataFrame, group: str, metric: Metric, algorithm: str = "nj"
     return tips.groupBy(group).applyInPandas(paths, f"{group} {kind}, ord long, first double, total double, depth double")
 
 
-def depths(tree: DataFrame) -> DataFrame:
-    """tree: node, parent (null at roots), len. Adds depth (edges from the root) and path (length from the root), a level at a time:
-    one join for each level, and each level is written, so that plans stay short."""
-    level = tree.where("parent IS NULL").withColumns({"depth": F.lit(0).cast("long"), "path": F.lit(0.0)})
-    out = []
+def depths(tree: DataFrame, length: str = "len") -> DataFrame:
+    """tree: node, parent (null at roots), len. Adds depth (edges from the root) and path (length from the root), by pointer doubling:
+    each round doubles the stretch that every node looks up, so there are as many rounds as the depth has binary digits."""
+    state = tree.select("node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth"), F.coalesce(F.when(F.col("parent").isNotNull(), F.col(length)), F.lit(0.0)).alias("path"))
+    while True:
+        state = materialized(state, "ancestors")
+        if not state.where("up IS NOT NULL").head(1):
+            break
+        above = state.select(F.col("node").alias("a"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("further"))
+        rising = state.where("up IS NOT NULL").join(above, F.col("up") == F.col("a"))
+        rising = rising.select("node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("path") + F.col("further")).alias("path"))
+        state = rising.unionByName(state.where("up IS NULL"))
+    extra = state.select(F.col("node").alias("__node"), "depth", "path")
+    return tree.drop("depth", "path").join(extra, F.col("node") == F.col("__node")).drop("__node")
+
+
+#: How values of two sets of nodes become one: an aggregate, and the value of a node without any.
+SUM, XOR, MAX = (F.sum, lambda a, b: a + b), (F.bit_xor, lambda a, b: a.bitwiseXOR(b)), (F.max, lambda a, b: F.greatest(a, b))
+
+
+def subtree(tree: DataFrame, values: dict[str, tuple[Column, tuple]]) -> DataFrame:
+    """values: column -> (value of a node, over columns of tree and is_leaf; SUM, XOR or MAX). Per node: node, parent, is_leaf and the
+    values brought together over the node and all below it. After round k each node has those less than 2^k edges below; what the
+    nodes 2^k below have is added, so rounds grow with the logarithm of the depth, and no node sends a row to each ancestor."""
+    inner = tree.select(F.col("parent").alias("__p")).where("__p IS NOT NULL").distinct()
+    marked = tree.join(inner, F.col("node") == F.col("__p"), "left").withColumn("is_leaf", F.col("__p").isNull())
+    state = marked.select("node", F.col("parent").alias("up"), "parent", "is_leaf", *[v.alias(c) for c, (v, _) in values.items()])
     while True:
-        level = materialized(level, "level")
-        if not level.head(1):
+        state = materialized(state, "subtrees")
+        if not state.where("up IS NOT NULL").head(1):
             break
-        out.append(level)
-        above = level.select(F.col("node").alias("__up"), F.col("depth").alias("__depth"), F.col("path").alias("__path"))
-        below = tree.join(above, F.col("parent") == F.col("__up"))
-        level = below.select(*tree.columns, (F.col("__depth") + 1).alias("depth"), (F.col("__path") + F.col("len")).alias("path"))
-    found = tree.withColumns({"depth": F.lit(0).cast("long"), "path": F.lit(0.0)}).where("false")
-    for part in out:
-        found = found.unionByName(part)
-    return found
-
-
-def leaf_counts(tree: DataFrame, levels: int) -> DataFrame:
-    """Per inner node: node, n_leaves, n_nodes (below it), for trees of at most `levels` edges from root to leaf: each node sends one
-    row to each ancestor, as many as its depth."""
-    inner = tree.select(F.col("parent").alias("p")).where("p IS NOT NULL").distinct()
-    leaf = tree.join(inner, F.col("node") == F.col("p"), "left").select("node", "parent", F.col("p").isNull().cast("long").alias("is_leaf"))
-    up = tree.select(F.col("node").alias("n2"), F.col("parent").alias("p2"))
-    reached, out = leaf.select(F.col("parent").alias("at"), "is_leaf").where("at IS NOT NULL"), None
-    for _ in range(levels):
-        # partial counts per node before the next step up: one row for each node of a level, not for each leaf
-        level = reached.groupBy("at").agg(F.sum("is_leaf").alias("l"), F.count("*").alias("n")) if out is None else reached.groupBy("at").agg(F.sum("l").alias("l"), F.sum("n").alias("n"))
-        out = level if out is None else out.union(level)
-        reached = level.join(up, F.col("at") == F.col("n2")).select(F.col("p2").alias("at"), "l", "n").where("at IS NOT NULL")
-    return out.groupBy("at").agg(F.sum("l").alias("n_leaves"), F.sum("n").alias("n_nodes")).withColumnRenamed("at", "node")
+        below = state.where("up IS NOT NULL").groupBy(F.col("up").alias("__at")).agg(*[how[0](c).alias(f"__{c}") for c, (_, how) in values.items()])
+        above = state.select(F.col("node").alias("__node"), F.col("up").alias("__next"))
+        got = state.join(below, F.col("node") == F.col("__at"), "left").join(above, F.col("up") == F.col("__node"), "left")
+        state = got.select("node", F.col("__next").alias("up"), "parent", "is_leaf", *[F.when(F.col(f"__{c}").isNull(), F.col(c)).otherwise(how[1](F.col(c), F.col(f"__{c}"))).alias(c) for c, (_, how) in values.items()])
+    return state.drop("up")
+
+
+def leaf_counts(tree: DataFrame) -> DataFrame:
+    """Per inner node: node, n_leaves, n_nodes (below it)."""
+    got = subtree(tree, {"n_leaves": (F.col("is_leaf").cast("long"), SUM), "n_nodes": (F.lit(1).cast("long"), SUM)})
+    return got.where("NOT is_leaf").select("node", "n_leaves", (F.col("n_nodes") - 1).alias("n_nodes"))
+
+
+def leaf_depths(tree: DataFrame) -> DataFrame:
+    """One row: n_leaves, most and mean depth of the leaves in edges and in length."""
+    inner = tree.select(F.col("parent").alias("node")).distinct()
+    leaves = depths(tree).join(inner, "node", "left_anti")
+    return leaves.agg(F.count("*").alias("n_leaves"), F.max("depth").alias("most_edges"), F.avg("depth").alias("mean_edges"), F.max("path").alias("most_length"), F.avg("path").alias("mean_length"))
+
+
+def preorder(tree: DataFrame) -> DataFrame:
+    """node, place: where a walk from the root meets it (0 on), children in the order of their numbers. A node comes one after its
+    parent and after all below its earlier siblings, so its place is a length of its path."""
+    sizes = subtree(tree, {"n": (F.lit(1).cast("long"), SUM)})
+    earlier = Window.partitionBy("parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    step = sizes.withColumn("len", (1 + F.coalesce(F.sum("n").over(earlier), F.lit(0))).cast("double")).select("node", "parent", "len")
+    return depths(step).select("node", F.col("path").cast("long").alias("place"))
+
+
+def splits(trees: DataFrame) -> DataFrame:
+    """trees: tree, node, parent, leaf (what names a leaf in all trees; not looked at for inner nodes); node numbers may repeat between trees.
+    The splits of the leaves that inner edges make, without regard to a root: tree, h1, h2 (a 128-bit digest of one side, the
+    lesser of both), once each; and tree, n_leaves."""
+    own = trees.select(F.struct("tree", "node").alias("node"), F.when(F.col("parent").isNotNull(), F.struct("tree", "parent")).alias("parent"), "leaf", "tree")
+    own = own.select("node", F.when(F.col("parent").isNotNull(), F.struct(F.col("parent.tree").alias("tree"), F.col("parent.parent").alias("node"))).alias("parent"), "leaf", "tree")
+    hashes = {f"h{k}": (F.when(F.col("is_leaf"), F.xxhash64("leaf", F.lit(k))).otherwise(F.lit(0).cast("long")), XOR) for k in (1, 2)}
+    got = materialized(subtree(own, hashes | {"n": (F.col("is_leaf").cast("long"), SUM)}), "splits")
+    roots = got.where("parent IS NULL").select(F.col("node.tree").alias("tree"), F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("n").alias("n_leaves"))
+    inner = got.where("parent IS NOT NULL").select(F.col("node.tree").alias("tree"), "h1", "h2", "n").join(roots, "tree").where((F.col("n") > 1) & (F.col("n") < F.col("n_leaves") - 1))
+    side, other = F.struct("h1", "h2"), F.struct(F.col("h1").bitwiseXOR(F.col("r1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("r2")).alias("h2"))
+    return inner.select("tree", F.least(side, other).alias("s")).select("tree", "s.h1", "s.h2").distinct()
+
+
+def robinson_foulds(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b: tree, node, parent, leaf. Per tree: n_a, n_b (inner splits of the unrooted trees), shared, rf (splits of one only) and nrf (rf as a
+    share of n_a + n_b; 0 where there are none)."""
+    x, y = splits(a).withColumn("w", F.lit(1)), splits(b).withColumn("w", F.lit(2))
+    both = x.unionByName(y).groupBy("tree", "h1", "h2").agg(F.sum("w").alias("w"))
+    per = both.groupBy("tree").agg(*[F.count(F.when(F.col("w").bitwiseAND(k) == k, 1)).alias(n) for n, k in (("n_a", 1), ("n_b", 2), ("shared", 3))])
+    every = a.select("tree").union(b.select("tree")).distinct().join(per, "tree", "left").na.fill(0, ["n_a", "n_b", "shared"])
+    rf = F.col("n_a") + F.col("n_b") - 2 * F.col("shared")
+    return every.withColumn("rf", rf).withColumn("nrf", F.when(F.col("n_a") + F.col("n_b") > 0, F.col("rf") / (F.col("n_a") + F.col("n_b"))).otherwise(0.0))
 
 
 def clade_distance(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -96,19 +144,50 @@ def clade_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     return per.withColumn("rf", F.col("n_a") + F.col("n_b") - 2 * F.col("shared"))
 
 
-def prune(tree: DataFrame, leaves: DataFrame, levels: int) -> DataFrame:
-    """The tree without these leaves (one column) and without inner nodes that have no leaf left; for trees of `levels` levels."""
-    above = tree.select(F.col("parent").alias("__up")).where("__up IS NOT NULL").distinct()
-    alive = tree.join(above, F.col("node") == F.col("__up"), "left_anti").join(leaves.toDF("__leaf"), F.col("node") == F.col("__leaf"), "left_anti")
-    alive = materialized(alive, "alive")
-    out = alive
-    for _ in range(levels):
-        wanted = alive.select(F.col("parent").alias("__next")).where("__next IS NOT NULL").distinct()
-        alive = materialized(tree.join(wanted, F.col("node") == F.col("__next"), "left_semi"), "alive")
-        out = out.unionByName(alive)
-    return out.distinct()
+def prune(tree: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The tree without these leaves (one column) and without inner nodes that have no leaf left, whatever its depth."""
+    gone = materialized(leaves.toDF("__leaf").distinct(), "gone")
+    marked = tree.join(gone, F.col("node") == F.col("__leaf"), "left").withColumn("__out", F.col("__leaf").isNotNull()).drop("__leaf")
+    alive = subtree(marked, {"n": ((F.col("is_leaf") & ~F.col("__out")).cast("long"), SUM)}).where("n > 0").select(F.col("node").alias("__alive"))
+    return tree.join(alive, F.col("node") == F.col("__alive"), "left_semi")
+
+
+def without_unary(tree: DataFrame) -> DataFrame:
+    """tree: node, parent, len and others. Inner nodes with one child are taken out, and the lengths of their edges added up; so is a root
+    with one child, whose place the next node that is a leaf or has several children takes."""
+    single = tree.where("parent IS NOT NULL").groupBy(F.col("parent").alias("__single")).count().where("count = 1").select("__single")
+    single = materialized(single, "unary")
+    # chains of such nodes: how far each looks up doubles in each round, until all look at a node that stays, or at nothing
+    chain = tree.join(single, F.col("node") == F.col("__single"), "left_semi").select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNotNull(), F.coalesce("len", F.lit(0.0))).alias("more"))
+    while True:
+        chain = materialized(chain, "chains")
+        above = chain.select(F.col("node").alias("a"), F.col("up").alias("next"), F.col("more").alias("further"))
+        got = chain.join(above, F.col("up") == F.col("a"), "left")
+        if not got.where("a IS NOT NULL").head(1):
+            break
+        chain = got.select("node", F.when(F.col("a").isNotNull(), F.col("next")).otherwise(F.col("up")).alias("up"), F.when(F.col("a").isNotNull(), F.col("more") + F.col("further")).otherwise(F.col("more")).alias("more"))
+    stay = tree.join(single, F.col("node") == F.col("__single"), "left_anti")
+    got = stay.join(chain.select(F.col("node").alias("a"), "up", "more"), F.col("parent") == F.col("a"), "left")
+    parent = F.when(F.col("a").isNull(), F.col("parent")).otherwise(F.col("up"))
+    length = F.when(F.col("a").isNull(), F.col("len")).otherwise(F.col("len") + F.col("more"))  # null below a root that went
+    return got.withColumn("__parent", parent).withColumn("len", F.when(F.col("__parent").isNotNull(), length)).withColumn("parent", F.col("__parent")).select(*tree.columns)
+
+
+def sampled(tree: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """The tree of n of its leaves, those of the least hash of seed and node, without nodes of one child."""
+    inner = tree.select(F.col("parent").alias("__p")).where("__p IS NOT NULL").distinct()
+    leaves = materialized(tree.join(inner, F.col("node") == F.col("__p"), "left_anti").select("node"), "leaves")
+    kept = leaves.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(n)
+    return without_unary(prune(tree, leaves.join(kept, "node", "left_anti")))
 
 
 def rescaled(tree: DataFrame, by: float, least: float = 1e-7) -> DataFrame:
-    """Lengths divided by `by`; none is below `least`."""
-    return tree.withColumn("len", F.when(F.col("len").isNotNull(), F.greatest(F.col("len") / by, F.lit(least))))
+    """Lengths divided by `by`; missing and zero ones stay as they are, and those that are negative become `least`."""
+    new = F.when(F.col("len") / by <= 0, F.lit(least)).otherwise(F.col("len") / by)
+    return tree.withColumn("len", F.when(F.col("len") == 0, F.col("len")).otherwise(new))
+
+
+def length_range(tree: DataFrame, *keys: str) -> DataFrame:
+    """Per keys: n (nodes with a length), least, most and mean length, zeros left out of the last three."""
+    real = F.when(F.col("len") != 0, F.col("len"))
+    return tree.where("len IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n"), F.min(real).alias("least"), F.max(real).alias("most"), F.avg(real).alias("mean"))

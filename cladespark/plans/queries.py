@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladespark.functions.murmur import decimal_hash, murmur_hash
-from cladespark.functions.nucleotides import canonical, kmers, nucleotides
+from cladespark.functions.nucleotides import canonical, kmers, nucleotides, pieces
 from cladespark.operators import distance as D
 from cladespark.operators import trees as T
+from cladespark.operators.build import add_to_tree, build_tree
 from cladespark.operators.placement import place_tips
-from cladespark.operators.sketch import mash_search, sketches
+from cladespark.operators.sketch import mash_pairs, mash_search, sketches
+from cladespark.sources.shared import materialized
 
 K, SIZE, SITES = 15, 1000, 120
 
@@ -63,8 +65,8 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = sequences(spark, sf_dir).select(F.explode(kmers(F.col("seq"), K)).alias("f"))
-    return pieces.groupBy(canonical(F.col("f")).alias("kmer")).agg(F.count("*").alias("n"))
+    parts = sequences(spark, sf_dir).select(F.explode(pieces(F.col("seq"), K)).alias("part"))
+    return parts.select(F.explode(kmers(F.col("part"), K)).alias("f")).groupBy(canonical(F.col("f")).alias("kmer")).agg(F.count("*").alias("n"))
 
 
 def kmer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,27 +79,46 @@ def bottom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mash_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest of every document whose id is divisible by 100, among all."""
-    sketched = sketches(sequences(spark, sf_dir), K, SIZE)
+    """The five nearest of every document whose id is divisible by 100, among all, by textbook sketches."""
+    sketched = sketches(sequences(spark, sf_dir), K, SIZE, dedup=True)
     return mash_search(sketched.where("seq_id % 100 = 0").select("seq_id"), sketched, K, SIZE, 5)
 
 
+def mash_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document against the eight after it, by sketches with repetitions and filling."""
+    sketched = sketches(sequences(spark, sf_dir), K, SIZE)
+    ids = sketched.select(F.col("seq_id").alias("i"))
+    pairs = ids.select("i", F.explode(F.sequence(F.col("i") + 1, F.col("i") + 8)).alias("j")).join(ids.toDF("j"), "j", "left_semi")
+    return _rounded(mash_pairs(pairs, sketched, K, SIZE), "d")
+
+
 SKETCH = f"""{KMERS}, distinct_kmers AS (SELECT DISTINCT kmer FROM kmers), {_hashed('distinct_kmers')},
 ranked AS (SELECT seq_id, h, row_number() OVER (PARTITION BY seq_id ORDER BY h) AS r, count(*) OVER (PARTITION BY seq_id) AS n_kmers FROM kmers JOIN hashed USING (kmer)),
 sketch AS (SELECT * FROM ranked WHERE r <= {SIZE})"""
 
 MASH = f"""WITH {SKETCH},
 held AS (SELECT seq_id, h, count(*) AS c FROM sketch GROUP BY ALL),
-sizes AS (SELECT seq_id, sum(c) AS n FROM held GROUP BY seq_id),
+sizes AS (SELECT d.doc_id AS seq_id, coalesce(sum(c), 0) AS n FROM documents d LEFT JOIN held ON seq_id = d.doc_id GROUP BY d.doc_id),
 filled AS (SELECT seq_id, h, c FROM held UNION ALL SELECT seq_id, 18446744073709551615::UHUGEINT, {SIZE} - n FROM sizes WHERE n < {SIZE}),
-pairs AS (SELECT DISTINCT x.seq_id AS i, y.seq_id AS j FROM held x JOIN held y ON x.h = y.h AND x.seq_id <> y.seq_id WHERE x.seq_id % 100 = 0),
-sides AS (SELECT i, j, least(i, j) AS lo, greatest(i, j) AS hi FROM pairs),
+sides AS (SELECT x.seq_id AS i, y.seq_id AS j FROM sizes x JOIN sizes y ON y.seq_id > x.seq_id AND y.seq_id <= x.seq_id + 8),
 merged AS (SELECT i, j, h, sum(p) AS p, sum(q) AS q FROM (
-    SELECT i, j, h, c AS p, 0 AS q FROM sides JOIN filled ON seq_id = lo UNION ALL SELECT i, j, h, 0, c FROM sides JOIN filled ON seq_id = hi) GROUP BY i, j, h),
+    SELECT i, j, h, c AS p, 0 AS q FROM sides JOIN filled ON seq_id = i UNION ALL SELECT i, j, h, 0, c FROM sides JOIN filled ON seq_id = j) GROUP BY i, j, h),
 walked AS (SELECT i, j, p, q, coalesce(sum(CASE WHEN p > 0 THEN p ELSE q END) OVER (PARTITION BY i, j ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM merged),
-shared AS (SELECT i, j, CAST(coalesce(sum(q) FILTER (p > 0 AND before < {SIZE}), 0) AS BIGINT) AS shared FROM walked GROUP BY i, j),
-scored AS (SELECT i, j, shared, round(least(1.0::DOUBLE, abs(ln(2 * (greatest(shared, 1) / {SIZE}.0::DOUBLE) / (1 + greatest(shared, 1) / {SIZE}.0::DOUBLE)) / {K})), 9) AS d FROM shared),
-best AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM scored)
+shared AS (SELECT i, j, CAST(coalesce(sum(q) FILTER (p > 0 AND before < {SIZE}), 0) AS BIGINT) AS shared FROM walked GROUP BY i, j)
+SELECT i, j, shared, round(least(1.0::DOUBLE, abs(ln(2 * (greatest(shared, 1) / {SIZE}.0::DOUBLE) / (1 + greatest(shared, 1) / {SIZE}.0::DOUBLE)) / {K})), 6) AS d FROM shared"""
+
+#: All pairs of a query and a document, also those that share nothing; the place of a hash in the union is counted, not bounded.
+NEIGHBORS = f"""WITH {KMERS}, distinct_kmers AS (SELECT DISTINCT kmer FROM kmers), {_hashed('distinct_kmers')},
+once AS (SELECT DISTINCT seq_id, h FROM kmers JOIN hashed USING (kmer)),
+sketch AS (SELECT seq_id, h FROM (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY h) AS r FROM once) WHERE r <= {SIZE}),
+pairs AS (SELECT x.doc_id AS i, y.doc_id AS j FROM documents x JOIN documents y ON x.doc_id <> y.doc_id WHERE x.doc_id % 100 = 0),
+merged AS (SELECT i, j, h, count(*) AS c FROM (SELECT i, j, h FROM pairs JOIN sketch ON seq_id = i UNION ALL SELECT i, j, h FROM pairs JOIN sketch ON seq_id = j) GROUP BY i, j, h),
+placed AS (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY h) AS r FROM merged),
+counted AS (SELECT i, j, count(*) FILTER (c = 2) AS shared, count(*) AS n FROM placed WHERE r <= {SIZE} GROUP BY i, j),
+scored AS (SELECT i, j, coalesce(shared, 0) AS shared,
+  greatest(coalesce(shared, 0), 1) / (CASE WHEN coalesce(shared, 0) = 0 THEN {SIZE} ELSE n END)::DOUBLE AS s FROM pairs LEFT JOIN counted USING (i, j)),
+measured AS (SELECT i, j, shared, round(least(1.0::DOUBLE, abs(ln(2 * s / (1 + s)) / {K})), 9) AS d FROM scored),
+best AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM measured)
 SELECT i, j, shared, d, rank FROM best WHERE rank <= 5"""
 
 
@@ -123,9 +144,10 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _distances(model: str, compat: bool = False):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = D.pair_distances(alignments(spark, sf_dir), "family", model, compat).withColumn("d", F.round("d", 6))
-        # undefined distances (identical sequences in the written form of two models) are left out
-        return pairs.where(~F.isnan("d") & (F.abs("d") < 1e9))
+        pairs = D.pair_distances(alignments(spark, sf_dir), "family", model, compat)
+        # undefined distances (identical sequences in the written form of two models) are null and marked
+        real = F.coalesce(~F.isnan("d") & (F.abs("d") < 1e9), F.lit(False))
+        return pairs.select("family", "i", "j", F.when(real, F.round("d", 6)).alias("d"), real.alias("defined"))
 
     return query
 
@@ -171,8 +193,8 @@ r AS (SELECT *, 1 - same / useful AS p, ts / total AS tp, tv / total AS tq, (tot
     else:
         source = "r"
     return f"""{head}, v AS (SELECT t1, t2, round({zero}{formula} END, 6) AS d FROM {source})
-SELECT a.family, a.ord AS i, b.ord AS j, v.d FROM tips a JOIN tips b ON a.family = b.family AND a.ord < b.ord JOIN v ON v.t1 = a.t AND v.t2 = b.t
-WHERE v.d IS NOT NULL AND NOT isnan(v.d) AND abs(v.d) < 1e9"""
+SELECT family, i, j, CASE WHEN defined THEN d END AS d, defined
+FROM (SELECT a.family, a.ord AS i, b.ord AS j, v.d, coalesce(NOT isnan(v.d) AND abs(v.d) < 1e9, FALSE) AS defined FROM tips a JOIN tips b ON a.family = b.family AND a.ord < b.ord JOIN v ON v.t1 = a.t AND v.t2 = b.t)"""
 
 
 # --- trees: the orders of a customer as the tips of a tree with known path lengths
@@ -265,8 +287,11 @@ def customer_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def divide_and_conquer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = place_tips(customer_tips(spark, sf_dir), nested_metric)
-    return _rounded(got.select("ord", "depth"), "depth")
+    """How far each customer is from the root of the tree of all."""
+    edges = materialized(place_tips(customer_tips(spark, sf_dir), nested_metric), "customer-tree")
+    roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
+    tree = edges.unionByName(roots.select("node", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("len")))
+    return _rounded(T.depths(tree).where("node >= 0").select(F.col("node").alias("ord"), F.col("path").alias("depth")), "depth")
 
 
 DC_SQL = f"""WITH {CUSTOMERS}, k AS (SELECT *, row_number() OVER (ORDER BY ord) AS n FROM tips),
@@ -277,6 +302,44 @@ d AS (SELECT t.ord, CASE WHEN t.ord = a.ord THEN 0 ELSE t.p + a.p + CASE WHEN t.
 SELECT ord, round(greatest(da, db) - ab / 2, 6) AS depth FROM d"""
 
 
+# --- trees of sequences: documents by their sketches, parts by alignments
+
+
+def part_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One aligned sequence per part: substitutions of its family of brands, its brand and its own on a common ancestor, and gaps."""
+    none = F.lit(4)
+
+    def base(i):
+        own = (i * 48271 + 11) % 101 % 4
+        for key, rate, factor in ((F.col("m"), 12, 7919), (F.col("b"), 8, 15485), (F.col("p"), 4, 32452)):
+            r = (i * factor + key * 104729) % 97
+            own = F.when(r < rate, (own + 1 + (i + key) % 3) % 4).otherwise(own)
+        return F.substr(F.lit("ACGT-"), (F.when((i * 271 + F.col("p") * 31) % 89 == 0, none).otherwise(own) + 1).cast("int"), F.lit(1))
+
+    brand = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("long")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("ord"), F.concat(F.lit("p"), "p_partkey").alias("name"), F.floor(brand / 10).alias("m"), brand.alias("b"), F.col("p_partkey").cast("long").alias("p"))
+    sites = F.sequence(F.lit(0).cast("long"), F.lit(4 * SITES - 1).cast("long"))
+    return parts.select("ord", "name", F.array_join(F.transform(sites, base), "").alias("seq"))
+
+
+def build_tree_mash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of all documents with a k-mer, by Mash distances of their nucleotide letters."""
+    docs = sequences(spark, sf_dir).where(F.length("seq") >= K).select(F.col("seq_id").cast("long").alias("ord"), F.concat(F.lit("d"), "seq_id").alias("name"), "seq")
+    return build_tree(docs, "sequences", k=K, sketch_size=SIZE)
+
+
+def build_tree_msa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of all parts, by Jukes-Cantor distances of their alignments."""
+    return build_tree(part_alignments(spark, sf_dir), "alignment")
+
+
+def add_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of every fourth part, and then all others onto it."""
+    parts = materialized(part_alignments(spark, sf_dir), "parts")
+    backbone = build_tree(parts.where("ord % 4 = 0"), "alignment")
+    return add_to_tree(backbone, parts, "alignment")
+
+
 # --- tree tables: region, nation, customer and order as one tree
 
 NODES = """nodes AS (SELECT 'root' AS node, NULL AS parent, NULL::DOUBLE AS len
@@ -304,19 +367,36 @@ def tree_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_leaf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.leaf_counts(tree_table(spark, sf_dir), 5)
+    return T.leaf_counts(tree_table(spark, sf_dir))
 
 
 def prune_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without the orders of odd total price, and without customers, nations and regions that then have no order left."""
     gone = table(spark, sf_dir, "orders").where("CAST(floor(o_totalprice) AS BIGINT) % 2 = 1").select(F.concat(F.lit("o"), "o_orderkey"))
-    return T.prune(tree_table(spark, sf_dir), gone, 4).select("node", F.coalesce("parent", F.lit("")).alias("parent"))
+    return T.prune(tree_table(spark, sf_dir), gone).select("node", F.coalesce("parent", F.lit("")).alias("parent"))
+
+
+def prune_unary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree of the orders whose key is divisible by 7, without nodes of one child."""
+    gone = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(F.concat(F.lit("o"), "o_orderkey"))
+    ordering = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    bare = table(spark, sf_dir, "customer").join(ordering, "c_custkey", "left_anti").select(F.concat(F.lit("c"), "c_custkey"))
+    got = T.without_unary(T.prune(tree_table(spark, sf_dir), gone.union(bare)))
+    return got.select("node", F.coalesce("parent", F.lit("")).alias("parent"), F.round("len", 6).alias("len"))
+
+
+def tree_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.preorder(tree_table(spark, sf_dir))
+
+
+def leaf_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(T.leaf_depths(tree_table(spark, sf_dir)), "mean_edges", "most_length", "mean_length")
 
 
 def rescale_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per level of the tree: least, greatest and mean length after a division by 2, zeros and missing ones left out of the mean."""
-    t = T.rescaled(tree_table(spark, sf_dir), 2.0).where("len IS NOT NULL").groupBy(F.substr("node", F.lit(1), F.lit(1)).alias("level"))
-    return _rounded(t.agg(F.count("*").alias("n"), F.min("len").alias("least"), F.max("len").alias("most"), F.avg(F.when(F.col("len") > 1e-7, F.col("len"))).alias("mean")), "least", "most", "mean")
+    """Per level of the tree: least, greatest and mean length after a division by 2, zeros left out."""
+    t = T.length_range(T.rescaled(tree_table(spark, sf_dir), 2.0).withColumn("level", F.substr("node", F.lit(1), F.lit(1))), "level")
+    return _rounded(t, "least", "most", "mean")
 
 
 def clade_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +404,9 @@ def clade_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     tips = order_tips(spark, sf_dir).select("grp", "ord", "outer_", (F.col("inner_") % 10).alias("prio"))
 
     def clades(*levels: list[str]) -> DataFrame:
-        parts = [tips.groupBy("grp", *cols).agg(F.array_sort(F.collect_list("ord")).alias("clade")).select(F.col("grp").alias("tree"), "clade") for cols in levels]
+        # a clade is known by an order-free digest of its tips, so the rows stay small however large it is
+        digest = [F.bit_xor(F.xxhash64("ord", F.lit(k))) for k in (1, 2)]
+        parts = [tips.groupBy("grp", *cols).agg(F.struct(*digest, F.count("*")).alias("clade")).select(F.col("grp").alias("tree"), "clade") for cols in levels]
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
@@ -333,6 +415,20 @@ def clade_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.clade_distance(clades([], ["outer_"], ["outer_", "prio"]), clades([], ["prio"], ["prio", "outer_"]))
 
 
+def tree_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per customer: the same two trees without regard to their roots."""
+    tips = order_tips(spark, sf_dir).select("grp", F.col("ord").cast("string").alias("ord"), F.col("outer_").cast("string").alias("s"), (F.col("inner_") % 10).cast("string").alias("p"))
+
+    def tree(first: str, second: str) -> DataFrame:
+        names = [F.lit("root"), F.concat(F.lit("a"), first), F.concat(F.lit("b"), first, F.lit("-"), second), F.concat(F.lit("t"), "ord")]
+        out = tips.select(F.col("grp").alias("tree"), names[0].alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("leaf")).distinct()
+        for k in (1, 2, 3):
+            out = out.union(tips.select(F.col("grp").alias("tree"), names[k].alias("node"), names[k - 1].alias("parent"), (F.col("ord") if k == 3 else F.lit(None)).alias("leaf")).distinct())
+        return out
+
+    return _rounded(T.robinson_foulds(tree("s", "p"), tree("p", "s")), "nrf")
+
+
 TREE_SQL = {
     "tree_depths": f"""WITH RECURSIVE {NODES}, down AS (SELECT node, 0::BIGINT AS depth, 0::DOUBLE AS path FROM nodes WHERE parent IS NULL
   UNION ALL SELECT n.node, d.depth + 1, d.path + n.len FROM nodes n JOIN down d ON n.parent = d.node) SELECT node, depth, round(path, 6) AS path FROM down""",
@@ -343,8 +439,28 @@ SELECT above AS node, sum(leaf)::BIGINT AS n_leaves, count(*) AS n_nodes FROM up
     AND n.node NOT IN (SELECT 'o' || o_orderkey FROM orders WHERE floor(o_totalprice)::BIGINT % 2 = 1)
   UNION SELECT n.parent FROM nodes n JOIN kept k ON k.node = n.node WHERE n.parent IS NOT NULL)
 SELECT node, coalesce(parent, '') AS parent FROM nodes WHERE node IN (SELECT node FROM kept)""",
-    "rescale_lengths": f"""WITH {NODES}, s AS (SELECT substr(node, 1, 1) AS level, greatest(len / 2, 1e-7::DOUBLE) AS len FROM nodes WHERE len IS NOT NULL)
-SELECT level, count(*) AS n, round(min(len), 6) AS least, round(max(len), 6) AS most, round(avg(len) FILTER (len > 1e-7), 6) AS mean FROM s GROUP BY level""",
+    "rescale_lengths": f"""WITH {NODES}, s AS (SELECT substr(node, 1, 1) AS level, CASE WHEN len = 0 THEN 0 WHEN len / 2 <= 0 THEN 1e-7::DOUBLE ELSE len / 2 END AS len FROM nodes WHERE len IS NOT NULL)
+SELECT level, count(*) AS n, round(min(len) FILTER (len <> 0), 6) AS least, round(max(len) FILTER (len <> 0), 6) AS most, round(avg(len) FILTER (len <> 0), 6) AS mean FROM s GROUP BY level""",
+    "tree_preorder": f"""WITH RECURSIVE {NODES}, down AS (SELECT node, [node] AS way FROM nodes WHERE parent IS NULL
+  UNION ALL SELECT n.node, list_append(d.way, n.node) FROM nodes n JOIN down d ON n.parent = d.node) SELECT node, row_number() OVER (ORDER BY way) - 1 AS place FROM down""",
+    "leaf_depths": f"""WITH RECURSIVE {NODES}, down AS (SELECT node, 0::BIGINT AS depth, 0::DOUBLE AS path FROM nodes WHERE parent IS NULL
+  UNION ALL SELECT n.node, d.depth + 1, d.path + n.len FROM nodes n JOIN down d ON n.parent = d.node)
+SELECT count(*) AS n_leaves, max(depth) AS most_edges, round(avg(depth), 6) AS mean_edges, round(max(path), 6) AS most_length, round(avg(path), 6) AS mean_length FROM down WHERE node NOT IN (SELECT parent FROM nodes WHERE parent IS NOT NULL)""",
+    "prune_unary": f"""WITH RECURSIVE {NODES}, kept(node) AS (SELECT 'o' || o_orderkey FROM orders WHERE o_orderkey % 7 = 0
+  UNION SELECT n.parent FROM nodes n JOIN kept k ON k.node = n.node WHERE n.parent IS NOT NULL),
+k AS (SELECT n.* FROM nodes n JOIN kept USING (node)), single AS (SELECT parent AS node FROM k WHERE parent IS NOT NULL GROUP BY parent HAVING count(*) = 1),
+climb AS (SELECT node, parent AS at_, len FROM k WHERE node NOT IN (SELECT node FROM single)
+  UNION ALL SELECT c.node, k.parent, c.len + k.len FROM climb c JOIN k ON k.node = c.at_ WHERE c.at_ IN (SELECT node FROM single))
+SELECT node, coalesce(at_, '') AS parent, CASE WHEN at_ IS NOT NULL THEN round(len, 6) END AS len FROM climb WHERE at_ IS NULL OR at_ NOT IN (SELECT node FROM single)""",
+    "tree_rf": f"""WITH {TIPS}, t AS (SELECT grp, ord, outer_ AS s, inner_ % 10 AS p FROM tips), g AS (SELECT grp, count(*) AS total, min(ord) AS least FROM t GROUP BY grp),
+c AS (SELECT 'x' AS tree, grp, 'a' || s AS clade, ord FROM t UNION ALL SELECT 'x', grp, 'b' || s || '-' || p, ord FROM t UNION ALL SELECT 'y', grp, 'a' || p, ord FROM t UNION ALL SELECT 'y', grp, 'b' || s || '-' || p, ord FROM t),
+n AS (SELECT tree, grp, clade, count(*) AS n, min(ord) AS lo FROM c GROUP BY ALL),
+sides AS (SELECT n.tree, n.grp, n.clade, list(t.ord ORDER BY t.ord) AS side FROM n JOIN g ON g.grp = n.grp JOIN t ON t.grp = n.grp LEFT JOIN c ON c.tree = n.tree AND c.grp = n.grp AND c.clade = n.clade AND c.ord = t.ord
+  WHERE n.n > 1 AND n.n < total - 1 AND (lo = least) = (c.ord IS NULL) GROUP BY ALL),
+w AS (SELECT grp, side, bool_or(tree = 'x') AS a, bool_or(tree = 'y') AS b FROM sides GROUP BY grp, side)
+SELECT g.grp AS tree, count(*) FILTER (a) AS n_a, count(*) FILTER (b) AS n_b, count(*) FILTER (a AND b) AS shared, count(*) FILTER (a) + count(*) FILTER (b) - 2 * count(*) FILTER (a AND b) AS rf,
+  round(coalesce((count(*) FILTER (a) + count(*) FILTER (b) - 2 * count(*) FILTER (a AND b)) / nullif(count(*) FILTER (a) + count(*) FILTER (b), 0)::DOUBLE, 0), 6) AS nrf
+FROM g LEFT JOIN w ON w.grp = g.grp GROUP BY g.grp""",
     "clade_rf": f"""WITH {TIPS}, t AS (SELECT grp, ord, outer_, inner_ % 10 AS prio FROM tips),
 x AS (SELECT grp, list(ord ORDER BY ord) AS c FROM t GROUP BY grp UNION SELECT grp, list(ord ORDER BY ord) FROM t GROUP BY grp, outer_ UNION SELECT grp, list(ord ORDER BY ord) FROM t GROUP BY grp, outer_, prio),
 y AS (SELECT grp, list(ord ORDER BY ord) AS c FROM t GROUP BY grp UNION SELECT grp, list(ord ORDER BY ord) FROM t GROUP BY grp, prio UNION SELECT grp, list(ord ORDER BY ord) FROM t GROUP BY grp, outer_, prio)
@@ -357,6 +473,7 @@ QUERIES = {
     "kmer_hash": kmer_hash,
     "bottom_sketch": bottom_sketch,
     "mash_neighbors": mash_neighbors,
+    "mash_distances": mash_distances,
     **{f"dist_{m}": _distances(m) for m in D.MODELS},
     **{f"dist_{m}_as_written": _distances(m, True) for m in ("tn", "tamura")},
     "row_sums_u": row_sums_u,
@@ -365,17 +482,25 @@ QUERIES = {
     "place_exact": _placed("exact"),
     "place_k_closest": _placed("k_closest"),
     "divide_and_conquer": divide_and_conquer,
+    "build_tree_mash": build_tree_mash,
+    "build_tree_msa": build_tree_msa,
+    "add_to_tree": add_parts,
     "tree_depths": tree_depths,
     "tree_leaf_counts": tree_leaf_counts,
+    "tree_preorder": tree_preorder,
+    "leaf_depths": leaf_depths,
     "prune_leaves": prune_leaves,
+    "prune_unary": prune_unary,
     "rescale_lengths": rescale_lengths,
     "clade_rf": clade_rf,
+    "tree_rf": tree_rf,
 }
 ORACLES = {
     "kmer_counts": f"WITH {KMERS} SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer",
     "kmer_hash": f"WITH {KMERS}, distinct_kmers AS (SELECT DISTINCT kmer FROM kmers), {_hashed('distinct_kmers')} SELECT kmer, CAST(h AS VARCHAR) AS h FROM hashed",
     "bottom_sketch": f"WITH {SKETCH} SELECT seq_id, max(n_kmers) AS n_kmers, count(*) AS n_kept, CAST(min(h) AS VARCHAR) AS least, CAST(max(h) AS VARCHAR) AS most FROM sketch GROUP BY seq_id",
-    "mash_neighbors": MASH,
+    "mash_neighbors": NEIGHBORS,
+    "mash_distances": MASH,
     **{f"dist_{m}": _distance_sql(m) for m in D.MODELS},
     **{f"dist_{m}_as_written": _distance_sql(m, True) for m in ("tn", "tamura")},
     "row_sums_u": f"WITH {TIPS} SELECT grp, i, round(sum(d)::DOUBLE, 6) AS u FROM d GROUP BY grp, i HAVING count(*) > 1",

@@ -1,13 +1,15 @@
-"""FASTA, FASTQ, PHYLIP and tree files as DataFrames, and back. Compressed files (.gz) are read through Spark's codecs."""
+"""FASTA, FASTQ, PHYLIP, Stockholm and tree files as DataFrames, and back. Compressed files (.gz) are read through Spark's codecs."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladespark.sources.shared import materialized
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """ord (increasing in file order), name (first word of the header), seq (lines joined, carriage returns and empty lines gone)."""
@@ -54,12 +56,14 @@ def read_phylip_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 def read_phylip_matrix(spark: SparkSession, path: str, single: bool = False) -> tuple[DataFrame, DataFrame]:
     """(names: i, name; distances: i, j < i, d). Lower triangles and square matrices; values beyond the triangle are left out.
-    single: values go through 32-bit floats. Only the names pass one task, to be numbered."""
-    from pyspark.sql import Window
-
+    single: values go through 32-bit floats. Rows are numbered by their place in a partition and the sizes of earlier partitions."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim(F.regexp_replace("value", "\r", "")).alias("v"))
     rows = lines.where(~F.col("v").rlike(r"^\d+$") & (F.col("v") != "")).select("at", F.split("v", r"\s+").alias("p"))
-    names = rows.select("at", F.get("p", F.lit(0)).alias("name")).withColumn("i", F.row_number().over(Window.orderBy("at")) - 1)
+    rows = materialized(rows.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "matrix-rows")
+    # one row for each partition of the file
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("low"))
+    starts = sizes.select("part", "low", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("start"))
+    names = rows.join(starts, "part").select("at", F.get("p", F.lit(0)).alias("name"), (F.col("start") + F.col("row") - F.col("low")).alias("i"))
     cells = rows.select("at", F.posexplode(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))).alias("j", "x")).join(names, "at").where("j < i")
     value = F.col("x").cast("float").cast("double") if single else F.col("x").cast("double")
     return names.select("i", "name"), cells.select("i", "j", value.alias("d"))
@@ -162,6 +166,91 @@ def write_fasta(sequences: DataFrame, path: str, width: int = 60) -> None:
     sequences.select(F.concat(F.lit(">"), "name", F.lit("\n"), body)).write.text(path)
 
 
+def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
+    """ord, name, seq of an alignment whose sequences may go on in later blocks; annotations are left out."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim(F.regexp_replace("value", "\r", "")).alias("v"))
+    rows = lines.where((F.col("v") != "") & ~F.startswith("v", F.lit("#")) & (F.col("v") != "//")).select("at", F.split("v", r"\s+", 2).alias("p"))
+    rows = rows.select("at", F.get("p", F.lit(0)).alias("name"), F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), r"\s", "").alias("part"))
+    whole = rows.groupBy("name").agg(F.min("at").alias("ord"), F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    return whole.select("ord", "name", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("seq"))
+
+
+def write_stockholm(sequences: DataFrame, path: str) -> None:
+    """sequences: ord, name, seq. One line per sequence, in the order of ord."""
+    lines = sequences.select(F.lit(1).alias("k"), "ord", F.concat_ws(" ", F.regexp_replace("name", r"\s", "_"), "seq").alias("value"))
+    spark = sequences.sparkSession
+    ends = spark.createDataFrame([(0, 0, "# STOCKHOLM 1.0"), (2, 0, "//")], "k int, ord long, value string")
+    ends.unionByName(lines).orderBy("k", "ord").select("value").write.text(path)
+
+
+def write_phylip_sequences(sequences: DataFrame, path: str) -> None:
+    """sequences: ord, name, seq of equal lengths. Names of ten characters, shorter ones filled up, longer ones cut."""
+    head = sequences.agg(F.concat_ws(" ", F.count("*").cast("string"), F.coalesce(F.max(F.length("seq")), F.lit(0)).cast("string")).alias("value")).select(F.lit(-1).cast("long").alias("ord"), "value")
+    head.unionByName(sequences.select("ord", F.concat(F.rpad(F.substr("name", F.lit(1), F.lit(10)), 10, " "), "seq").alias("value"))).orderBy("ord").select("value").write.text(path)
+
+
+def _square(names: DataFrame, dist: DataFrame) -> DataFrame:
+    """i, name, v: the whole row of each sequence, zero on the diagonal."""
+    half = dist.where("j < i").select("i", "j", "d")
+    both = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")).unionByName(names.select("i", F.col("i").alias("j"), F.lit(0.0).alias("d")))
+    rows = both.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "d"))).alias("v"))
+    return names.join(rows, "i").select("i", "name", F.transform("v", lambda x: x["d"].cast("string")).alias("v"))
+
+
+def write_square_matrix(names: DataFrame, dist: DataFrame, path: str) -> None:
+    """names: i, name; dist: i, j, d with j < i. All rows whole, after the count of sequences."""
+    head = names.agg(F.count("*").cast("string").alias("value")).select(F.lit(-1).cast("long").alias("i"), "value")
+    head.unionByName(_square(names, dist).select(F.col("i").cast("long").alias("i"), F.concat_ws("\t", "name", "v").alias("value"))).orderBy("i").select("value").write.text(path)
+
+
+def write_tab_matrix(names: DataFrame, dist: DataFrame, path: str) -> None:
+    """A table with the names above and at the left; the names make up one row."""
+    order = names.agg(F.array_sort(F.collect_list(F.struct("i", "name"))).alias("n")).select(F.lit(-1).cast("long").alias("i"), F.concat_ws("\t", F.lit(""), F.transform("n", lambda x: x["name"])).alias("value"))
+    order.unionByName(_square(names, dist).select(F.col("i").cast("long").alias("i"), F.concat_ws("\t", "name", "v").alias("value"))).orderBy("i").select("value").write.text(path)
+
+
+def excluded(names: DataFrame, dist: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The matrix without the sequences named in gone (one column); what is left keeps its numbers."""
+    left = names.join(gone.toDF("__gone"), F.col("name") == F.col("__gone"), "left_anti")
+    return left, dist.join(left.select("i"), "i", "left_semi").join(left.select(F.col("i").alias("j")), "j", "left_semi")
+
+
+def of_leaves(sequences: DataFrame, tree: DataFrame) -> DataFrame:
+    """The sequences (name, seq) that are leaves of a tree (node, parent, name)."""
+    leaves = tree.join(tree.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
+    return sequences.join(leaves.select("name").distinct(), "name", "left_semi")
+
+
+def sampled_sequences(sequences: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n sequences, those of the least hash of seed and name."""
+    return sequences.orderBy(F.xxhash64(F.lit(seed), "name"), "name").limit(n)
+
+
+def write_split(sequences: DataFrame, path: str) -> None:
+    """A folder name=... for each sequence (name, seq), with its FASTA record in it."""
+    sequences.select("name", F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value")).write.partitionBy("name").text(path)
+
+
+def concatenated(spark: SparkSession, path: str) -> DataFrame:
+    """name, seq: the contigs of each FASTA file put together in their order, under the file's name without its ending."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\s", "").alias("v"))
+    lines = lines.where(~F.startswith("v", F.lit(">")))
+    whole = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("l"))
+    return whole.select(F.regexp_extract("file", r"([^/]+?)(\.[A-Za-z]+)*$", 1).alias("name"), F.array_join(F.transform("l", lambda x: x["v"]), "").alias("seq"))
+
+
+def numbered(sequences: DataFrame, known: DataFrame) -> DataFrame:
+    """sequences: ord, name, seq; known: name, id. Adds id: the known one, and for other names those after the largest known, by ord."""
+    both = sequences.join(F.broadcast(known) if known.count() <= 1_000_000 else known, "name", "left")
+    new = both.where("id IS NULL").select("name", "ord")
+    most = known.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("m")).first()["m"]
+    ranged = materialized(new.repartitionByRange("ord").sortWithinPartitions("ord").withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "new-names")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("low"))
+    starts = sizes.select("part", "low", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    given = ranged.join(starts, "part").select("ord", (F.lit(most + 1) + F.col("start") + F.col("row") - F.col("low")).alias("__id"))
+    return both.join(given, "ord", "left").select(*sequences.columns, F.coalesce("id", "__id").alias("id"))
+
+
 def write_phylip_matrix(names: DataFrame, dist: DataFrame, path: str) -> None:
     """names: i, name; dist: i, j, d with j < i. A lower triangle, one line per sequence after the count, in part files by i."""
     values = dist.where("j < i").groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "d"))).alias("v"))

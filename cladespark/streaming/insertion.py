@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from cladespark.operators.placement import Backbone
-from cladespark.operators.trees import Metric
+from cladespark.operators.distance import Metric
+from cladespark.operators.kernels import NEAREST
+from cladespark.operators.placement import Frozen, grown
+
+
+class Backbone:
+    """A tree that stays as it is, its tips and how far its nodes are from the root. It has to fit a task."""
+
+    def __init__(self, tips: pd.DataFrame, metric: Metric, nearest: int = NEAREST):
+        """tips: ord and what metric needs; the tree is made of them in this order."""
+        self.tips = tips.reset_index(drop=True)
+        self.frozen: Frozen = grown(self.tips, metric, nearest)
+        self.numbers = {e[:2]: k for k, e in enumerate(self.frozen.edges)}
+        self.depth = {self.frozen.tree.root: 0.0}
+        for child, parent, length in self.frozen.edges:  # parents come before their children
+            self.depth[child] = self.depth[parent] + length
+
+    def place(self, rows: pd.DataFrame, metric: Metric) -> pd.DataFrame:
+        tree, out = self.frozen.tree, []
+        halves, splits, pendants = tree.places(metric(rows, self.tips))
+        for ord_, half, split, pendant in zip(rows["ord"].tolist(), halves.tolist(), splits.tolist(), pendants.tolist()):
+            x, y, length = int(tree.src[half]), int(tree.dst[half]), float(tree.length[half])
+            down = self.frozen.above.get(y) == x
+            edge, split = ((y, x), split) if down else ((x, y), length - split)
+            out.append((ord_, self.numbers[edge], split, pendant, self.depth[edge[1]] + split + pendant))
+        return pd.DataFrame(out, columns=["ord", "edge", "split", "pendant", "depth"])
 
 
 def placements(stream: DataFrame, backbone: Backbone, metric: Metric) -> DataFrame:
@@ -16,15 +41,9 @@ def placements(stream: DataFrame, backbone: Backbone, metric: Metric) -> DataFra
     shared = stream.sparkSession.sparkContext.broadcast(backbone)
 
     def place(batches):
-        own = shared.value
-        number = {e: k for k, e in enumerate(own.tree.order)}
         for rows in batches:
-            found = [own.tree.best_edge(dict(enumerate(d))) for d in (metric(rows, own.tips) if len(rows) else [])]
-            out = rows[["ord"]].copy()
-            out["edge"] = [number[x, y] for x, y, _, _ in found]
-            out["split"], out["pendant"] = [f[2] for f in found], [f[3] for f in found]
-            out["depth"] = [own.depth(x) + a + p for x, _, a, p in found]
-            yield out
+            for k in range(0, len(rows), 256):
+                yield shared.value.place(rows.iloc[k : k + 256], metric)
 
     return stream.mapInPandas(place, "ord long, edge long, split double, pendant double, depth double")
 
