@@ -8,9 +8,9 @@ scores, fitted on hits from lexicons learnt without the row at hand, gives the p
 
 Bounds: the lexicon and the model are fitted on at most MOST_LABELLED documents of each label, those of the least hash
 of doc_id; so the lexicon is bounded too. It takes every word of theirs that passes one test: the word's share of
-label 1 is more than it would be if the word were LIFT times as frequent in label 1 as in label 0, at an error of ALPHA
-over all words of the sample together (Chernoff's bound of the binomial tail, Bonferroni's correction). Scoring reads
-every whole text.
+label 1 is more than it would be if the word were LIFT times as frequent in label 1 as in label 0 (just as frequent, by
+default; Chernoff's bound of the binomial tail), at an expected share of ALPHA of wrong words among those taken (the procedure of Benjamini and
+Hochberg over all words of the sample, in steps of 0.01 of the logarithm). Scoring reads every whole text.
 
 Cases: null text counts as empty; texts without hits share one low score; texts of any length are read whole; repeated
 rows are each scored, but a document counts once in the fit (of several texts of one doc_id the least), and once with
@@ -35,7 +35,7 @@ from cladespark.llm.common import Remembered, held, held_out, materialized, tabl
 
 MOST_LABELLED = 10_000
 #: The test of a term, as above.
-LIFT, ALPHA = 2.0, 0.05
+LIFT, ALPHA = 1.0, 0.1
 WINDOW = 10
 #: A quoted or reported hit counts so much.
 QUOTED = 0.3
@@ -210,8 +210,16 @@ def learn_terms(rows: DataFrame, lift: float = LIFT, alpha: float = ALPHA) -> tu
     log = lambda x: F.log(F.greatest(x, F.lit(1e-300)))  # noqa: E731  0 log 0 is 0
     evidence = p * log(p / (p + q) / null) + q * log(q / (p + q) / (1 - null))
     odds = F.log((p + 0.5) / (ones + 1.0)) - F.log((q + 0.5) / (zeros + 1.0))
-    best = per.where((p / (p + q) > null) & (evidence >= float(np.log(max(1, per.count()) / alpha))))
-    return tuple(sorted((r["word"], r["odds"]) for r in best.select("word", F.round(odds, 6).alias("odds")).collect()))
+    told = per.where(p / (p + q) > null).select("word", F.round(odds, 6).alias("odds"), F.floor(100 * evidence).cast("long").alias("step"))
+    words, taken, least = per.count(), 0, None
+    # from the strongest step down: the weakest one at which so many words are taken that ALPHA of them may be wrong
+    for r in told.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).toLocalIterator():
+        taken += r["n"]
+        if r["step"] / 100 >= np.log(words / (alpha * taken)):
+            least = r["step"]
+    if least is None:
+        return ()
+    return tuple(sorted((r["word"], r["odds"]) for r in told.where(F.col("step") >= least).select("word", "odds").collect()))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -163,6 +163,73 @@ def test_quotation_weakens_hits():
     assert scorer.hits("an idiott, an IDIOT.")[1][1:3] == ("idiot", 0)
 
 
+def test_terms_against_plain_counts(spark):
+    pick = random.Random(15)
+    rows = []
+    for i in range(400):
+        y = int(i % 4 == 0)
+        words = [pick.choice("the a of and to in it".split()) for _ in range(20)] + (["scum"] if y and pick.random() < 0.7 else []) + (["rare"] if i < 3 else []) + (["both"] if pick.random() < 0.5 else [])
+        rows.append((i, " ".join(words) + ".", y))
+    got = dict(toxicity.learn_terms(spark.createDataFrame(rows, "doc_id long, text string, y int")))
+    ones, zeros, sets = 100, 300, [({w.strip(toxicity.EDGES) for w in t.lower().split()}, y) for _, t, y in rows]
+    words, told = set().union(*(s for s, _ in sets)), {}
+    for w in words:
+        p, q = sum(w in s and y for s, y in sets), sum(w in s and not y for s, y in sets)
+        null, n = toxicity.LIFT * ones / (toxicity.LIFT * ones + zeros), p + q
+        evidence = (p * np.log(p / n / null) if p else 0) + (q * np.log(q / n / (1 - null)) if q else 0)
+        if p / n > null:
+            told[w] = np.floor(100 * evidence) / 100, round(float(np.log((p + 0.5) / (ones + 1)) - np.log((q + 0.5) / (zeros + 1))), 6)
+    enough = [e for e, _ in told.values() if e >= np.log(len(words) / (toxicity.ALPHA * sum(x >= e for x, _ in told.values())))]
+    assert got == pytest.approx({w: odds for w, (e, odds) in told.items() if e >= min(enough)}) and set(got) == {"scum"}
+
+
+def test_features_against_plain_loops():
+    terms = {"idiot": 2.0, "worthless": 3.0, "scum": 1.0}
+    scorer, pick = toxicity.Scorer(terms), random.Random(16)
+    pool = ["idiot", "Idiot!", "idiott", "worthles", "WORTHLESS", "scum", "scun", '"', '"scum"', "wrote", "you", "are", "a", "fine", "person,"]
+    for _ in range(300):
+        text = " ".join(pick.choices(pool, k=pick.randint(0, 40)))
+        words, hits = text.lower().split(), []
+        starts = [m.start() for m in re.finditer(r"\S+", text)]
+        marks = [i for i, c in enumerate(text) if c == '"']
+        for k, w in enumerate(words):
+            bare = w.strip(toxicity.EDGES)
+            near = [(edits(bare, t), -v, t) for t, v in terms.items() if edits(bare, t) <= toxicity.allowed(t)]
+            if near:
+                at = starts[k] + len(w) - len(w.lstrip(toxicity.EDGES))
+                before = sum(m < at for m in marks)
+                reported = any(x.strip(toxicity.EDGES) in toxicity.REPORTING for x in words[max(0, k - 3) : k])
+                hits.append((k, min(near)[2], min(near)[0], before % 2 == 1 and before < len(marks) or reported))
+        value = {k: terms[t] * (1 if e == 0 else 0.5) * (toxicity.QUOTED if q else 1) for k, t, e, q in hits}
+        got, n = scorer.features(text)
+        assert n == len(hits)
+        if hits:
+            windows = [sum(v for j, v in value.items() if abs(j - k) <= toxicity.WINDOW) for k in value]
+            exact, rough = [terms[t] for _, t, e, _ in hits if e == 0], [terms[t] for _, t, e, _ in hits if e]
+            want = [1, np.log1p(sum(exact)), np.log1p(sum(rough)), np.log1p(len({t for _, t, e, _ in hits if e == 0})), np.log1p(max(windows)), sum(q for *_, q in hits) / len(hits), np.log1p(100 * sum(value.values()) / len(words)), max(exact, default=0)]
+            assert got == pytest.approx(want)
+
+
+def test_columns_of_the_caller_stay(spark):
+    df = spark.createDataFrame([(1, "you idiot", "mine", "old")], "doc_id long, text string, features string, score string")
+    r = toxicity.with_score(df, toxicity.Model((("idiot", 2.0),), (1.0,) + (0.0,) * toxicity.FEATURES)).first()
+    assert r.features == "mine" and r.n_hits == 1 and r.score == pytest.approx(1 / (1 + np.exp(-1)))
+
+
+def test_partition_sums_equal_a_direct_solution(spark):
+    random_ = np.random.default_rng(17)
+    x, y = random_.normal(size=(300, quality_classifier.STATS)), random_.integers(0, 2, 300)
+    rows = spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(x, y)], "stats array<double>, y int").repartition(quality_classifier.FAN_IN * 2 + 3)
+    mean, scale = x.mean(0), x.std(0)
+    a, b = quality_classifier.normal_equations(rows, mean, scale)
+    z = quality_classifier.fourier(x, mean, scale)
+    assert np.allclose(a, z.T @ z) and np.allclose(b, z.T @ y)
+    # products of the features approximate the Gaussian kernel of the standardised statistics
+    u = (x[:60] - mean) / scale
+    kernel = np.exp(-((u[:, None] - u[None]) ** 2).sum(2) / (2 * quality_classifier.STATS))
+    assert np.abs(z[:60, :-1] @ z[:60, :-1].T - kernel).mean() < 0.06
+
+
 @pytest.mark.parametrize("query,label,least", [(toxicity.op1_toxicity, "toxic", 0.93), (quality_classifier.op9_quality_classifier, "quality", 0.95)])
 def test_held_out_accuracy(spark, query, label, least):
     d = "/root/testdata/sf0.01"
