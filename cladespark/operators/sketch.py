@@ -168,6 +168,7 @@ def mash_search(queries: DataFrame, sketched: DataFrame, k: int = 15, size: int
     their sketches share. That number bounds the distance from both sides (it is the distance where the union is no
     larger than a sketch), so only pairs that can be among the nearest are compared by their sketches. Pairs that share
     nothing all have the same largest distance, so a query with too few partners is filled up from the smallest ids."""
+    sketched = materialized(sketched, "sketches")
     sizes = sketched.select("seq_id", F.size("sketch").alias("n"))
     hashes = sketched.select("seq_id", F.explode("sketch").alias("h"))
     asked = hashes.join(queries.select("seq_id"), "seq_id", "left_semi").withColumnRenamed("seq_id", "i")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,35 +22,52 @@ def edges_of(d: np.ndarray, algorithm: str) -> list[tuple[int, int, float]]:
     return place_all(d, None if algorithm == "exact" else NEAREST)
 
 
+#: Tips that go to Python at once: many small groups together.
+ROWS = 2000
+
+
+def _per_group(tips: DataFrame, group: str, columns: list[str], build: Callable[[pd.DataFrame], list], schema: str) -> DataFrame:
+    """tips: a group column and ord. build: the rows of one group, in the order of ord -> the values of columns. Groups are dealt to
+    buckets by a hash, so that small ones share a call of Python; a group is never split."""
+    buckets = max(1, -(-tips.count() // ROWS))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([group, "ord"], ignore_index=True)
+        codes = pd.factorize(rows[group], use_na_sentinel=False)[0]
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]).tolist()
+        made = []
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            part = build(rows.iloc[a:b].reset_index(drop=True))
+            made.append([rows[group].iloc[[a] * len(part[0])].to_numpy(), *map(np.asarray, part)])
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip([group, *columns], zip(*made))})
+
+    return tips.groupBy(F.pmod(F.xxhash64(group), F.lit(buckets)).alias("__bucket")).applyInPandas(run, f"{group} {tips.schema[group].dataType.simpleString()}, {schema}")
+
+
 def build_trees(tips: DataFrame, group: str, metric: Metric, algorithm: str = "nj") -> DataFrame:
     """tips: a group column, ord (the order of placement), and what metric needs. One tree per group: group, node, parent, len.
 
     Nodes 0 .. n-1 are the tips in order; the root has no row. A group is one task's matrix, so groups must be small.
     algorithm: 'nj', 'exact' or 'k_closest'."""
-    kind = tips.schema[group].dataType.simpleString()
 
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord").reset_index(drop=True)
-        out = pd.DataFrame(edges_of(metric(rows, rows), algorithm), columns=["node", "parent", "len"])
-        out.insert(0, group, key[0])
-        return out
+    def build(rows: pd.DataFrame) -> list:
+        edges = edges_of(metric(rows, rows), algorithm)
+        return [[e[k] for e in edges] for k in range(3)]
 
-    return tips.groupBy(group).applyInPandas(build, f"{group} {kind}, {TREE}")
+    return _per_group(tips, group, ["node", "parent", "len"], build, TREE)
 
 
 def tip_paths(tips: DataFrame, group: str, metric: Metric, algorithm: str = "nj") -> DataFrame:
     """Per tip of each group's tree: group, ord, first (path to the group's first tip), total (sum of paths to all tips), depth
     (path to the root)."""
-    kind = tips.schema[group].dataType.simpleString()
 
-    def paths(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord").reset_index(drop=True)
+    def paths(rows: pd.DataFrame) -> list:
         n, edges = len(rows), edges_of(metric(rows, rows), algorithm)
         root = max((p for _, p, _ in edges), default=0) if algorithm == "nj" else n if n > 1 else 0
         d = path_lengths(edges, [*range(n), *([root] if n > 1 else [])])
-        return pd.DataFrame({group: key[0], "ord": rows["ord"], "first": d[:n, 0], "total": d[:n, :n].sum(axis=1), "depth": d[:n, -1] if n > 1 else [0.0]})
+        return [rows["ord"], d[:n, 0], d[:n, :n].sum(axis=1), d[:n, -1] if n > 1 else [0.0]]
 
-    return tips.groupBy(group).applyInPandas(paths, f"{group} {kind}, ord long, first double, total double, depth double")
+    return _per_group(tips, group, ["ord", "first", "total", "depth"], paths, "ord long, first double, total double, depth double")
 
 
 def depths(tree: DataFrame, length: str = "len") -> DataFrame:

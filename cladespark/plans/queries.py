@@ -81,12 +81,13 @@ def bottom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mash_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every document whose id is divisible by 100, among all, by textbook sketches."""
     sketched = sketches(sequences(spark, sf_dir), K, SIZE, dedup=True)
-    return mash_search(sketched.where("seq_id % 100 = 0").select("seq_id"), sketched, K, SIZE, 5)
+    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("seq_id"))
+    return mash_search(asked, sketched, K, SIZE, 5)
 
 
 def mash_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the eight after it, by sketches with repetitions and filling."""
-    sketched = sketches(sequences(spark, sf_dir), K, SIZE)
+    sketched = materialized(sketches(sequences(spark, sf_dir), K, SIZE), "sketches")
     ids = sketched.select(F.col("seq_id").alias("i"))
     pairs = ids.select("i", F.explode(F.sequence(F.col("i") + 1, F.col("i") + 8)).alias("j")).join(ids.toDF("j"), "j", "left_semi")
     return _rounded(mash_pairs(pairs, sketched, K, SIZE), "d")
