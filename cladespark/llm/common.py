@@ -76,14 +76,15 @@ ROWS = 500
 
 
 def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Callable[[list], list]]) -> DataFrame:
-    """df with new columns (fields: a DDL list; equal names are replaced) that are made of the values of one column.
+    """df with new columns (fields: a DDL list; equal names are replaced) that are made of the values of one column (or of a field of a
+    struct column: a.b, so that a packed row goes to Python and back once).
 
     maker runs once in each task and gives a function: values (None where null) -> one list of results for each new column.
     It gets ROWS values at a time, however many rows Spark sends at once.
     """
     new = T._parse_datatype_string(fields)
     kept = [f for f in df.schema.fields if f.name not in new.names]
-    kinds, names, of = [to_arrow_type(f.dataType) for f in new.fields], [f.name for f in kept], column
+    kinds, names, (of, *inside) = [to_arrow_type(f.dataType) for f in new.fields], [f.name for f in kept], column.split(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release(f"{maker.__module__}.{maker.__qualname__}")
@@ -91,7 +92,10 @@ def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Calla
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                made = make(part.column(of).to_pylist())
+                values = part.column(of)
+                for field in inside:
+                    values = values.field(field)
+                made = make(values.to_pylist())
                 arrays = [part.column(n) for n in names] + [pa.array(m, kind) for m, kind in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *new.names])
 

@@ -5,12 +5,13 @@
 2. Classes that share a band key are candidates. In each bucket the member with the most collisions over all bands is
    the hub; every member is compared with its hubs on the full sets. That links nearly all copies of a text to it
    with one pair a member, however large the bucket is.
-3. Buckets whose members are not yet of one component are searched for the rest. Small buckets are searched by a join.
-   The members of larger ones meet again by their rarest shingles: two sets that share enough have one in common among
-   the first few of each in any common order (the prefix filter), so nothing is lost, and texts that only share what
-   very many have do not meet at all. The order is by how many of these sets hold a shingle, as a table of TABLE
-   counters tells. Groups by rare shingle that are still of several components are searched like buckets: by a join,
-   or in blocks of at most about BLOCK by BLOCK members, from which only links come out.
+3. Buckets whose members are not yet of one component are searched for the rest: small ones by a join, those of up to
+   BLOCK members in one task each, from which only links come out. The members of larger ones meet again by their
+   rarest shingles: two sets that share enough have one in common among the first few of each in any common order (the
+   prefix filter), so nothing is lost, and texts that only share what very many have do not meet at all. The order is
+   by how many of these sets hold a shingle, as a table of TABLE counters tells. Groups by rare shingle that are still of
+   several components, each set of members once, are searched like buckets; what is larger than BLOCK even then, in
+   pairs of blocks.
 4. Links give components.
 
 The bands follow the percentage from which texts are linked. With 24 bands of 6 coordinates, two texts of similarity 0.85
@@ -37,7 +38,7 @@ from cladespark.llm.sketch import Shingler, band_keys, banding, sketch
 
 #: Percent of the union that two linked sets share at least, where a caller names no other.
 PERCENT = 85
-#: Buckets of at most SMALL members are searched by a join; larger ones in blocks.
+#: Groups of at most SMALL members are searched by a join, those of at most about BLOCK in one task.
 SMALL, BLOCK = 8, 512
 #: Counters that tell rare shingles from common ones (4 MB, whatever the size of the corpus).
 TABLE = 1 << 20
@@ -143,15 +144,20 @@ def rarest(sets: DataFrame, percent: int) -> DataFrame:
     return with_made(sets, "shingles", "rare array<long>", maker).select("node", F.size("shingles").alias("n"), F.explode("rare").alias("key"))
 
 
+def each_once(groups: DataFrame) -> DataFrame:
+    """Of groups (key, node) with the same nodes one: a passage that texts share makes one for each of its shingles."""
+    nodes = groups.groupBy("key").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
+    return groups.join(nodes.groupBy("c", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def remaining_links(entries: DataFrame, first: DataFrame, tried: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """entries: key, node, n; first: node, component so far; tried: pairs that were verified already."""
     buckets = materialized(undecided(entries, first), "open-buckets")
-    pairs = joined(buckets.where(F.col("m") <= SMALL), percent)
-
-    crowd = buckets.where(F.col("m") > SMALL).select("node").distinct()
-    rare = materialized(rarest(materialized(sets.join(crowd, "node", "left_semi"), "crowd"), percent), "rare-shingles")
-    groups = materialized(undecided(rare, first), "open-groups")
-    pairs = pairs.union(joined(groups.where(F.col("m") <= SMALL), percent)).distinct().join(tried, ["a", "b"], "left_anti")
+    crowd = materialized(buckets.where(F.col("m") > BLOCK).select("node").distinct(), "crowd")
+    rare = materialized(rarest(materialized(sets.join(crowd, "node", "left_semi"), "crowd-sets"), percent), "rare-shingles")
+    groups = buckets.where(F.col("m") <= BLOCK).unionByName(each_once(materialized(undecided(rare, first), "open-groups")))
+    groups = materialized(groups, "groups")
+    pairs = joined(groups.where(F.col("m") <= SMALL), percent).join(tried, ["a", "b"], "left_anti")
 
     many = groups.where(F.col("m") > SMALL)
     seekers = F.ceil(F.col("others") / BLOCK).cast("int")

@@ -180,10 +180,11 @@ def verdicts(rows: DataFrame, width: float = WIDTH, lean: float = LEAN) -> DataF
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", vocabularies: dict[str, str] = VOCABULARIES, columns: list[str] | None = None) -> DataFrame:
     """docs (or these columns of it) with the base counts, fertility measures, base_failed, outside and kept; measured once, in the
-    shared folder."""
+    shared folder. text and lang: columns, or fields of a struct column."""
     kept = docs.select(*[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)])
-    rows = docs.select(whole(kept).alias("doc"), F.col(lang).alias("lang"), F.xxhash64(text).alias(TEXT[0]), F.xxhash64(F.lit(1), text).alias(TEXT[1]), F.col(text).alias("body"))
-    got = verdicts(materialized(measured(rows, "body", vocabularies).drop("body"), "fertility"))
+    packed = text.split(".")[0] in kept.columns  # then the text is sent to Python in its row only
+    rows = docs.select(whole(kept).alias("doc"), F.col(lang).alias("lang"), F.xxhash64(text).alias(TEXT[0]), F.xxhash64(F.lit(1), text).alias(TEXT[1]), *([] if packed else [F.col(text).alias("body")]))
+    got = verdicts(materialized(measured(rows, f"doc.{text}" if packed else "body", vocabularies).drop("body"), "fertility"))
     new = [c for c in got.columns if c != "doc"]
     return got.select(*[F.col("doc")[c].alias(c) for c in kept.columns if c not in new], *new)
 

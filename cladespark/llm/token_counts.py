@@ -138,8 +138,7 @@ def chars_within(prefix: Column, budget: Column | int) -> Column:
 
 def count_tokens(docs: DataFrame, text: str = "text", limit: int = LIMIT, model: str = MODEL) -> DataFrame:
     """docs with n_tokens (long), over_limit (boolean) and chars_in_limit (long: the longest prefix within the limit)."""
-    packed = docs.select(whole(docs).alias("doc"), F.col(text).alias("text"))
-    got = prefix_counts(packed, "text", "prefix", model)
+    got = prefix_counts(docs.select(whole(docs).alias("doc")), f"doc.{text}", "prefix", model)
     n, new = tokens_at(F.col("prefix")), ("n_tokens", "over_limit", "chars_in_limit")
     kept = [F.col("doc")[c].alias(c) for c in docs.columns if c not in new]
     return got.select(*kept, n.alias("n_tokens"), (n > limit).alias("over_limit"), chars_within(F.col("prefix"), limit).alias("chars_in_limit"))

@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """docs with n_hits and the column out, the probability of label 1."""
-    x = with_features(docs.select(whole(docs).alias("doc"), F.col(text).alias("text")), model.terms)
+    x = with_features(docs.select(whole(docs).alias("doc")), model.terms, f"doc.{text}")
     line = F.lit(model.weights[-1])
     for k, w in enumerate(model.weights[:-1]):
         line = line + F.col("features")[k] * F.lit(w)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cladespark.llm import bpe, chat, decontamination, near_dup, quality_classifier, quality_rules, registry, secrets, sketch, token_counts, toxicity, warc
-from cladespark.llm.common import held_out, without
+from cladespark.llm.common import held_out, materialized, without
 from cladespark.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -63,7 +63,7 @@ CLASHES = ("__at", "__row", "__maybe", "__words", "doc", "key", "kept", "score",
 def test_pipeline_on_odd_and_empty_tables(spark, odd_dir, empty_dir):
     docs = odd_documents(spark).select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(c) for c in CLASHES})
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, odd_dir)
+        docs = materialized(stage(spark, docs, odd_dir), name)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHES] and all(r[c] == c for r in docs.collect() for c in CLASHES), name
     assert all(r.round_trip for r in corpus_pipeline.bpe(spark, docs, odd_dir).collect())
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
