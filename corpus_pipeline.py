@@ -27,8 +27,7 @@ def row_key() -> Column:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: null and empty ones, those of the base rules, and those far outside the bands of their language.
     A null language is one of its own; repeated rows have one verdict."""
-    rows = docs.select(whole(docs).alias("doc"), "text", "lang")
-    return judge(rows, columns=["doc"]).where("kept").select("doc.*")
+    return judge(docs.select(whole(docs).alias("doc")), "doc.text", "doc.lang").where("kept").select("doc.*")
 
 
 #: Percent of their shingles that two documents share at least to be near copies; op8 has its own.
