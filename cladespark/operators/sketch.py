@@ -182,8 +182,9 @@ def mash_search(queries: DataFrame, sketched: DataFrame, k: int = 15, size: int
     exact = mash_pairs(hopeful.select("i", "j"), sketched, k, size, True)
     few = queries.select(F.col("seq_id").alias("i")).join(needed.where(F.col("n") == most), "i", "left_anti")
     # among so many least ids are enough others that share nothing
-    least = F.broadcast(sketched.select(F.col("seq_id").alias("j")).orderBy("j").limit(2 * most))
+    least = F.array(*[F.lit(r.seq_id) for r in sketched.select("seq_id").orderBy("seq_id").limit(2 * most).collect()])
     farthest = F.lit(mash_distance(0, size, k))
-    filling = few.join(least, F.col("i") != F.col("j")).join(common.select("i", "j"), ["i", "j"], "left_anti").select("i", "j", F.lit(0).cast("long").alias("shared"), farthest.alias("d"))
+    filling = few.select("i", F.explode(least).alias("j")).where("i <> j").join(common.select("i", "j"), ["i", "j"], "left_anti")
+    filling = filling.select("i", "j", F.lit(0).cast("long").alias("shared"), farthest.alias("d"))
     found = exact.unionByName(filling).withColumn("d", F.round("d", 9))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")).cast("long")).where(F.col("rank") <= most)
