@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -65,10 +67,17 @@ def held(key: tuple, make: Callable[[], object]) -> object:
 
 
 def release(kind: str) -> None:
-    """Forgets the kept model when the process turns to another kind of task."""
+    """Forgets the kept model when the process turns to another kind of task, and gives its memory back to the machine: Spark keeps
+    Python processes for reuse, and they count with their executor."""
     if _held.get("kind") != kind:
         _held.clear()
         _held["kind"] = kind
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # only glibc has it
 
 
 #: Rows that Python works on at once: bounds the memory of what it makes of them.

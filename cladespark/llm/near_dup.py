@@ -154,9 +154,10 @@ def remaining_links(entries: DataFrame, first: DataFrame, tried: DataFrame, sets
     """entries: key, node, n; first: node, component so far; tried: pairs that were verified already."""
     buckets = materialized(undecided(entries, first), "open-buckets")
     crowd = materialized(buckets.where(F.col("m") > BLOCK).select("node").distinct(), "crowd")
-    rare = materialized(rarest(materialized(sets.join(crowd, "node", "left_semi"), "crowd-sets"), percent), "rare-shingles")
-    groups = buckets.where(F.col("m") <= BLOCK).unionByName(each_once(materialized(undecided(rare, first), "open-groups")))
-    groups = materialized(groups, "groups")
+    groups = buckets.where(F.col("m") <= BLOCK)
+    if crowd.head(1):
+        rare = materialized(rarest(materialized(sets.join(crowd, "node", "left_semi"), "crowd-sets"), percent), "rare-shingles")
+        groups = materialized(groups.unionByName(each_once(materialized(undecided(rare, first), "open-groups"))), "groups")
     pairs = joined(groups.where(F.col("m") <= SMALL), percent).join(tried, ["a", "b"], "left_anti")
 
     many = groups.where(F.col("m") > SMALL)
