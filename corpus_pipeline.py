@@ -19,6 +19,9 @@ from cladespark.llm.secrets import redact
 from cladespark.sources.shared import discard, temporary
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def row_key() -> Column:
     """doc_id; without one a number from 2^62 on that follows from the text, so that it is the representative of no row with a doc_id."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
@@ -66,7 +69,22 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
-STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("bpe", bpe)]
+def small_batches(spark: SparkSession) -> None:
+    """Where the session has no setting of its own, rows go to Python 500 at a time: an executor then holds few of the long texts at
+    once. This belongs to the job, not to the operators, which leave the session as it is."""
+    if spark.conf.get(BATCH, "0") == "0":
+        spark.conf.set(BATCH, "500")
+
+
+def stage(function):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES = [(f.__name__, stage(f)) for f in (quality_rules, near_dedup, decontamination, secret_scan, bpe)]
 #: The vocabularies and the edit distance have no SQL.
 ORACLE_SQL = None
 
@@ -74,9 +92,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of a stage, and its input, are deleted when its output is written; the last output stays."""
     docs, before = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
+    for name, made in STAGES:
         with temporary(spark) as keep:
-            docs = materialized(stage(spark, docs, sf_dir), name)
+            docs = materialized(made(spark, docs, sf_dir), name)
             keep.append(docs.written_to)
         if before is not None:
             discard(before)
