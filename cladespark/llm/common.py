@@ -52,6 +52,11 @@ class Remembered(dict):
         return out
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of WORD, in UTF-8: split() of bytes knows the ASCII white space only."""
+    return (text or "").encode("utf-8", "surrogatepass").split()
+
+
 def word_hash_bytes(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
