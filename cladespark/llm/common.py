@@ -97,6 +97,11 @@ def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Calla
     It gets ROWS values at a time, however many rows Spark sends at once.
     """
     new = T._parse_datatype_string(fields)
+    if any("." in c or "`" in c for c in df.columns):  # Spark looks for them as paths on their way to Python
+        at = df.columns.index(column) if column in df.columns else None
+        names = [c if "." not in c and "`" not in c else f"__{k}" for k, c in enumerate(df.columns)]
+        made = with_made(df.toDF(*names), column if at is None else names[at], fields, maker)
+        return made.toDF(*[df.columns[names.index(c)] if c in names and c not in new.names else c for c in made.columns])
     kept = [f for f in df.schema.fields if f.name not in new.names]
     kinds, names, (of, *inside) = [to_arrow_type(f.dataType) for f in new.fields], [f.name for f in kept], column.split(".")
 
