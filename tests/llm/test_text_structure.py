@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from cladespark.llm import periodic_runs
+from cladespark.llm import periodic_runs, spelling
 
 DATA = "/root/testdata/sf0.001"
 
@@ -86,3 +86,44 @@ def test_op13_against_sql_and_brute_force(spark, tmp_path):
         assert (r.n_runs, r.start, r.length, r.period) == (len(runs), *best)
         gone = {i for a, n, q in runs for i in range(a + q, a + n)}
         assert r.collapsed_sha256 == hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in gone).encode()).hexdigest()
+
+
+def near(a, b):
+    """Whether one inserted, deleted or replaced code point makes b of a."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) - len(short) == 1 and any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+
+def test_variants_against_all_pairs(spark):
+    rng = random.Random(5)
+    made = {"".join(rng.choice("abé") for _ in range(rng.randint(0, 6))): rng.choice([1, 2, 5, 5, 25, 130, 700]) for _ in range(400)}
+    rows = [*made.items(), (None, 9), ("\U0001f600x", 1), ("\U0001f601x", 5), ("x" * 3000, 1), ("x" * 3001, 6)]
+    words = dict(r for r in rows if r[0] is not None)
+    got = {r.word: r for r in spelling.variants(spark.createDataFrame([(*r, "k") for r in rows], "word string, n int, key string")).collect()}
+    assert got.keys() == words.keys()
+    form = {}
+    for w, n in words.items():
+        others = [v for v in words if near(v, w)]
+        best = min(others, key=lambda v: (-words[v], v.encode()), default=None)
+        form[w] = best if others and words[best] >= 5 * n else None
+        assert (got[w].n, got[w].n_near, got[w].form, got[w].form_n) == (n, len(others), form[w], words.get(form[w])), w
+    longest = 0
+    for w in words:
+        root, steps = w, 0
+        while form[root] is not None:
+            root, steps = form[root], steps + 1
+        longest = max(longest, steps)
+        assert got[w].root == root
+    assert longest > 2
+
+
+def test_op11_against_sql(spark, tmp_path):
+    same_as_sql(spark, spelling.op11_spelling_variants, spelling.ORACLES["op11_spelling_variants"])
+    rng = random.Random(1)
+    stems = ["Schlüsselé", "straßengraben", "ähnlichkeit", "abcabcabc", "çonséquence", "short", "sixlet"]
+    rows = [(None if i % 9 == 0 else i, None if i % 50 == 3 else " ".join(rng.choice(stems) + rng.choice(["", "", "", "e", "E", ".", "1x"]) for _ in range(i % 30)), "k") for i in range(400)]
+    spark.createDataFrame([*rows, rows[29], (5, "lang" * 5000, "k")], "doc_id long, text string, word string").write.parquet(f"{tmp_path}/documents.parquet")
+    same_as_sql(spark, spelling.op11_spelling_variants, spelling.ORACLES["op11_spelling_variants"], str(tmp_path))
+    assert spelling.op11_spelling_variants(spark, str(tmp_path)).where("form IS NOT NULL").count() > 0
