@@ -4,10 +4,9 @@ import hashlib
 import random
 
 import duckdb
-import pytest
-from pyspark.sql import functions as F
+import numpy as np
 
-from cladespark.llm import periodic_runs, spelling
+from cladespark.llm import periodic_runs, repeats, spelling
 
 DATA = "/root/testdata/sf0.001"
 
@@ -123,7 +122,81 @@ def test_op11_against_sql(spark, tmp_path):
     same_as_sql(spark, spelling.op11_spelling_variants, spelling.ORACLES["op11_spelling_variants"])
     rng = random.Random(1)
     stems = ["Schlüsselé", "straßengraben", "ähnlichkeit", "abcabcabc", "çonséquence", "short", "sixlet"]
-    rows = [(None if i % 9 == 0 else i, None if i % 50 == 3 else " ".join(rng.choice(stems) + rng.choice(["", "", "", "e", "E", ".", "1x"]) for _ in range(i % 30)), "k") for i in range(400)]
+    rows = [(None if i % 9 == 0 else i, None if i % 50 == 3 else " ".join(rng.choice(stems) + rng.choice([*20 * [""], "e", "E", ".", "1x"]) for _ in range(i % 30)), "k") for i in range(400)]
     spark.createDataFrame([*rows, rows[29], (5, "lang" * 5000, "k")], "doc_id long, text string, word string").write.parquet(f"{tmp_path}/documents.parquet")
     same_as_sql(spark, spelling.op11_spelling_variants, spelling.ORACLES["op11_spelling_variants"], str(tmp_path))
     assert spelling.op11_spelling_variants(spark, str(tmp_path)).where("form IS NOT NULL").count() > 0
+
+
+def brute_repeats(rows):
+    """(doc_id, words) of each row -> the words that stay."""
+    first = {}
+    for doc, words in rows:
+        for i in range(len(words) - 49):
+            key = tuple(words[i : i + 50])
+            first[key] = min(first.get(key, doc), doc)
+    out = []
+    for doc, words in rows:
+        gone = {j for i in range(len(words) - 49) if first[tuple(words[i : i + 50])] < doc for j in range(i, i + 50)}
+        out.append([w for j, w in enumerate(words) if j not in gone])
+    return out
+
+
+def repeating_rows(seed):
+    """Documents of passages that others have, cut anywhere, beside runs of one word, of few words and of random ones."""
+    rng = random.Random(seed)
+    word = lambda k: f"w{rng.randrange(k)}"
+    passages = [[word(10**6) for _ in range(rng.randint(45, 400))] for _ in range(12)]
+    passages += [["a"] * 180, ["a", "b", "c"] * 60, [word(2) for _ in range(300)], [word(4) for _ in range(200)], ["x", "x", "y"] * 40]
+    rows = []
+    for doc in range(150):
+        words = []
+        for _ in range(rng.randint(0, 5)):
+            words += [word(10**6) for _ in range(rng.choice([0, 0, 1, 7, 60]))]
+            p = rng.choice(passages)
+            a = rng.choice([0, rng.randrange(len(p))])
+            words += p[a : rng.choice([len(p), a + rng.randint(40, 60), a + rng.randint(48, 52)])]
+        rows.append((doc, words))
+    return [*rows, (7, rows[3][1]), (8, rows[8][1]), (8, rows[8][1]), (200, rows[9][1]), (201, rows[9][1])]
+
+
+def test_repeats_against_all_windows(spark):
+    for seed in range(3):
+        rows = repeating_rows(seed)
+        docs = spark.createDataFrame([(d, " ".join(w), "k") for d, w in rows], "doc_id long, text string, row string").repartition(3)
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.repeated_passages(docs).collect())
+        kept = brute_repeats(rows)
+        want = sorted((d, len(w), len(w) - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for (d, w), k in zip(rows, kept))
+        assert got == want and sum(r[2] > 0 for r in got) > 50 and any(0 < r[2] < r[1] for r in got)
+
+
+def test_equal_windows_have_equal_keys():
+    """Whatever stands around a window, and symbols that windows are known by follow from the words inside."""
+    rng = np.random.default_rng(1)
+    for letters in (2, 3, 50, 10**9):
+        passage = rng.integers(0, letters, 90).astype(np.uint64)
+        docs = [np.concatenate([rng.integers(0, letters, rng.integers(0, 40)), passage, rng.integers(0, letters, rng.integers(0, 40))]).astype(np.uint64) for _ in range(20)]
+        docs[3] = passage
+        made = repeats.Recompressed(docs)
+        own = dict(zip(made.windows.tolist(), zip(made.keys().tolist(), made.content(made.windows, made.windows + 50).tolist())))
+        seen = []
+        for d, start in zip(docs, made.starts.tolist()):
+            at = next(i for i in range(len(d)) if np.array_equal(d[i : i + 90], passage))
+            seen.append([own[start + at + k] for k in range(41)])
+        assert all(s == seen[0] for s in seen) and len(own) == sum(len(d) - 49 for d in docs)
+
+
+def test_texts_in_portions_are_the_same(spark, monkeypatch):
+    texts = [" ".join(w) for _, w in repeating_rows(9)] + [None, "", " \n"]
+    whole = repeats.in_portions(texts, 1, lambda words, _: [(w,) for w in words])
+    monkeypatch.setattr(repeats, "AT_ONCE", 100)
+    assert repeats.in_portions(texts, 1, lambda words, _: [(w,) for w in words]) == whole and repeats.in_portions([], 2, None) == [[], []]
+
+
+def test_op12_against_sql(spark, tmp_path):
+    same_as_sql(spark, repeats.op12_substring_dedup, repeats.ORACLES["op12_substring_dedup"])
+    rows = [(d, " ".join(w), "k") for d, w in repeating_rows(4)]
+    long = " ".join(f"q{i % 4000}" for i in range(25_000))
+    odd = [(None, rows[3][1], "k"), (None, rows[3][1], "k"), (None, long, "k"), (None, long + " z", "k"), (500, None, "k"), (501, "", "k"), (502, " \n\t", "k"), (503, long, "k"), (504, "é\u00a0b " * 100, "k"), (505, "é\u00a0b " * 70, "k")]
+    spark.createDataFrame([*rows, *odd], "doc_id long, text string, found string").write.parquet(f"{tmp_path}/documents.parquet")
+    same_as_sql(spark, repeats.op12_substring_dedup, repeats.ORACLES["op12_substring_dedup"], str(tmp_path))
