@@ -7,7 +7,9 @@ nearby strengthen it, quotation marks around it or a reporting verb before it we
 scores, fitted on hits from lexicons learnt without the row at hand, gives the probability.
 
 Bounds: the lexicon and the model are fitted on at most MOST_LABELLED documents of each label, those of the least hash
-of doc_id; so the lexicon is bounded too. It takes every word of theirs that passes one test: the word's share of
+of doc_id; so the lexicon is bounded too. Near copies are no evidence of their own, so of sample documents with one label that share
+the least shingle hash in any of COPY_KEYS orders only the first counts: else each word of a text with thousands of copies
+would pass for a term. It takes every word of theirs that passes one test: the word's share of
 label 1 is more than it would be if the word were LIFT times as frequent in label 1 as in label 0 (just as frequent, by
 default; Chernoff's bound of the binomial tail), at an expected share of ALPHA of wrong words among those taken (the procedure of Benjamini and
 Hochberg over all words of the sample, in steps of 0.01 of the logarithm). Scoring reads every whole text.
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from cladespark.llm.common import Remembered, held, held_out, materialized, table, whole, with_made
+from cladespark.llm.sketch import SEEDS, Shingler, mixed
 
 MOST_LABELLED = 10_000
 #: The test of a term, as above.
@@ -39,6 +42,8 @@ LIFT, ALPHA = 1.0, 0.1
 WINDOW = 10
 #: A quoted or reported hit counts so much.
 QUOTED = 0.3
+#: Orders of the shingles by which near copies of the sample are known: at a similarity of 0.8 one of 4 agrees with 0.998.
+COPY_KEYS = 4
 REPORTING = frozenset("said says wrote called quoted quote reported accused word term phrase".split())
 EDGES = " .,;:!?|#%&$*\"'()[]{}<>…«»“”„‘’-_~`"
 _quote = re.compile('["“”«»„]')
@@ -222,6 +227,19 @@ def learn_terms(rows: DataFrame, lift: float = LIFT, alpha: float = ALPHA) -> tu
     return tuple(sorted((r["word"], r["odds"]) for r in told.where(F.col("step") >= least).select("word", "odds").collect()))
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """sample (bounded: doc_id, y, text) without documents that an earlier one with their label is a near copy of."""
+
+    def maker():
+        shingles, seeds = Shingler(), SEEDS[:COPY_KEYS]
+        return lambda texts: [[[int(mixed(own ^ s).min()) >> 1 for s in seeds] if len(own := shingles(t)) else [] for t in texts]]
+
+    keyed = materialized(with_made(sample.select("doc_id", "y", "text"), "text", "keys array<long>", maker).select("doc_id", "y", F.posexplode("keys").alias("turn", "key")), "toxic-copies")
+    first = keyed.groupBy("y", "turn", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    gone = keyed.join(first, ["y", "turn", "key"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "y").distinct()
+    return sample.join(gone, ["doc_id", "y"], "left_anti")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Newton's method; the last weight is the constant."""
     x = np.hstack([x, np.ones((len(x), 1))])
@@ -248,6 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     chosen = [once.where(F.col("y") == y).orderBy("turn", "doc_id").limit(most) for y in (0, 1)]
     chosen = materialized(chosen[0].union(chosen[1]), "toxic-labels").select(F.col("doc_id").alias("__id"), "y")
     sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = without_copies(materialized(sample, "toxic-labelled"))
     sample = materialized(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))).repartition(16), "toxic-sample")
     parts = []
     for half in (0, 1):
