@@ -41,6 +41,8 @@ WIDTH = 5.0
 LEAN = 50
 #: Bands (of less than 500 bytes each) are broadcast up to this many.
 MOST_BANDS = 50_000
+#: Measures above it count as this in a band.
+HIGHEST = 1000.0
 #: No band is narrower than this on either side.
 FLOOR = {"chars_per_token": 0.1, "byte_share": 0.02, "entropy": 0.03}
 MEASURES = [f"{v}_{m}" for v in VOCABULARIES for m in FLOOR]
@@ -135,8 +137,10 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def bands(texts: DataFrame, *keys: str) -> DataFrame:
-    """Per key: how many texts, and for each measure the lower quartile, middle and upper quartile over all of them."""
-    return texts.groupBy(*keys).agg(F.count("*").alias("n"), F.struct(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in MEASURES]).alias("band"))
+    """Per key: how many texts, and for each measure the lower quartile, middle and upper quartile over all of them. The measures are taken
+    in steps of 0.001, of which each is counted, so the quartiles are those of the table however it is partitioned."""
+    steps = [F.percentile(F.round(F.least(m, F.lit(HIGHEST)), 3), F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias(m) for m in MEASURES]
+    return texts.groupBy(*keys).agg(F.count("*").alias("n"), F.struct(*steps).alias("band"))
 
 
 def small(table: DataFrame) -> DataFrame:
