@@ -1,7 +1,7 @@
 """From raw documents to training tokens: rules, near-duplicates, decontamination, secrets, encoding.
 
 Cases, in every stage: null and empty texts, texts of any length, repeated rows, rows without doc_id and empty tables are
-allowed, and columns beside those of documents stay as they are, whatever their names. A row is known by its doc_id or,
+allowed, and columns beside those of documents stay as they are, whatever their names (the last stage drops the text). A row is known by its doc_id or,
 without one, by its text (`row_key`), so that verdicts on rows without doc_id take effect as well.
 """
 
@@ -19,9 +19,6 @@ from cladespark.llm.secrets import redact
 from cladespark.sources.shared import discard, temporary
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def row_key() -> Column:
     """doc_id; without one a number from 2^62 on that follows from the text, so that it is the representative of no row with a doc_id."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
@@ -39,14 +36,14 @@ NEAR = 80
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked from NEAR percent up the document with the least doc_id stays, one without doc_id only where none of the
-    group has one; of repeated rows (doc_id and text) one. Documents without words are in no group."""
+    group has one; of repeated rows (doc_id and text) the first by its columns written as JSON. Documents without words are in no group."""
     rows = docs.select(whole(docs).alias("doc"), row_key().alias("key"), "text")
     gone = materialized(near_duplicates(rows, doc_id="key", percent=NEAR).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     kept = without(rows, "key", gone)
     again = rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("again"))
     again = materialized(again, "again")
     single = without(kept, "key", again)
-    repeated = kept.join(again, F.col("key") == F.col("again"), "left_semi").groupBy("key", "text").agg(F.first("doc").alias("doc"))
+    repeated = kept.join(again, F.col("key") == F.col("again"), "left_semi").groupBy("key", "text").agg(F.min_by("doc", F.to_json("doc")).alias("doc"))
     return single.select("doc.*").unionByName(repeated.select("doc.*"))
 
 
@@ -64,27 +61,16 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text (a null one to nothing)."""
-    both = encode_and_decode(docs.select("doc_id", "lang", "source", "n_chars", "text"))
-    return both.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Where the session has no setting of its own, rows go to Python 500 at a time: an executor then holds few of the long texts at
-    once. This belongs to the job, not to the operators, which leave the session as it is."""
-    if spark.conf.get(BATCH, "0") == "0":
-        spark.conf.set(BATCH, "500")
-
-
-def stage(function):
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        small_batches(spark)
-        return function(spark, docs, sf_dir)
-
-    return run_stage
+    """Instead of the text n_tokens, the token ids, and whether they decode to the text (a null one to nothing). Other columns stay;
+    those of these three names are replaced."""
+    made = ("n_tokens", "ids", "round_trip")
+    others = [c for c in docs.columns if c not in ("text", *made)]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in others]).alias("doc"), "text")
+    both = encode_and_decode(rows)
+    return both.select("doc.*", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
-STAGES = [(f.__name__, stage(f)) for f in (quality_rules, near_dedup, decontamination, secret_scan, bpe)]
+STAGES = [(f.__name__, f) for f in (quality_rules, near_dedup, decontamination, secret_scan, bpe)]
 #: The vocabularies and the edit distance have no SQL.
 ORACLE_SQL = None
 
