@@ -58,18 +58,41 @@ def crossed_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x @ y.T).reshape(len(a), 5, len(b), 5).transpose(0, 2, 1, 3).reshape(len(a), len(b), 25)
 
 
+#: Substitutions per site that stand for all distances that are larger, infinite or undefined when a tree is built: Jukes-Cantor
+#: reaches them 0.001 below the share of differing sites (0.75) from which it is undefined. Shares of sites end at 1.
+SATURATED, SHARE = 5.0, 1.0
+
+
+def settled(counts: np.ndarray, d: np.ndarray, model: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distances that trees can be built of, and where the model defines one. Sequences that differ at no common site are 0 apart in every
+    form of a model; other undefined distances, and those beyond saturation, are SATURATED (SHARE for the share of sites)."""
+    n = counts.reshape(-1, 5, 5)
+    defined = np.isfinite(d)
+    sites = n[:, :4, :4].sum(axis=(1, 2))
+    same = (np.trace(n[:, :4, :4], axis1=1, axis2=2) == sites) & (sites > 0)
+    top = SHARE if model == "p" else SATURATED
+    return np.where(defined, np.minimum(np.where(defined, d, 0.0), top), np.where(same, 0.0, top)), defined
+
+
 def alignment_metric(model: str = "jc", compat: bool = False, aln: str = "seq") -> Metric:
-    """The distances of all sequences of one table to all of another, a bounded block of pairs at a time."""
+    """The distances of all sequences of one table to all of another, settled, a bounded block of pairs at a time. Its attribute `flagged` gives
+    them with where they are defined."""
 
-    def metric(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    def flagged(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         x, y = coded(a[aln]), coded(b[aln])
-        out = np.zeros((len(x), len(y)))
+        out, defined = np.zeros((len(x), len(y))), np.zeros((len(x), len(y)), bool)
         for k in range(0, len(x), 64):
             for j in range(0, len(y), 512):
                 counts = crossed_counts(x[k : k + 64], y[j : j + 512])
-                out[k : k + 64, j : j + 512] = distances(counts.reshape(-1, 25), model, compat).reshape(counts.shape[:2])
-        return out
+                flat, here = counts.reshape(-1, 25), (slice(k, k + 64), slice(j, j + 512))
+                made = settled(flat, distances(flat, model, compat), model)
+                out[here], defined[here] = (v.reshape(counts.shape[:2]) for v in made)
+        return out, defined
+
+    def metric(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+        return flagged(a, b)[0]
 
+    metric.flagged = flagged
     return metric
 
 
@@ -149,7 +172,8 @@ def pair_distances(alignments: DataFrame, group: str, model: str, compat: bool =
 
     def blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x, y = (rows[rows["__own"] == k].reset_index(drop=True) for k in key[1:])
-        d = metric(x, y)
+        d, defined = metric.flagged(x, y)
+        d[~defined] = np.nan
         p, q = np.triu_indices(len(x), 1) if key[1] == key[2] else (v.ravel() for v in np.indices(d.shape))
         i, j = x["ord"].to_numpy()[p], y["ord"].to_numpy()[q]
         return pd.DataFrame({group: key[0], "i": np.minimum(i, j), "j": np.maximum(i, j), "d": d[p, q]})

@@ -234,6 +234,23 @@ def nj_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(T.tip_paths(order_tips(spark, sf_dir), "grp", nested_metric, "nj").drop("depth"), "first", "total")
 
 
+def holed_metric(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
+    """The path lengths without those of orders whose keys add up to a multiple of 5 (undefined) or of 7 (infinite)."""
+    d, both = nested_metric(a, b), a["ord"].to_numpy()[:, None] + b["ord"].to_numpy()[None]
+    return np.where(both % 5 == 0, np.nan, np.where(both % 7 == 0, np.inf, d))
+
+
+def nj_undefined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per customer what neighbor joining makes of distances with holes: nodes that have a parent, different ones of them, roots, and lengths
+    that are no number."""
+    tips = order_tips(spark, sf_dir)
+    edges = materialized(T.build_trees(tips, "grp", holed_metric, "nj"), "holed-trees")
+    per = edges.groupBy("grp").agg(F.count("*").alias("n_edges"), F.count_distinct("node").alias("n_children"), F.count(F.when(F.isnan("len") | F.col("len").isNull() | (F.abs("len") > 1e9), 1)).alias("n_bad"))
+    roots = edges.select("grp", F.col("parent").alias("node")).distinct().join(edges.select("grp", "node"), ["grp", "node"], "left_anti").groupBy("grp").agg(F.count("*").alias("n_roots"))
+    every = tips.groupBy("grp").agg(F.count("*").alias("n_tips"))
+    return every.join(per, "grp", "left").join(roots, "grp", "left").na.fill(0)
+
+
 def _placed(algorithm: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rounded(T.tip_paths(order_tips(spark, sf_dir), "grp", nested_metric, algorithm), "first", "total", "depth")
@@ -480,6 +497,7 @@ QUERIES = {
     "row_sums_u": row_sums_u,
     "nj_q_argmin": nj_q_argmin,
     "nj_paths": nj_paths,
+    "nj_undefined": nj_undefined,
     "place_exact": _placed("exact"),
     "place_k_closest": _placed("k_closest"),
     "divide_and_conquer": divide_and_conquer,
@@ -506,6 +524,7 @@ ORACLES = {
     **{f"dist_{m}_as_written": _distance_sql(m, True) for m in ("tn", "tamura")},
     "row_sums_u": f"WITH {TIPS} SELECT grp, i, round(sum(d)::DOUBLE, 6) AS u FROM d GROUP BY grp, i HAVING count(*) > 1",
     "nj_q_argmin": Q_SQL,
+    "nj_undefined": f"WITH {TIPS} SELECT grp, count(*) AS n_tips, 2 * count(*) - 2 AS n_edges, 2 * count(*) - 2 AS n_children, 0 AS n_bad, CASE WHEN count(*) > 1 THEN 1 ELSE 0 END AS n_roots FROM tips GROUP BY grp",
     "nj_paths": f"{PATHS} SELECT grp, ord, first, total FROM s",
     "place_exact": f"{PATHS} SELECT grp, ord, first, total, depth FROM s",
     "place_k_closest": f"{PATHS} SELECT grp, ord, first, total, depth FROM s",

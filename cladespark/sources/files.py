@@ -56,9 +56,12 @@ def read_phylip_sequences(spark: SparkSession, path: str) -> DataFrame:
 
 def read_phylip_matrix(spark: SparkSession, path: str, single: bool = False) -> tuple[DataFrame, DataFrame]:
     """(names: i, name; distances: i, j < i, d). Lower triangles and square matrices; values beyond the triangle are left out.
-    single: values go through 32-bit floats. Rows are numbered by their place in a partition and the sizes of earlier partitions."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.trim(F.regexp_replace("value", "\r", "")).alias("v"))
-    rows = lines.where(~F.col("v").rlike(r"^\d+$") & (F.col("v") != "")).select("at", F.split("v", r"\s+").alias("p"))
+    single: values go through 32-bit floats. The first line of each file is the count, if it is a number alone. Rows are numbered by their place in a partition and the sizes of earlier partitions."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.input_file_name().alias("file"), F.trim(F.regexp_replace("value", "\r", "")).alias("v"))
+    lines = lines.where(F.col("v") != "")
+    heads = lines.groupBy("file").agg(F.min_by("v", "at").alias("head"), F.min("at").alias("__at")).where(F.col("head").rlike(r"^\d+$")).select("__at")
+    rows = lines.join(heads, F.col("at") == F.col("__at"), "left_anti").select("at", F.split("v", r"\s+").alias("p"))
+    rows = rows.repartitionByRange("at").sortWithinPartitions("at")
     rows = materialized(rows.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "matrix-rows")
     # one row for each partition of the file
     sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("low"))
@@ -69,8 +72,21 @@ def read_phylip_matrix(spark: SparkSession, path: str, single: bool = False) ->
     return names.select("i", "name"), cells.select("i", "j", value.alias("d"))
 
 
+def _quoted(text: str, at: int) -> tuple[str, int]:
+    """The quoted name that starts at `at` ('' inside it stands for one quotation mark), and where it ends."""
+    out, at = [], at + 1
+    while True:
+        end = text.index("'", at)
+        out.append(text[at:end])
+        if text[end + 1 : end + 2] != "'":
+            return "".join(out), end + 1
+        out.append("'")
+        at = end + 2
+
+
 def parse_newick(text: str) -> list[tuple[int, int | None, str | None, float | None]]:
-    """(node, parent, name, length) of a tree; quoted names, and labels of inner nodes as names; the root's parent is None."""
+    """(node, parent, name, length) of a tree; quoted names, comments in square brackets (left out, nested ones too), and labels of inner nodes as
+    names; the root's parent is None."""
     rows, stack, node, at = [[0, None, None, None]], [], 0, 0
     text = text.strip()
     while at < len(text) and text[at] != ";":
@@ -88,18 +104,30 @@ def parse_newick(text: str) -> list[tuple[int, int | None, str | None, float | N
                 raise ValueError("brackets do not match")
             node, at = stack.pop(), at + 1
         elif c == "'":
-            end = text.index("'", at + 1)
-            rows[node][2], at = text[at + 1 : end], end + 1
+            rows[node][2], at = _quoted(text, at)
+        elif c == "[":
+            deep = 0
+            while at < len(text):
+                deep += (text[at] == "[") - (text[at] == "]")
+                at += 1
+                if not deep:
+                    break
+            if deep:
+                raise ValueError("a comment does not end")
         elif c == ":":
             end = at + 1
-            while end < len(text) and text[end] not in ",();":
+            while end < len(text) and text[end] not in ",();[":
                 end += 1
+            if not text[at + 1 : end].strip() and text[end : end + 1] == "[":  # a comment between the colon and the length
+                at = text.index("]", end)
+                text = text[:at] + ":" + text[at + 1 :]
+                continue
             rows[node][3], at = float(text[at + 1 : end]), end
         elif c.isspace():
             at += 1
         else:
             end = at
-            while end < len(text) and text[end] not in ",():;'":
+            while end < len(text) and text[end] not in ",():;'[":
                 end += 1
             rows[node][2], at = text[at:end].strip(), end
     if stack:
@@ -107,6 +135,13 @@ def parse_newick(text: str) -> list[tuple[int, int | None, str | None, float | N
     return [tuple(r) for r in rows]
 
 
+def newick_label(name: str | None) -> str:
+    """Names with white space or signs of the format in quotation marks, with those inside doubled; an empty name is a quoted one."""
+    if name is None:
+        return ""
+    return name if name and not any(c in "(),:;'[]" or c.isspace() for c in name) else "'" + name.replace("'", "''") + "'"
+
+
 def trees_from_newick(trees: DataFrame) -> DataFrame:
     """trees: tree, newick. Rows tree, node, parent, name, len (each tree has to fit one row)."""
     kind = trees.schema["tree"].dataType.simpleString()
@@ -134,8 +169,7 @@ def newick_of(rows: list[tuple[int, int | None, str | None, float | None]], digi
             out.append(item)
             continue
         node, _, name, length = item
-        label = "" if name is None else "'" + name + "'" if any(c in name for c in " ,():;") else name
-        end = label + ("" if length is None else f":{length:.{digits}g}")
+        end = newick_label(name) + ("" if length is None else f":{length:.{digits}g}")
         if node not in below or closing:
             out.append((")" if closing else "") + end)
             continue

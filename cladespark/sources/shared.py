@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_written: list[str] = []
+#: The lists that take the paths of tables written inside `temporary`, by thread: the tables of other threads are not touched.
+_collecting: ContextVar[tuple[list[str], ...]] = ContextVar("collecting", default=())
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: lineage ends there, and lost executors lose none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
+    for paths in _collecting.get():
+        paths.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -39,8 +42,6 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 def delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    if path in _written:
-        _written.remove(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -50,10 +51,13 @@ def discard(df: DataFrame) -> None:
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[list[str]]:
-    """Deletes at its end the tables that were written meanwhile, but those whose paths are put into the list it gives."""
-    before, keep = set(_written), []
+    """Deletes at its end the tables that this thread wrote meanwhile, but those whose paths are put into the list it gives."""
+    mine, keep = [], []
+    token = _collecting.set((*_collecting.get(), mine))
     try:
         yield keep
     finally:
-        for path in [p for p in _written if p not in before and p not in keep]:
-            delete(spark, path)
+        _collecting.reset(token)
+        for path in mine:
+            if path not in keep:
+                delete(spark, path)
