@@ -362,7 +362,7 @@ def test_divide_and_conquer_gives_back_the_tree(spark):
     rows = tips.orderBy("ord").toPandas()
     want = Q.nested_metric(rows, rows)
     for most, chunk in ((4, 9), (500, 4000)):
-        edges = [tuple(r) for r in place_tips(tips, Q.nested_metric, backbone=4, most=most, chunk=chunk, compat=False).collect()]
+        edges = [tuple(r) for r in place_tips(tips, Q.nested_metric, begin=4, most=most, chunk=chunk, compat=False).collect()]
         assert len(edges) == 2 * len(rows) - 2 and len({c for c, *_ in edges}) == len(edges)
         assert np.allclose(path_lengths(edges, rows["ord"].tolist()), want)
 

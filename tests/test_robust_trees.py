@@ -80,7 +80,7 @@ def test_equal_tips_are_placed_once(spark, monkeypatch):
     for every in (tips, more):
         rows = every.toPandas()
         rounds.clear()
-        edges = [tuple(r) for r in P.place_tips(every, Q.nested_metric, backbone=4, most=4, chunk=9, compat=False, content="same").collect()]
+        edges = [tuple(r) for r in P.place_tips(every, Q.nested_metric, begin=4, most=4, chunk=9, compat=False, content="same").collect()]
         a_tree(edges, len(rows))
         assert len(rounds) <= 6
         want = Q.nested_metric(rows, rows)
