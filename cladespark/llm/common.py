@@ -6,7 +6,9 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,8 +87,32 @@ def release(kind: str) -> None:
             pass  # only glibc has it
 
 
-#: Rows that Python works on at once: bounds the memory of what it makes of them.
-ROWS = 500
+#: Rows, and bytes of their values, that Python works on at once: bounds the memory of what it makes of them (a longer value alone).
+ROWS, BYTES = 500, 1 << 20
+
+
+def _bytes(values: pa.Array) -> np.ndarray:
+    """About how many bytes each value has; none for kinds of fixed size."""
+    kind = values.type
+    if pa.types.is_struct(kind):
+        return sum((_bytes(values.field(k)) for k in range(kind.num_fields)), np.zeros(len(values), np.int64))
+    if pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        sizes = pc.binary_length(values)
+    elif pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        sizes = pc.multiply(pc.list_value_length(values), 8)
+    else:
+        return np.zeros(len(values), np.int64)
+    return np.asarray(sizes.cast(pa.int64()).fill_null(0))
+
+
+def portions(values: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of portions of at most ROWS values and about BYTES bytes."""
+    ends, start = np.cumsum(_bytes(values)), 0
+    while start < len(values):
+        before = int(ends[start - 1]) if start else 0
+        n = min(ROWS, max(1, int(np.searchsorted(ends[start : start + ROWS], before + BYTES, "right"))))
+        yield start, n
+        start += n
 
 
 def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Callable[[list], list]]) -> DataFrame:
@@ -94,7 +120,7 @@ def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Calla
     struct column: a.b, so that a packed row goes to Python and back once).
 
     maker runs once in each task and gives a function: values (None where null) -> one list of results for each new column.
-    It gets ROWS values at a time, however many rows Spark sends at once.
+    It gets a portion at a time (see portions), however many rows Spark sends at once.
     """
     new = T._parse_datatype_string(fields)
     if any("." in c or "`" in c for c in df.columns):  # Spark looks for them as paths on their way to Python
@@ -109,12 +135,12 @@ def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Calla
         release(f"{maker.__module__}.{maker.__qualname__}")
         make = maker()
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                values = part.column(of)
-                for field in inside:
-                    values = values.field(field)
-                made = make(values.to_pylist())
+            every = batch.column(of)
+            for field in inside:
+                every = every.field(field)
+            for k, n in portions(every):
+                part = batch.slice(k, n)
+                made = make(every.slice(k, n).to_pylist())
                 arrays = [part.column(n) for n in names] + [pa.array(m, kind) for m, kind in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *new.names])
 

@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -14,7 +15,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cladespark.llm import bpe, chat, decontamination, near_dup, quality_classifier, quality_rules, registry, secrets, sketch, token_counts, toxicity, warc
+from cladespark.llm import bpe, chat, common, decontamination, near_dup, quality_classifier, quality_rules, registry, secrets, sketch, token_counts, toxicity, warc
 from cladespark.llm.common import held_out, materialized, without
 from cladespark.llm.components import components
 
@@ -60,6 +61,15 @@ def test_odd_and_empty_tables(spark, odd_dir, empty_dir, name):
     assert len(rows) == 10 or name in ("op2_decontamination", "op3_warc", "op4_chat", "op11_spelling_variants")
 
 
+def test_portions_by_rows_and_bytes():
+    for values in (pa.array(["x" * k for k in (3, 1 << 20, 5, 0)] * 300 + [None] * 700), pa.array([[1] * 1000, None] * 400), pa.array([{"a": "y" * 5000, "b": 1}, None] * 600), pa.array([], pa.string())):
+        cut = [*common.portions(values)]
+        assert [s for s, _ in cut] == [sum(n for _, n in cut[:k]) for k in range(len(cut))] and sum(n for _, n in cut) == len(values)
+        sizes = common._bytes(values)
+        assert all(n <= common.ROWS and (n == 1 or sizes[s : s + n].sum() <= common.BYTES) for s, n in cut)
+        assert len(cut) <= 2 + 2 * sizes.sum() // common.BYTES + len(values) // 250
+
+
 CLASHES = ("__at", "__row", "__maybe", "__words", "doc", "key", "kept", "score", "n_tokens", "script", "features", "size", "again", "held", "text1", "a.b")
 
 
