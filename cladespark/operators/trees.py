@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cladespark.operators.distance import Metric
 from cladespark.operators.kernels import NEAREST, neighbor_joining, path_lengths, place_all
-from cladespark.sources.shared import materialized
+from cladespark.sources.shared import discard, materialized
 
 TREE = "node long, parent long, len double"
 
@@ -108,6 +108,86 @@ def subtree(tree: DataFrame, values: dict[str, tuple[Column, tuple]]) -> DataFra
     return state.drop("up")
 
 
+def along(tree: DataFrame, values: dict[str, tuple[Column, Callable[[Column, Column], Column]]]) -> DataFrame:
+    """values: column -> (value of a node, how two become one: associative, and equal values may count twice). Per node: node, parent and
+    the values brought together over the node and all above it, in as many rounds as the depth has binary digits."""
+    state = tree.select("node", F.col("parent").alias("up"), "parent", *[v.alias(c) for c, (v, _) in values.items()])
+    older = None
+    while True:
+        state = materialized(state, "along")
+        if older is not None:
+            discard(older)
+        if not state.where("up IS NOT NULL").head(1):
+            return state.drop("up")
+        above = state.select(F.col("node").alias("__node"), F.col("up").alias("__next"), *[F.col(c).alias(f"__{c}") for c in values])
+        got = state.join(above, F.col("up") == F.col("__node"), "left")
+        older, state = state, got.select("node", F.col("__next").alias("up"), "parent", *[F.when(F.col("__node").isNull(), F.col(c)).otherwise(how(F.col(c), F.col(f"__{c}"))).alias(c) for c, (_, how) in values.items()])
+
+
+def patristic(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """tree: node, parent (null at the root), len; pairs: a, b (nodes), and others. The pairs with lca (their lowest common ancestor), edges and
+    d (the number and the length of the edges between them). Pairs with a node that is not in the tree are left out.
+
+    A node is above another if its stretch of the preorder holds it. Each pair climbs from a by strides of halving length, as long as
+    it stays below the common ancestor; the strides of each length are a table (ancestors of all nodes), so a climb is one equi-join
+    for each binary digit of the depth."""
+    sizes = subtree(tree, {"n": (F.lit(1).cast("long"), SUM)}).select(F.col("node").alias("__s"), F.col("n").alias("size"))
+    info = depths(tree).join(preorder(tree).select(F.col("node").alias("__n"), "place"), F.col("node") == F.col("__n")).join(sizes, F.col("node") == F.col("__s"))
+    info = materialized(info.select("node", "parent", "depth", "path", "place", (F.col("place") + F.col("size")).alias("end")), "nodes")
+    spans = info.select(F.col("node").alias("__u"), F.col("place").alias("low"), F.col("end").alias("high"))
+    strides, level = [], info.select("node", F.col("parent").alias("up"))
+    while True:
+        level = materialized(level.where("up IS NOT NULL").join(spans, F.col("up") == F.col("__u")).select("node", "up", "low", "high"), "strides")
+        if not level.head(1):
+            break
+        strides.append(level)
+        level = level.select("node", "up").join(level.select(F.col("node").alias("__node"), F.col("up").alias("__next")), F.col("up") == F.col("__node")).select("node", F.col("__next").alias("up"))
+    of = lambda c: info.select(F.col("node").alias(f"__{c}"), *[F.col(v).alias(f"__{v}_{c}") for v in ("depth", "path", "place", "end")])
+    state = pairs.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b")).withColumn("__x", F.col("a"))
+    inside = lambda low, high: (F.col(low) <= F.col("__place_b")) & (F.col("__place_b") < F.col(high))
+    for stride in reversed(strides):
+        step = stride.select(F.col("node").alias("__at"), F.col("up").alias("__up"), "low", "high")
+        got = state.join(step, F.col("__x") == F.col("__at"), "left")
+        state = got.withColumn("__x", F.when(F.col("__up").isNotNull() & ~inside("low", "high"), F.col("__up")).otherwise(F.col("__x"))).drop("__at", "__up", "low", "high")
+    over = info.select(F.col("node").alias("__at"), F.col("parent").alias("__over"))
+    found = state.join(over, F.col("__x") == F.col("__at")).withColumn("lca", F.when(inside("__place_a", "__end_a"), F.col("a")).otherwise(F.col("__over")))
+    top = info.select(F.col("node").alias("__l"), F.col("depth").alias("__deep"), F.col("path").alias("__far"))
+    found = found.join(top, F.col("lca") == F.col("__l"))
+    return found.select(*[F.col(f"`{c}`") for c in pairs.columns], "lca", (F.col("__depth_a") + F.col("__depth_b") - 2 * F.col("__deep")).alias("edges"), (F.col("__path_a") + F.col("__path_b") - 2 * F.col("__far")).alias("d"))
+
+
+def edge_costs(tree: DataFrame, told: DataFrame) -> DataFrame:
+    """tree: node, parent, len; told: query, leaf (a node of the tree), d. For every query and edge where the query would be put: query, node,
+    parent, split (from the parent) and pendant; the least pendant is the best edge.
+
+    The bound of a query at an end of an edge is the largest d - path over the leaves behind that end (0 at least). Below a node that is a
+    largest d - depth; outside of it, leaves leave the way to the root at some ancestor, so it is a largest of ancestors. So
+    there is one pass up (subtree) and one down (along), for all queries at once, however deep the tree is."""
+    deep = materialized(depths(tree).select("node", "parent", F.coalesce("len", F.lit(0.0)).alias("len"), "path"), "deep")
+    asked = told.select("query").distinct()
+    sized = asked.join(deep, F.lit(True))  # every query meets every node: that is the result's size
+    rows = sized.join(told.select(F.col("query").alias("__q"), F.col("leaf").alias("__leaf"), "d"), (F.col("query") == F.col("__q")) & (F.col("node") == F.col("__leaf")), "left")
+    keyed = materialized(rows.select(F.struct("query", "node").alias("node"), F.when(F.col("parent").isNotNull(), F.struct("query", F.col("parent").alias("node"))).alias("parent"), "len", "path", (F.col("d") - F.col("path")).alias("own")), "queries-nodes")
+    up = subtree(keyed, {"most": (F.col("own"), MAX)}).select(F.col("node").alias("__node"), "most")
+    low = materialized(keyed.join(up, F.col("node") == F.col("__node")).drop("__node"), "lower-bounds")
+    # the largest of the other children, and what the parent itself has
+    best = low.where("parent IS NOT NULL").groupBy("parent").agg(F.max(F.struct("most", "node")).alias("first"), F.count("most").alias("n"))
+    second = low.where("parent IS NOT NULL").join(best.select(F.col("parent").alias("__p"), F.col("first.node").alias("__top")), F.col("parent") == F.col("__p"))
+    second = second.where(F.col("node") != F.col("__top")).groupBy(F.col("parent").alias("__s")).agg(F.max("most").alias("second"))
+    over = low.select(F.col("node").alias("__o"), F.col("path").alias("over"), F.col("own").alias("over_own"))
+    side = low.join(best.withColumnRenamed("parent", "__p"), F.col("parent") == F.col("__p"), "left").join(second, F.col("parent") == F.col("__s"), "left").join(over, F.col("parent") == F.col("__o"), "left")
+    others = F.greatest(F.when(F.col("node") == F.col("first.node"), F.col("second")).otherwise(F.col("first.most")), F.col("over_own"))
+    side = side.select("node", "parent", "len", "path", "most", "over", (others + 2 * F.col("over")).alias("beside"))
+    far = along(side, {"beside": (F.col("beside"), lambda a, b: F.greatest(a, b))}).select(F.col("node").alias("__node"), F.col("beside").alias("outer"))
+    both = side.join(far, F.col("node") == F.col("__node")).where("parent IS NOT NULL")
+    a, b, length = F.greatest(F.coalesce(F.col("outer") - F.col("over"), F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce(F.col("most") + F.col("path"), F.lit(0.0)), F.lit(0.0)), F.col("len")
+    bound = both.select("node", "parent", "len", a.alias("a"), b.alias("b")).withColumn("pendant", F.greatest(F.lit(0.0), (F.col("a") + F.col("b") - length) / 2))
+    bound = bound.withColumns({end: F.greatest(F.lit(0.0), F.col(end) - F.col("pendant")) for end in ("a", "b")})
+    for end in ("a", "b"):
+        bound = bound.withColumn("more", F.greatest(F.lit(0.0), F.col(end) - length)).withColumn(end, F.col(end) - F.col("more")).withColumn("pendant", F.col("pendant") + F.col("more"))
+    return bound.select("node.query", "node.node", F.col("parent.node").alias("parent"), (F.col("a") + (length - F.col("a") - F.col("b")) / 2).alias("split"), "pendant")
+
+
 def leaf_counts(tree: DataFrame) -> DataFrame:
     """Per inner node: node, n_leaves, n_nodes (below it)."""
     got = subtree(tree, {"n_leaves": (F.col("is_leaf").cast("long"), SUM), "n_nodes": (F.lit(1).cast("long"), SUM)})

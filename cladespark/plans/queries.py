@@ -12,7 +12,7 @@ from cladespark.functions.nucleotides import canonical, kmers, nucleotides, piec
 from cladespark.operators import distance as D
 from cladespark.operators import trees as T
 from cladespark.operators.build import add_to_tree, build_tree
-from cladespark.operators.placement import place_tips
+from cladespark.operators.placement import GIVEN, add_tips, place_tips
 from cladespark.operators.sketch import mash_pairs, mash_search, sketches
 from cladespark.sources.shared import materialized
 
@@ -417,6 +417,55 @@ def rescale_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(t, "least", "most", "mean")
 
 
+def patristic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each order is from the order of the next key, and each customer from each region's first nation and its own."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    pairs = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("o"), F.col("o_orderkey") + 1).alias("b"))
+    nations = customers.select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.explode(F.array(*[F.concat(F.lit("n"), F.lit(k)) for k in range(5)], F.concat(F.lit("n"), "c_nationkey"))).alias("b")).distinct()
+    return _rounded(T.patristic(tree_table(spark, sf_dir), pairs.union(nations)), "d")
+
+
+def place_edge_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where three new tips, at distances of no tree, would be put on every edge of the tree of all nations and suppliers."""
+    s = table(spark, sf_dir, "supplier")
+    t = lambda letter, key: F.concat(F.lit(letter), F.col(key))
+    tree = s.select(t("s", "s_suppkey").alias("node"), t("n", "s_nationkey").alias("parent"), (0.01 * (1 + F.col("s_suppkey") % 7)).alias("len"))
+    own = table(spark, sf_dir, "nation").join(s.select(F.col("s_nationkey").alias("n_nationkey")).distinct(), "n_nationkey", "left_semi")
+    tree = tree.union(own.select(t("n", "n_nationkey"), t("r", "n_regionkey"), 0.05 * (1 + F.col("n_nationkey") % 5))).union(own.select(t("r", "n_regionkey"), F.lit("root"), 0.1 * (1 + F.col("n_regionkey"))).distinct())
+    tree = tree.union(own.limit(1).select(F.lit("root"), F.lit(None).cast("string"), F.lit(None).cast("double")))
+    told = s.select(F.explode(F.array(*[F.lit(q) for q in range(3)])).alias("query"), t("s", "s_suppkey").alias("leaf"), (((F.col("s_suppkey") * 7919 + F.col("query") * 104729) % 1000) / 900.0).alias("d"))
+    return _rounded(T.edge_costs(tree, told), "split", "pendant")
+
+
+def build_tree_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each supplier is from the first eight in the tree that neighbor joining makes of the distances of all suppliers."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    s = s.select(F.col("s_suppkey").cast("int").alias("i"), "s_nationkey", "n_regionkey")
+    a, b = s.toDF("i", "ni", "ri"), s.toDF("j", "nj", "rj")
+    own = lambda k: 0.01 * (1 + F.col(k) % 7)
+    edge = lambda x, y, w: F.when(F.col(x) != F.col(y), w(x) + w(y)).otherwise(0.0)
+    d = own("i") + own("j") + edge("ni", "nj", lambda c: 0.02 * (1 + F.col(c) % 5)) + edge("ri", "rj", lambda c: 0.03 * (1 + F.col(c)))
+    cells = a.join(b, F.col("j") < F.col("i")).select("i", "j", d.alias("d"))
+    tree = materialized(build_tree(cells, "matrix", "nj", names=s.select("i", F.col("i").cast("string").alias("name"))), "supplier-tree")
+    pairs = s.select(F.col("i").cast("long").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("b")).where("a > b")
+    return _rounded(T.patristic(tree, pairs).select("a", "b", "d"), "d")
+
+
+def add_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each customer is from the next in the given tree of regions, nations and every fourth customer with all others added
+    to it, as a table that no task holds."""
+    tips = materialized(customer_tips(spark, sf_dir), "customer-tips")
+    old = tips.where(F.col("ord") % 4 == 0)
+    nation, region = F.lit(GIVEN) - 100 - F.col("inner_"), F.lit(GIVEN) - 10 - F.col("outer_")
+    given = old.select(F.col("ord").alias("node"), nation.alias("parent"), F.col("p").alias("len")).union(old.select(nation, region, "e").distinct()).union(old.select(region, F.lit(GIVEN), "r").distinct())
+    edges = materialized(add_tips(materialized(given, "given-tree"), tips, nested_metric, compat=False, held=20), "grown")
+    roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select("node"), "node", "left_anti")
+    tree = edges.unionByName(roots.select("node", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("double").alias("len")))
+    key = F.col("ord") % 1_000_000_000
+    pairs = tips.select(key.alias("k"), F.col("ord").alias("a")).join(tips.select((key - 1).alias("k"), F.col("ord").alias("b")), "k").select("a", "b")
+    return _rounded(T.patristic(tree, pairs).select("a", "b", "d"), "d")
+
+
 def clade_rf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer: the tree of orders by status and priority against the one by priority and status."""
     tips = order_tips(spark, sf_dir).select("grp", "ord", "outer_", (F.col("inner_") % 10).alias("prio"))
@@ -459,6 +508,29 @@ SELECT above AS node, sum(leaf)::BIGINT AS n_leaves, count(*) AS n_nodes FROM up
 SELECT node, coalesce(parent, '') AS parent FROM nodes WHERE node IN (SELECT node FROM kept)""",
     "rescale_lengths": f"""WITH {NODES}, s AS (SELECT substr(node, 1, 1) AS level, CASE WHEN len = 0 THEN 0 WHEN len / 2 <= 0 THEN 1e-7::DOUBLE ELSE len / 2 END AS len FROM nodes WHERE len IS NOT NULL)
 SELECT level, count(*) AS n, round(min(len) FILTER (len <> 0), 6) AS least, round(max(len) FILTER (len <> 0), 6) AS most, round(avg(len) FILTER (len <> 0), 6) AS mean FROM s GROUP BY level""",
+    "patristic_pairs": f"""WITH RECURSIVE {NODES}, up AS (SELECT node, node AS above, 0::DOUBLE AS way, 0::BIGINT AS k FROM nodes
+  UNION ALL SELECT u.node, n.parent, u.way + n.len, u.k + 1 FROM up u JOIN nodes n ON n.node = u.above WHERE n.parent IS NOT NULL),
+pairs AS (SELECT 'o' || o_orderkey AS a, 'o' || (o_orderkey + 1) AS b FROM orders UNION SELECT 'c' || c_custkey, 'n' || unnest([0, 1, 2, 3, 4, c_nationkey]) FROM customer)
+SELECT a, b, x.above AS lca, x.k + y.k AS edges, round(x.way + y.way, 6) AS d FROM pairs JOIN up x ON x.node = a JOIN up y ON y.node = b AND y.above = x.above
+QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY x.k) = 1""",
+    "place_edge_costs": """WITH RECURSIVE edges AS (SELECT 's' || s_suppkey AS node, 'n' || s_nationkey AS parent, 0.01::DOUBLE * (1 + s_suppkey % 7) AS len FROM supplier
+  UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey, 0.05::DOUBLE * (1 + n_nationkey % 5) FROM nation JOIN supplier ON s_nationkey = n_nationkey
+  UNION SELECT 'r' || n_regionkey, 'root', 0.1::DOUBLE * (1 + n_regionkey) FROM nation JOIN supplier ON s_nationkey = n_nationkey),
+links AS (SELECT node AS x, parent AS y, len FROM edges UNION ALL SELECT parent, node, len FROM edges),
+ways AS (SELECT 's' || s_suppkey AS leaf, 's' || s_suppkey AS at_, '' AS back, 0::DOUBLE AS far FROM supplier
+  UNION ALL SELECT w.leaf, l.y, w.at_, w.far + l.len FROM ways w JOIN links l ON l.x = w.at_ AND l.y <> w.back),
+told AS (SELECT q AS query, 's' || s_suppkey AS leaf, (s_suppkey * 7919 + q * 104729) % 1000 / 900.0::DOUBLE AS d FROM supplier, (SELECT unnest(range(3)) AS q)),
+ends AS (SELECT query, l.x, l.y, greatest(0, max(d - far)) AS bound FROM links l JOIN ways w ON w.at_ = l.x AND w.back <> l.y JOIN told t ON t.leaf = w.leaf GROUP BY ALL),
+ab AS (SELECT query, e.node, e.parent, e.len, coalesce(f.bound, 0) AS a, coalesce(g.bound, 0) AS b FROM edges e CROSS JOIN (SELECT unnest(range(3)) AS query) LEFT JOIN ends f USING (query) LEFT JOIN ends g USING (query)
+  WHERE f.x = e.parent AND f.y = e.node AND g.x = e.node AND g.y = e.parent),
+p0 AS (SELECT *, greatest(0, (a + b - len) / 2) AS p FROM ab), p1 AS (SELECT * REPLACE (greatest(0, a - p) AS a, greatest(0, b - p) AS b) FROM p0),
+p2 AS (SELECT * REPLACE (a - greatest(0, a - len) AS a, p + greatest(0, a - len) AS p) FROM p1), p3 AS (SELECT * REPLACE (b - greatest(0, b - len) AS b, p + greatest(0, b - len) AS p) FROM p2)
+SELECT CAST(query AS INT) AS query, node, parent, round(a + (len - a - b) / 2, 6) AS split, round(p, 6) AS pendant FROM p3""",
+    "build_tree_matrix": """WITH s AS (SELECT s_suppkey AS i, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT x.i AS a, y.i AS b, round(0.01::DOUBLE * (2 + x.i % 7 + y.i % 7) + CASE WHEN x.n <> y.n THEN 0.02::DOUBLE * (2 + x.n % 5 + y.n % 5) ELSE 0 END + CASE WHEN x.r <> y.r THEN 0.03::DOUBLE * (2 + x.r + y.r) ELSE 0 END, 6) AS d
+FROM s x JOIN s y ON y.i < 8 AND x.i > y.i""",
+    "add_customers": f"""WITH {CUSTOMERS}, k AS (SELECT *, ord % 1000000000 AS c FROM tips)
+SELECT x.ord AS a, y.ord AS b, round(x.p + y.p + CASE WHEN x.inner_ <> y.inner_ THEN x.e + y.e ELSE 0 END + CASE WHEN x.outer_ <> y.outer_ THEN x.r + y.r ELSE 0 END, 6) AS d FROM k x JOIN k y ON y.c = x.c + 1""",
     "tree_preorder": f"""WITH RECURSIVE {NODES}, down AS (SELECT node, [node] AS way FROM nodes WHERE parent IS NULL
   UNION ALL SELECT n.node, list_append(d.way, n.node) FROM nodes n JOIN down d ON n.parent = d.node) SELECT node, row_number() OVER (ORDER BY way) - 1 AS place FROM down""",
     "leaf_depths": f"""WITH RECURSIVE {NODES}, down AS (SELECT node, 0::BIGINT AS depth, 0::DOUBLE AS path FROM nodes WHERE parent IS NULL
@@ -511,6 +583,10 @@ QUERIES = {
     "prune_leaves": prune_leaves,
     "prune_unary": prune_unary,
     "rescale_lengths": rescale_lengths,
+    "patristic_pairs": patristic_pairs,
+    "place_edge_costs": place_edge_costs,
+    "build_tree_matrix": build_tree_matrix,
+    "add_customers": add_customers,
     "clade_rf": clade_rf,
     "tree_rf": tree_rf,
 }
