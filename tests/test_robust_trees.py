@@ -39,6 +39,42 @@ def test_any_matrix_gives_a_tree(kind):
     assert finite(np.array([[0, np.nan, 2.0], [np.nan, 0, 3.0], [2.0, 3.0, 0]])).tolist() == [[0, 3, 2], [3, 0, 3], [2, 3, 0]]
 
 
+def joined_by_full_search(d):
+    """Neighbor joining that looks at all pairs in every step: (nodes joined) as sets of tips, in order."""
+    d, names, out = d.copy(), [frozenset([k]) for k in range(len(d))], []
+    while len(names) > 2:
+        m, u = len(names), d.sum(axis=1)
+        q = d - (u[:, None] + u[None]) / (m - 2)
+        np.fill_diagonal(q, np.inf)
+        x, y = divmod(int(np.argmax(q <= q.min() + 1e-9)), m)
+        out.append({names[x], names[y]})
+        row = (d[x] + d[y] - d[x, y]) / 2
+        d[x], d[:, x], d[x, x] = row, row, 0
+        names[x] = names[x] | names[y]
+        last = m - 1
+        d[y], d[:, y], d[y, y], names[y] = d[last], d[:, last], 0, names[last]
+        d, names = d[:last, :last].copy(), names[:last]
+    return out
+
+
+def test_bounded_search_joins_what_a_full_one_joins():
+    random = np.random.default_rng(11)
+    for n in (3, 8, 33, 70):
+        for kind in range(3):
+            x = random.uniform(0, 1, (n, 3))
+            d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+            if kind == 1:  # a cluster far from the rest
+                d = d + 3 * (np.arange(n)[:, None] < n // 3) * (np.arange(n)[None] >= n // 3) + 3 * (np.arange(n)[:, None] >= n // 3) * (np.arange(n)[None] < n // 3)
+            if kind == 2:  # ties
+                d = np.round(2 * d)
+            under, got = {k: frozenset([k]) for k in range(n)}, []
+            edges = neighbor_joining(d)
+            for (a, p, _), (b, *_) in zip(edges[::2], edges[1::2]):
+                got.append({under[a], under[b]})
+                under[p] = under[a] | under[b]
+            assert got[:-1] == joined_by_full_search(d)
+
+
 def random_sequences(spark, n, sites, seed):
     random = np.random.default_rng(seed)
     return spark.createDataFrame([(k, f"t{k}", "".join(random.choice(list("ACGT-"), sites)) if k % 5 else "-" * sites) for k in range(n)], "ord long, name string, seq string")
