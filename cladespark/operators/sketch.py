@@ -8,14 +8,16 @@ gives textbook sketches instead: distinct hashes, no filling.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from cladespark.functions.murmur import SEED, biased, murmur_low
+from cladespark.functions.nucleotides import pieces
 from cladespark.operators.distance import Metric
 from cladespark.sources.shared import materialized
 
@@ -27,40 +29,114 @@ _codes[[ord(c) for c in "ACGT"]] = range(4)
 AT_ONCE = 1 << 18
 
 
-def sequence_hashes(seq: str, k: int, seed: int = SEED) -> np.ndarray:
-    """Biased hashes of the canonical k-mers of a sequence of A, C, G and T (k up to 31), in order."""
-    n = len(seq) - k + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
+def _codes_of(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of a sequence and of its reverse complement, and the numbers of all k-mers of each (in order of the letters: the
+    lesser number is the lesser string), the second in the order of the first."""
     if k > 31:
         raise ValueError("k-mers of up to 31 bases")
+    n = len(seq) - k + 1
     ahead = np.frombuffer(seq.encode("ascii"), np.uint8)
     back = np.frombuffer(seq.translate(_complement)[::-1].encode("ascii"), np.uint8)
-    # two bits a base: codes are in the order of the letters, so the lesser number is the lesser string
     number = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
     for j in range(k):
         for v, bases in zip(number, (ahead, back)):
             v <<= np.uint64(2)
             v |= _codes[bases[j : j + n]]
-    lesser = number[0] <= number[1][::-1]
+    return ahead, back, number[0], number[1][::-1]
+
+
+def sequence_hashes(seq: str, k: int, seed: int = SEED) -> np.ndarray:
+    """Biased hashes of the canonical k-mers of a sequence of A, C, G and T (k up to 31), in order."""
+    n = len(seq) - k + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    ahead, back, own, other = _codes_of(seq, k)
+    lesser = own <= other
     windows, others = np.lib.stride_tricks.sliding_window_view(ahead, k), np.lib.stride_tricks.sliding_window_view(back, k)[::-1]
     parts = [murmur_low(np.where(lesser[i : i + AT_ONCE, None], windows[i : i + AT_ONCE], others[i : i + AT_ONCE]), seed) for i in range(0, n, AT_ONCE)]
     return biased(np.concatenate(parts))
 
 
-def sketches(sequences: DataFrame, k: int = 15, size: int = 1000, seed: int = SEED, dedup: bool = False) -> DataFrame:
-    """sequences: seq_id, seq (A, C, G, T). One row each: seq_id, n_kmers, sketch (sorted biased hashes, without filling)."""
+def kmer_table(sequences: DataFrame, k: int = 15, piece: int = 1 << 16) -> DataFrame:
+    """sequences: seq (A, C, G, T). kmer, n: how often each canonical k-mer occurs in all of them (k up to 31).
+
+    Each batch of pieces is counted as two-bit numbers before anything is shuffled; numbers become strings when all are counted."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            numbers = [np.minimum(*_codes_of(part, k)[2:]) for part in batch["part"]]
+            code, n = np.unique(np.concatenate(numbers), return_counts=True) if numbers else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pd.DataFrame({"code": code.view(np.int64), "n": n})
+
+    parts = sequences.select(F.explode(pieces(F.col("seq"), k, piece)).alias("part")).repartition(2 * sequences.sparkSession.sparkContext.defaultParallelism)
+    counts = parts.mapInPandas(counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    letters = F.transform(F.sequence(F.lit(2 * k - 2), F.lit(0), F.lit(-2)), lambda s: F.get(F.array(*map(F.lit, "ACGT")), F.call_function("shiftright", F.col("code"), s).bitwiseAND(3).cast("int")))
+    return counts.select(F.array_join(letters, "").alias("kmer"), "n")
+
+
+#: K-mer starts of a piece of a sequence, and pieces that are merged at once.
+PIECE, MERGED = 1 << 20, 64
+
+
+def bottom(hashes: np.ndarray, size: int, dedup: bool) -> np.ndarray:
+    return (np.unique(hashes) if dedup else np.sort(hashes))[:size]
+
+
+def sketches(sequences: DataFrame, k: int = 15, size: int = 1000, seed: int = SEED, dedup: bool = False, piece: int = PIECE, least: int = 1) -> DataFrame:
+    """sequences: seq_id (once each), seq (A, C, G, T). One row each: seq_id, n_kmers, sketch (sorted biased hashes, without filling).
+
+    Sequences of up to `piece` k-mers are sketched in place. A longer one is cut into pieces that overlap by k - 1 bases, each a
+    row of its own; the smallest hashes of the pieces hold those of the whole, so sketches are merged, MERGED at a time and then all. least: hashes that occur less often in a sequence are left out (of its sketch, not of n_kmers); these are counted over
+    the whole sequence by a shuffle of (sequence, hash)."""
 
     @pandas_udf("n_kmers long, sketch array<long>")
     def sketch(seqs: pd.Series) -> pd.DataFrame:
-        out = []
-        for seq in seqs:
-            h = sequence_hashes(seq or "", k, seed)
-            least = np.unique(h) if dedup else np.sort(h)
-            out.append((len(h), least[:size]))
-        return pd.DataFrame(out, columns=["n_kmers", "sketch"])
-
-    return sequences.select("seq_id", sketch("seq").alias("s")).select("seq_id", "s.*")
+        hashes = [sequence_hashes(seq or "", k, seed) for seq in seqs]
+        return pd.DataFrame([(len(h), bottom(h, size, dedup)) for h in hashes], columns=["n_kmers", "sketch"])
+
+    if least > 1:
+        return _frequent(sequences, k, size, seed, dedup, piece, least)
+    starts = F.length("seq") - (k - 1)
+    short = sequences.where(F.coalesce(starts <= piece, F.lit(True)))
+    here = short.select("seq_id", sketch("seq").alias("s")).select("seq_id", "s.*")
+    long = sequences.where(starts > piece)
+    cut = _pieces(long, k, piece)
+    parts = cut.select("seq_id", "at", sketch("part").alias("s")).select("seq_id", "at", "s.*")
+    # a string has 2^31 letters at most, so few groups are left for the second time
+    parts = _merged(_merged(parts, size, dedup, F.floor(F.col("at") / MERGED)), size, dedup, F.lit(0).cast("long"))
+    return here.unionByName(parts.select("seq_id", "n_kmers", "sketch"))
+
+
+def _pieces(sequences: DataFrame, k: int, piece: int) -> DataFrame:
+    """seq_id, at (number of the piece), part: stretches with `piece` k-mer starts each (the last with what is left), dealt anew."""
+    n = F.ceil((F.length("seq") - (k - 1)) / piece)
+    at = sequences.where(F.length("seq") >= k).select("seq_id", "seq", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("at"))
+    return at.select("seq_id", "at", F.substring(F.col("seq"), (F.col("at") * piece + 1).cast("int"), F.lit(piece + k - 1)).alias("part")).repartition("seq_id", "at")
+
+
+def _merged(parts: DataFrame, size: int, dedup: bool, at: Column) -> DataFrame:
+    kind = parts.schema["seq_id"].dataType.simpleString()
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"seq_id": [key[0]], "at": [key[1]], "n_kmers": [rows["n_kmers"].sum()], "sketch": [bottom(np.concatenate(rows["sketch"].to_numpy()), size, dedup)]})
+
+    return parts.withColumn("at", at).groupBy("seq_id", "at").applyInPandas(merge, f"seq_id {kind}, at long, n_kmers long, sketch array<long>")
+
+
+def _frequent(sequences: DataFrame, k: int, size: int, seed: int, dedup: bool, piece: int, least: int) -> DataFrame:
+    @pandas_udf("h array<long>, n array<long>")
+    def counted(parts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([np.unique(sequence_hashes(p, k, seed), return_counts=True) for p in parts], columns=["h", "n"])
+
+    each = _pieces(sequences, k, piece).select("seq_id", counted("part").alias("c")).select("seq_id", F.explode(F.arrays_zip("c.h", "c.n")).alias("z"))
+    counts = materialized(each.groupBy("seq_id", F.col("z.h").alias("h")).agg(F.sum("z.n").alias("n")), "kmer-counts")
+    totals = counts.groupBy("seq_id").agg(F.sum("n").alias("n_kmers"))
+    low = Window.partitionBy("seq_id").orderBy("h")
+    few = counts.where(F.col("n") >= least).withColumn("r", F.row_number().over(low)).where(F.col("r") <= size)
+    repeated = few.select("seq_id", F.struct("h", (F.lit(1) if dedup else F.least("n", F.lit(size))).alias("n")).alias("x")).groupBy("seq_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    hashes = F.slice(F.flatten(F.transform("x", lambda x: F.array_repeat(x["h"], x["n"].cast("int")))), 1, size)
+    got = sequences.select("seq_id").join(totals, "seq_id", "left").join(repeated, "seq_id", "left")
+    return got.select("seq_id", F.coalesce("n_kmers", F.lit(0)).cast("long").alias("n_kmers"), F.coalesce(hashes, F.array().cast("array<bigint>")).alias("sketch"))
 
 
 def filled(sketch: np.ndarray, size: int) -> np.ndarray:

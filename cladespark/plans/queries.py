@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladespark.functions.murmur import decimal_hash, murmur_hash
-from cladespark.functions.nucleotides import canonical, kmers, nucleotides, pieces
+from cladespark.functions.nucleotides import nucleotides
 from cladespark.operators import distance as D
 from cladespark.operators import trees as T
 from cladespark.operators.build import add_to_tree, build_tree
 from cladespark.operators.placement import GIVEN, add_tips, place_tips
-from cladespark.operators.sketch import mash_pairs, mash_search, sketches
+from cladespark.operators.sketch import kmer_table, mash_pairs, mash_search, sketches
 from cladespark.sources.shared import materialized
 
 K, SIZE, SITES = 15, 1000, 120
@@ -65,8 +65,7 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = sequences(spark, sf_dir).select(F.explode(pieces(F.col("seq"), K)).alias("part"))
-    return parts.select(F.explode(kmers(F.col("part"), K)).alias("f")).groupBy(canonical(F.col("f")).alias("kmer")).agg(F.count("*").alias("n"))
+    return kmer_table(sequences(spark, sf_dir), K)
 
 
 def kmer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,8 +73,8 @@ def kmer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bottom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sketches(sequences(spark, sf_dir), K, SIZE).withColumn("n_kept", F.size("sketch").cast("long")).where("n_kept > 0")
-    return got.select("seq_id", "n_kmers", "n_kept", decimal_hash(F.get("sketch", F.lit(0))).alias("least"), decimal_hash(F.element_at("sketch", -1)).alias("most"))
+    got = sketches(sequences(spark, sf_dir), K, SIZE).withColumn("n_kept", F.size("sketch").cast("long"))
+    return got.select("seq_id", "n_kmers", "n_kept", decimal_hash(F.get("sketch", F.lit(0))).alias("least"), decimal_hash(F.get("sketch", F.size("sketch") - 1)).alias("most"))
 
 
 def mash_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,7 +340,8 @@ def part_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build_tree_mash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tree of all documents with a k-mer, by Mash distances of their nucleotide letters."""
+    """The tree of all documents with a k-mer, by Mash distances of their nucleotide letters. Documents of fewer letters have no sketch and are no
+    tips: that is the query, not a limit of build_tree."""
     docs = sequences(spark, sf_dir).where(F.length("seq") >= K).select(F.col("seq_id").cast("long").alias("ord"), F.concat(F.lit("d"), "seq_id").alias("name"), "seq")
     return build_tree(docs, "sequences", k=K, sketch_size=SIZE)
 
@@ -593,7 +593,7 @@ QUERIES = {
 ORACLES = {
     "kmer_counts": f"WITH {KMERS} SELECT kmer, count(*) AS n FROM kmers GROUP BY kmer",
     "kmer_hash": f"WITH {KMERS}, distinct_kmers AS (SELECT DISTINCT kmer FROM kmers), {_hashed('distinct_kmers')} SELECT kmer, CAST(h AS VARCHAR) AS h FROM hashed",
-    "bottom_sketch": f"WITH {SKETCH} SELECT seq_id, max(n_kmers) AS n_kmers, count(*) AS n_kept, CAST(min(h) AS VARCHAR) AS least, CAST(max(h) AS VARCHAR) AS most FROM sketch GROUP BY seq_id",
+    "bottom_sketch": f"WITH {SKETCH} SELECT doc_id AS seq_id, coalesce(max(n_kmers), 0) AS n_kmers, count(h) AS n_kept, CAST(min(h) AS VARCHAR) AS least, CAST(max(h) AS VARCHAR) AS most FROM documents LEFT JOIN sketch ON seq_id = doc_id GROUP BY doc_id",
     "mash_neighbors": NEIGHBORS,
     "mash_distances": MASH,
     **{f"dist_{m}": _distance_sql(m) for m in D.MODELS},
