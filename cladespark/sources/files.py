@@ -20,9 +20,90 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.where(F.trim("r") != "").select("ord", name.alias("name"), seq.alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, seq of FASTQ files, each read by one task, a batch of lines at a time. A record whose quality is not as long as its
-    sequence ends its file."""
+FASTQ = "path string, start long, kind string, ord long, name string, seq string, lines array<string>"
+
+
+class _Block:
+    """The lines of one split of a FASTQ file, as they come. Records of four lines begin where a line starts with @ and the second after it with +:
+    a line of qualities may start with @ too, but two lines after it stands a sequence."""
+
+    def __init__(self, path: str, start: int):
+        self.path, self.start, self.lines, self.n, self.found, self.out = path, start, [], 0, False, []
+
+    def row(self, kind: str, name: str | None = None, seq: str | None = None, lines: list[str] | None = None) -> tuple:
+        return self.path, self.start, kind, self.start + self.n, name, seq, lines
+
+    def records(self, lines: list[str]) -> Iterator[tuple]:
+        for k in range(0, len(lines) - 3, 4):
+            head, seq, _, quality = lines[k : k + 4]
+            good = head.startswith("@") and len(seq) == len(quality)
+            yield self.row("record" if good else "broken", (head[1:].split() or [""])[0], seq)
+            self.n += 1
+
+    def add(self, lines: list[str]) -> list[tuple]:
+        """Rows that are known so far: lines before the first record, and whole records."""
+        self.lines += lines
+        out = []
+        if not self.found:
+            at = 0 if not self.start else next((k for k in range(len(self.lines) - 2) if self.lines[k].startswith("@") and self.lines[k + 2].startswith("+")), None)
+            if at is None:
+                return out
+            self.found = True
+            out.append(self.row("head", lines=self.lines[:at]))
+            self.lines = self.lines[at:]
+        whole = len(self.lines) // 4 * 4
+        out += self.records(self.lines[:whole])
+        self.lines = self.lines[whole:]
+        return out
+
+    def rest(self) -> list[tuple]:
+        return [self.row("tail" if self.found else "head", lines=self.lines)]
+
+
+def read_fastq(spark: SparkSession, path: str, several_lines: bool = False) -> DataFrame:
+    """path, ord (increasing in each file), name, seq of FASTQ files. A record whose quality is not as long as its sequence ends its file.
+
+    Files are read in splits, by as many tasks as they have; each finds its first record by itself, and the record that goes over a border is
+    put together from the few lines on both sides. Compressed files are one split. several_lines: for sequences of several
+    lines; then each file is read by one task."""
+    if several_lines:
+        return _whole_fastq(spark, path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, columns = None, [c.split()[0] for c in FASTQ.split(", ")]
+        for batch in batches:
+            out = []
+            for (path, start), part in batch.groupby(["path", "start"], sort=False):
+                if block is None or (block.path, block.start) != (path, start):
+                    out += block.rest() if block else []
+                    block = _Block(path, int(start))
+                out += block.add(part["value"].tolist())
+            yield pd.DataFrame(out, columns=columns)
+        if block:
+            yield pd.DataFrame(block.rest(), columns=columns)
+
+    rows = materialized(lines.mapInPandas(parse, FASTQ), "fastq")
+    edges = rows.where("lines IS NOT NULL").withColumn("t", (F.col("kind") == "tail").cast("int"))
+    # a row or two for each split: what follows a tail up to the next is of its record
+    at = Window.partitionBy("path").orderBy("start", "t").rowsBetween(Window.unboundedPreceding, 0)
+    joined = edges.withColumn("g", F.sum("t").over(at)).where("g > 0").groupBy("path", "g")
+    joined = joined.agg(F.min("start").alias("start"), F.min_by("ord", F.struct("start", -F.col("t"))).alias("ord"), F.array_sort(F.collect_list(F.struct("start", (1 - F.col("t")).alias("h"), "lines"))).alias("l"))
+    x = F.flatten(F.transform("l", lambda e: e["lines"]))
+    # one record, or more where splits are smaller than records
+    over = joined.select("path", "ord", x.alias("x")).where(F.size("x") > 3).withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.size("x") / 4) - 1)))
+    over = over.withColumns({"ord": F.col("ord") + F.col("k"), "x": F.slice("x", (4 * F.col("k") + 1).cast("int"), 4)})
+    head, seq, quality = (F.get("x", F.lit(k)) for k in (0, 1, 3))
+    good = F.startswith(head, F.lit("@")) & (F.length(seq) == F.length(quality))
+    over = over.select("path", "ord", F.when(good, "record").otherwise("broken").alias("kind"), F.regexp_extract(head, r"^@(\S*)", 1).alias("name"), seq.alias("seq"))
+    every = rows.where("lines IS NULL").select(*over.columns).unionByName(over)
+    ends = every.where("kind = 'broken'").groupBy(F.col("path").alias("__path")).agg(F.min("ord").alias("__end"))
+    got = every.where("kind = 'record'").join(ends, F.col("path") == F.col("__path"), "left").where(F.col("__end").isNull() | (F.col("ord") < F.col("__end")))
+    return got.select("path", "ord", "name", "seq")
+
+
+def _whole_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """Each file by one task: where records begin is only known from its start if sequences go over several lines."""
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
