@@ -51,7 +51,7 @@ class PrefixCounter:
         self.suffixes.make_automaton()
         self.fit = Remembered(lambda pair: self._fits(self.pieces[pair >> 32], self.pieces[pair & 0xFFFFFFFF]), 300_000)
         self.whole = Remembered(lambda piece: self.merged(self.pieces[piece]) == [self.pieces[piece]], 50_000)
-        self.tables = Remembered(lambda chunk: np.array(self.prefixes(chunk)[1:], np.int32), 100_000, 64)
+        self.tables = Remembered(lambda chunk: np.array(self.prefixes(chunk)[1:], np.int32), 300_000, 64)
 
     def merged(self, text: str) -> list[str]:
         """Best-score-first merging, leftmost first among equals; for the short texts of two tokens."""
