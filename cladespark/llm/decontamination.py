@@ -155,7 +155,7 @@ def passage_distance(item: list[str], passage: list[str]) -> tuple[int, int, int
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, n, keys, and the hashes of their runs in order, of the items that have a word."""
+    """item (a number), item_id, words, n, keys, and the hashes of their runs in order, of the items that have a word."""
 
     def maker():
         def one(text: str | None) -> tuple:
@@ -168,7 +168,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
         return lambda texts: [*zip(*map(one, texts))]
 
     got = with_made(benchmark.select(F.col("item_id"), F.col("text")), "text", "words string, n int, keys array<long>, runs array<long>", maker).drop("text")
-    return materialized(got.where(F.col("n") > 0), "items")
+    return materialized(got.where(F.col("n") > 0).withColumn("item", F.monotonically_increasing_id()), "items")
 
 
 def _block(items: DataFrame) -> Runs:
@@ -199,13 +199,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         windows = laid if windows is None else windows.union(laid)
     windows = materialized(windows, "windows")
 
-    wanted = items.select("item_id", "words", F.col("n").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))
+    # numbers of items meet contents; the words of both are fetched for what has met
+    wanted = items.select("item", F.col("n").alias("size"), F.explode(F.array_distinct("keys")).alias("key"))
     content = ["size", "c1", "c2"]
     by_key = windows.select(*content, F.explode(F.array_distinct("keys")).alias("key")).distinct()
-    found = by_key.join(wanted, ["size", "key"]).select(*content, "item_id", "words").distinct()
+    found = by_key.join(wanted, ["size", "key"]).select(*content, "item").distinct()
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     placed = windows.drop("keys").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    candidates = materialized(placed.join(salted, [*content, "salt"]).select("doc_id", "item_id", "start", "size", "passage", "words").distinct(), "candidates")
+    met = placed.join(salted, [*content, "salt"]).join(items.select("item", "item_id", "words"), "item")
+    candidates = materialized(met.select("doc_id", "item_id", "start", "size", "passage", "words").distinct(), "candidates")
 
     def checked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
