@@ -331,6 +331,22 @@ def encode_and_decode(docs: DataFrame, text: str = "text", ids: str = "ids", out
     return with_made(docs, text, f"{ids} array<int>, {out} string", maker)
 
 
+def encode_and_check(docs: DataFrame, text: str = "text", ids: str = "ids", out: str = "round_trip", vocab: str = VOCAB) -> DataFrame:
+    """docs with the token ids instead of the text (null: empty), and whether they decode to it. Neither the text nor what it decodes to
+    is sent back from Python."""
+
+    def maker():
+        own = codec(place(vocab))
+
+        def both(texts: list) -> list:
+            encoded = [own.encode(t or "") for t in texts]
+            return [encoded, [decoded(x, own.merges.bytes_of) == (t or "") for x, t in zip(encoded, texts)]]
+
+        return both
+
+    return with_made(docs, text, f"{ids} array<int>, {out} boolean", maker, drop=True)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     both = encode_and_decode(docs.select("doc_id", "text")).drop("text")
     return both.select(

@@ -73,18 +73,22 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     return _held[key]
 
 
+def trim() -> None:
+    """Gives memory that is free back to the machine: Spark keeps Python processes for reuse, and they count with their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # only glibc has it
+
+
 def release(kind: str) -> None:
-    """Forgets the kept model when the process turns to another kind of task, and gives its memory back to the machine: Spark keeps
-    Python processes for reuse, and they count with their executor."""
+    """Forgets the kept model when the process turns to another kind of task."""
     if _held.get("kind") != kind:
         _held.clear()
         _held["kind"] = kind
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # only glibc has it
+        trim()
 
 
 #: Rows, and bytes of their values, that Python works on at once: bounds the memory of what it makes of them (a longer value alone).
@@ -115,9 +119,9 @@ def portions(values: pa.Array) -> Iterator[tuple[int, int]]:
         start += n
 
 
-def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Callable[[list], list]]) -> DataFrame:
+def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Callable[[list], list]], drop: bool = False) -> DataFrame:
     """df with new columns (fields: a DDL list; equal names are replaced) that are made of the values of one column (or of a field of a
-    struct column: a.b, so that a packed row goes to Python and back once).
+    struct column: a.b, so that a packed row goes to Python and back once). drop: the column itself does not come back.
 
     maker runs once in each task and gives a function: values (None where null) -> one list of results for each new column.
     It gets a portion at a time (see portions), however many rows Spark sends at once.
@@ -126,9 +130,9 @@ def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Calla
     if any("." in c or "`" in c for c in df.columns):  # Spark looks for them as paths on their way to Python
         at = df.columns.index(column) if column in df.columns else None
         names = [c if "." not in c and "`" not in c else f"__{k}" for k, c in enumerate(df.columns)]
-        made = with_made(df.toDF(*names), column if at is None else names[at], fields, maker)
+        made = with_made(df.toDF(*names), column if at is None else names[at], fields, maker, drop)
         return made.toDF(*[df.columns[names.index(c)] if c in names and c not in new.names else c for c in made.columns])
-    kept = [f for f in df.schema.fields if f.name not in new.names]
+    kept = [f for f in df.schema.fields if f.name not in new.names and not (drop and f.name == column)]
     kinds, names, (of, *inside) = [to_arrow_type(f.dataType) for f in new.fields], [f.name for f in kept], column.split(".")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +147,7 @@ def with_made(df: DataFrame, column: str, fields: str, maker: Callable[[], Calla
                 made = make(every.slice(k, n).to_pylist())
                 arrays = [part.column(n) for n in names] + [pa.array(m, kind) for m, kind in zip(made, kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, [*names, *new.names])
+        trim()
 
     return df.mapInArrow(run, T.StructType([*kept, *new.fields]))
 
