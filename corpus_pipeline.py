@@ -7,10 +7,13 @@ without one, by its text (`row_key`), so that verdicts on rows without doc_id ta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladespark.llm.bpe import encode_and_decode
+from cladespark.llm.bpe import encode_and_check
 from cladespark.llm.common import materialized, table, whole, without
 from cladespark.llm.decontamination import leaks
 from cladespark.llm.near_dup import near_duplicates
@@ -19,6 +22,10 @@ from cladespark.llm.secrets import redact
 from cladespark.sources.shared import discard, temporary
 
 
+#: Rows of the last stage that go to Python at once: an executor then holds few of the long texts.
+FEW = 500
+
+
 def row_key() -> Column:
     """doc_id; without one a number from 2^62 on that follows from the text, so that it is the representative of no row with a doc_id."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
@@ -60,14 +67,29 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in clean.columns])
 
 
+@contextmanager
+def few_rows_at_once(spark: SparkSession) -> Iterator[None]:
+    """Inside, rows go to Python FEW at a time, whatever the session says; its own setting, or none, holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "-1")
+    spark.conf.set(name, str(FEW))
+    try:
+        yield
+    finally:
+        if before == "-1":  # not set
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Instead of the text n_tokens, the token ids, and whether they decode to the text (a null one to nothing). Other columns stay;
-    those of these three names are replaced."""
-    made = ("n_tokens", "ids", "round_trip")
-    others = [c for c in docs.columns if c not in ("text", *made)]
+    those of these three names are replaced. The result is written here, while few texts at once are on their way to Python."""
+    others = [c for c in docs.columns if c not in ("text", "n_tokens", "ids", "round_trip")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in others]).alias("doc"), "text")
-    both = encode_and_decode(rows)
-    return both.select("doc.*", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    with few_rows_at_once(spark):
+        made = materialized(encode_and_check(rows), "encoded")
+    return made.select("doc.*", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [(f.__name__, f) for f in (quality_rules, near_dedup, decontamination, secret_scan, bpe)]
