@@ -102,6 +102,40 @@ def test_stages_on_rows_without_id_and_repeated_rows(spark, odd_dir):
     assert set(kept).isdisjoint({7, 8, 9, 10, 11}) and {2, 3} <= set(kept)
 
 
+def test_stages_send_few_rows_and_bytes_to_python_at_once(spark, odd_dir, monkeypatch):
+    """What the operators of the stages would send in one batch, on short and on long texts; the session's settings hold again afterwards."""
+    most = {}
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    def watched(name, result):
+        def run(rows, *args, **named):
+            most[name] = rows.mapInArrow(sizes, "n long, size long").agg(F.max("n"), F.max("size")).first()
+            return result(rows)
+
+        monkeypatch.setattr(corpus_pipeline, name, run)
+
+    watched("judge", lambda rows: rows.withColumn("kept", F.lit(True)))
+    watched("near_duplicates", lambda rows: rows.select(F.col("key").alias("doc_id"), F.lit(True).alias("kept")))
+    watched("leaks", lambda rows: rows.where("false"))
+    watched("encode_and_check", lambda rows: rows.withColumn("ids", F.array(F.lit(1))).withColumn("round_trip", F.lit(True)))
+    text = F.when(F.col("id") < 1200, F.lit("short")).otherwise(F.repeat(F.lit("long text "), 30_000))
+    docs = materialized(spark.range(0, 1250, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang")), "few").coalesce(1)
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    spark.conf.set(names[0], "777")
+    try:
+        before = [spark.conf.get(x) for x in names]
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "secret_scan":  # no Python there
+                assert stage(spark, docs, odd_dir).count() == 1250
+                assert [spark.conf.get(x) for x in names] == before
+    finally:
+        spark.conf.unset(names[0])
+    assert len(most) == 4 and all(n <= 500 and size < 4 << 20 for n, size in most.values()), most
+
+
 def test_pipeline_against_brute_force(spark):
     """The whole run on sf0.001, each stage again by plain Python."""
     docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
