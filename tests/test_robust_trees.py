@@ -125,6 +125,27 @@ def test_equal_tips_are_placed_once(spark, monkeypatch):
     a_tree([tuple(r) for r in P.place_tips(one, Q.nested_metric, content="same").collect()], 9)
 
 
+def test_alike_tips_are_placed_once(spark, monkeypatch):
+    """Rounds do not grow with the number of tips that agree in all that distances follow from; path lengths and the root are those of all."""
+    tips = Q.customer_tips(spark, DATA)
+    many = [tips.withColumn("ord", F.col("ord") + k * 7_000_000_000_000_000) for k in range(3)]
+    more = many[0].unionByName(many[1]).unionByName(many[2])
+    first = tips.orderBy("ord").limit(1).withColumn("ord", F.lit(1).cast("long"))  # now the first two tips are alike
+    rounds, real = [], P._round
+    monkeypatch.setattr(P, "_round", lambda *a: rounds.append(1) or real(*a))
+    monkeypatch.setattr(P, "IN_A_ROW", 3)
+    for every in (more, more.unionByName(first)):
+        rows = every.toPandas().sort_values("ord", ignore_index=True)
+        rounds.clear()
+        edges = [tuple(r) for r in P.place_tips(every, Q.nested_metric, begin=4, most=4, chunk=9, compat=False, alike=Q.ALIKE).collect()]
+        a_tree(edges, len(rows))
+        assert len(rounds) <= 6
+        want, root = Q.nested_metric(rows, rows), (({p for _, p, _ in edges}) - {c for c, *_ in edges}).pop()
+        got = path_lengths(edges, [*rows["ord"].tolist(), root])
+        assert np.allclose(got[:-1, :-1], want)
+        assert np.allclose(got[-1, :-1], np.maximum(want[0], want[1]) - want[0, 1] / 2)
+
+
 def test_equal_sequences_in_divide_and_conquer(spark):
     random = np.random.default_rng(2)
     own = ["".join(random.choice(list("ACGT"), 80)) for _ in range(12)]
