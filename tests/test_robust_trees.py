@@ -3,9 +3,11 @@
 import threading
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cladespark.operators import build as B
 from cladespark.operators import distance as D
 from cladespark.operators import placement as P
 from cladespark.operators.build import build_tree, distances
@@ -196,3 +198,34 @@ def test_tables_of_others_stay(spark):
     for gone in (mine, inner):
         with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND"):
             spark.read.parquet(gone.written_to).count()
+
+
+def test_equal_rows_of_a_matrix_are_joined_once(spark, monkeypatch):
+    """A matrix of more rows than one task joins: rows that differ by the distance between them only are one, and path lengths are those of all."""
+    tips = Q.customer_tips(spark, DATA).select("p", "e", "r", "inner_", "outer_").limit(40).toPandas()
+    rows = pd.concat([tips, tips, tips], ignore_index=True)
+    rows["ord"] = np.random.default_rng(1).permutation(len(rows))
+    rows = rows.sort_values("ord", ignore_index=True)
+    d = Q.nested_metric(rows, rows)
+    d = (d + d.T) / 2
+    sizes, real = [], B.hung
+    monkeypatch.setattr(B, "hung", lambda edges, *a: sizes.append(edges.count()) or real(edges, *a))
+    cells = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(120) for j in range(i)], "i int, j int, d double")
+    names = spark.createDataFrame([(i, f"t{i}") for i in range(120)], "i int, name string")
+    for algorithm in ("nj", "place", "auto"):
+        edges = [(r.node, r.parent, r.len) for r in B.build_tree(cells, "matrix", algorithm, names=names, joined=60, compat=False).collect() if r.parent is not None]
+        a_tree(edges, 120)
+        assert np.allclose(path_lengths(edges, [*range(120)]), d)
+    assert len(sizes) == 3 and max(sizes) <= 2 * 41
+    # classes that meet beyond the root, on the edge of another class too: two kinds of tips, one with longer edges
+    for longer in (0.01, 0.5):
+        two = pd.DataFrame({"ord": range(8), "p": [longer, 0.1] * 4, "e": 0.0, "r": 0.0, "inner_": 1, "outer_": 1})
+        edges = [tuple(r) for r in P.place_tips(spark.createDataFrame(two), Q.nested_metric, compat=False, alike=Q.ALIKE).collect()]
+        a_tree(edges, 8)
+        root = ({p for _, p, _ in edges} - {c for c, *_ in edges}).pop()
+        assert np.allclose(path_lengths(edges, [*range(8)]), Q.nested_metric(two, two))
+        assert np.allclose(path_lengths(edges, [root, 0, 1])[0, 1:], (longer + 0.1) / 2)
+    # of few rows all are joined, and a different cell keeps rows apart
+    B.build_tree(cells, "matrix", "nj", names=names).count()
+    B.build_tree(cells.withColumn("d", F.col("d") + F.col("i") * F.col("j") * 1e-9), "matrix", "nj", names=names, joined=60).count()
+    assert len(sizes) == 3
