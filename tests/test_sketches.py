@@ -24,3 +24,64 @@ def test_sketches_in_pieces(spark, monkeypatch, dedup):
                 often = Counter(h)
                 kept = sorted(x for x in (set(h) if dedup else h) if often[x] >= least)
                 assert (got[k].n_kmers, got[k].sketch) == (len(h), kept[:50]), (piece, least, k)
+
+
+def sequence_table(spark, n, seed):
+    """Mutated copies of a few sequences, some of them long, short or empty, under ids that are not in a row."""
+    random = np.random.default_rng(seed)
+    base = ["".join(random.choice([*"ACGT"], 90)) for _ in range(4)]
+    rows = []
+    for k in range(n):
+        own = np.where(random.uniform(size=90) < 0.03 * (k % 5), random.choice([*"ACGT"], 90), [*base[k % 4]])
+        rows.append((3 * k, "".join(own)[: (90, 60, 8, 0)[min(3, k % 11)] if k % 11 < 4 else 90] * (1 if k % 7 else 4)))
+    return rows, spark.createDataFrame(rows, "seq_id long, seq string")
+
+
+def test_search_in_portions(spark, monkeypatch):
+    """The nearest among all, ties included, whatever the portions are; no table that is written has a row for each shared hash or a sketch of a short sequence."""
+    rows, df = sequence_table(spark, 60, 4)
+    k, size = 9, 40
+    own = {i: np.unique(S.sequence_hashes(s, k))[:size] for i, s in rows}
+    want = set()
+    for i in list(own)[::3]:
+        near = []
+        for j in own:
+            if j != i:
+                shared = S.shared_hashes(own[i], own[j], size, False)
+                held = size if shared == 0 else min(size, len(np.union1d(own[i], own[j])))
+                near.append((round(S.mash_distance(shared, held, k), 9), j, shared))
+        want |= {(i, j, shared, d, r + 1) for r, (d, j, shared) in enumerate(sorted(near)[:5])}
+    tables, real = [], S.materialized
+    monkeypatch.setattr(S, "materialized", lambda t, name: tables.append(real(t, name)) or tables[-1])
+    monkeypatch.setattr(S, "TOGETHER", 4)
+    monkeypatch.setattr(S, "KEPT", 8)
+    asked = spark.createDataFrame([(i,) for i in list(own)[::3]], "seq_id long")
+    for portions in ({}, {"asked": 6, "searched": 11}):
+        for letters in (8, 1):
+            monkeypatch.setattr(S, "LETTERS", letters)
+            got = {tuple(r) for r in S.mash_search(asked, df, k, size, 5, **portions).select("i", "j", "shared", "d", "rank").collect()}
+            assert {(*t[:3], round(t[3], 9), t[4]) for t in got} == want
+    assert max(t.count() for t in tables) <= 60 * 20
+    assert not any("sketch" in t.columns and t.where("seq IS NOT NULL AND sketch IS NOT NULL").head(1) for t in tables)
+
+
+def test_pairs_that_share_one_hash_are_as_far_as_those_that_share_none(spark):
+    """The smaller ids come first among them."""
+    random = np.random.default_rng(8)
+    text = ["".join(random.choice([*"ACGT"], 60)) for _ in range(20)]
+    text = [*text[:19], text[19][:-9] + text[0][:9]]
+    df = spark.createDataFrame(list(enumerate(text)), "seq_id long, seq string")
+    got = [(r.j, r.shared) for r in S.mash_search(spark.createDataFrame([(0,)], "seq_id long"), df, 9, 20, 3).orderBy("rank").collect()]
+    assert got == [(1, 0), (2, 0), (3, 0)]
+
+
+def test_given_pairs_in_blocks(spark, monkeypatch):
+    """Pairs are compared in tasks of blocks of ids, to which each sequence goes once, as a sequence if it is shorter than a sketch."""
+    rows, df = sequence_table(spark, 40, 6)
+    pairs = spark.createDataFrame([(i, i + d) for i, _ in rows for d in (3, 6, 60)] + [(9, 0)], "i long, j long")
+    for dedup in (False, True):
+        want = {(r.i, r.j): (r.shared, round(r.d, 9)) for r in S.mash_pairs(pairs, S.sketches(df, 9, 40, dedup=dedup), 9, 40, dedup).collect()}
+        for letters in (8, 1):
+            monkeypatch.setattr(S, "LETTERS", letters)
+            got = {(r.i, r.j): (r.shared, round(r.d, 9)) for r in S.mash_given(pairs, df, 9, 40, dedup, ids=16).collect()}
+            assert got == want and len(got) > 80
