@@ -85,3 +85,16 @@ def test_given_pairs_in_blocks(spark, monkeypatch):
             monkeypatch.setattr(S, "LETTERS", letters)
             got = {(r.i, r.j): (r.shared, round(r.d, 9)) for r in S.mash_given(pairs, df, 9, 40, dedup, ids=16).collect()}
             assert got == want and len(got) > 80
+
+
+def test_hashes_of_others_are_put_in_order_once(monkeypatch):
+    """Sketches with repetitions, some of them empty, against a list whose hashes are sorted once: what each pair gives by itself."""
+    random = np.random.default_rng(3)
+    for top, size in ((30, 12), (400, 25), (60, 60)):
+        some = [np.sort(random.integers(0, top, int(n))) for n in random.integers(0, size + 1, 23)]
+        crossed = S.Crossed(some, size)
+        for x in (some[:9], some[9:10], [np.zeros(0, np.int64)]):
+            first = random.uniform(size=(len(x), 23)) < 0.5
+            want = [[S.shared_hashes(a, b, size) if f else S.shared_hashes(b, a, size) for b, f in zip(some, row)] for a, row in zip(x, first)]
+            assert crossed.shared(x, first).tolist() == want
+    assert S.Crossed([], 5).shared(some[:2], np.zeros((2, 0), bool)).shape == (2, 0)
